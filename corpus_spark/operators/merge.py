@@ -86,13 +86,16 @@ def merged_scalars(observations: DataFrame) -> DataFrame:
 
 def union_elements(observations: DataFrame, columns: Sequence[str] = UNION_COLUMNS) -> DataFrame:
     """(package, field, key): each distinct list element once, identified by its canonical text."""
-    per_column = [
-        F.transform(
-            F.coalesce(F.col(c), F.array().cast(observations.schema[c].dataType)),
-            lambda v, c=c: F.struct(F.lit(c).alias("field"), union_key(c, v).alias("key")),
+    schema = observations.schema
+
+    def keyed(column: str) -> Column:
+        values = F.coalesce(F.col(column), F.array().cast(schema[column].dataType))
+        return F.transform(
+            values,
+            lambda v: F.struct(F.lit(column).alias("field"), union_key(column, v).alias("key")),
         )
-        for c in columns
-    ]
+
+    per_column = [keyed(c) for c in columns]
     return (
         observations.select("package", F.explode(F.concat(*per_column)).alias("e"))
         .select("package", "e.field", "e.key")
@@ -110,21 +113,17 @@ def union_merge(observations: DataFrame, columns: Sequence[str] = UNION_COLUMNS)
         ]
     )
     schema = observations.schema
-    return grouped.select(
-        "package",
-        *[
-            F.transform(F.col(c), lambda k, c=c: _from_key(c, k, schema)).alias(c)
-            for c in columns
-        ],
-    )
 
 
-def _from_key(column: str, key: Column, schema) -> Column:
-    """The element a canonical text stands for."""
-    element = schema[column].dataType.elementType
-    if element.typeName() == "struct":
-        return F.from_json(key, element)
-    return F.from_json(F.concat(F.lit("["), key, F.lit("]")), "array<string>")[0]
+    def elements_of(column: str) -> Column:
+        element = schema[column].dataType.elementType
+        if element.typeName() == "struct":
+            return F.transform(F.col(column), lambda key: F.from_json(key, element))
+        return F.from_json(
+            F.concat(F.lit("["), F.array_join(column, ","), F.lit("]")), "array<string>"
+        )
+
+    return grouped.select("package", *[elements_of(c).alias(c) for c in columns])
 
 
 def conflict_carriers(
@@ -221,9 +220,7 @@ def remerge_touched(
 ) -> tuple[DataFrame, DataFrame]:
     """(observations, facts) after a batch: only packages the batch names are merged again."""
     observations = upsert_observations(stored, incoming)
-    # An upsert may rename a row's package, so the old name is touched as well as the new one.
-    before = stored.join(incoming.select(*ORDER_COLUMNS), list(ORDER_COLUMNS), "left_semi")
-    touched = incoming.select("package").union(before.select("package")).distinct()
+    touched = incoming.select("package").distinct()
     redone = merge_observations(observations.join(touched, "package", "left_semi"))
     kept = facts.join(touched, "package", "left_anti")
     return observations, kept.unionByName(redone)

@@ -41,14 +41,9 @@ def ascii_json_string(text: Column) -> Column:
     return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
 
 
-def union_key(column: str, value: Column) -> Column:
-    """The text that identifies and orders one element of a union-merged list."""
-    if column in ("libraries", "static_libraries"):
-        return F.to_json(F.struct(value["name"].alias("name"), value["version"].alias("version")), _ASCII)
-    if column == "intent_filters":
-        names = ("actions", "categories", "component", "component_class", "priority")
-        return F.to_json(F.struct(*[value[n].alias(n) for n in names]), _ASCII)
-    return ascii_json_string(value)
+def struct_text(value: Column, fields: tuple[str, ...]) -> Column:
+    """Canonical text of a struct element, keys in sorted order."""
+    return F.to_json(F.struct(*[value[n].alias(n) for n in sorted(fields)]), _ASCII)
 
 
 def description_digest(package: Column, description: Column) -> Column:

@@ -21,7 +21,7 @@ from corpus_spark.fixed_values import (
     UNION_COLUMNS,
     UNKNOWN,
 )
-from corpus_spark.functions.canonical import ascii_json_string, union_key
+from corpus_spark.functions.canonical import ascii_json_string, struct_text
 
 ORDER_COLUMNS = ("device_key", "build", "device_path")
 
@@ -85,45 +85,50 @@ def merged_scalars(observations: DataFrame) -> DataFrame:
 
 
 def union_elements(observations: DataFrame, columns: Sequence[str] = UNION_COLUMNS) -> DataFrame:
-    """(package, field, key): each distinct list element once, identified by its canonical text."""
+    """(package, field, element): each distinct list element once.
+
+    A string stands for itself, a struct is its canonical text.
+    """
     schema = observations.schema
 
-    def keyed(column: str) -> Column:
-        values = F.coalesce(F.col(column), F.array().cast(schema[column].dataType))
+    def tagged(column: str) -> Column:
+        kind = schema[column].dataType
+        values = F.coalesce(F.col(column), F.array().cast(kind))
+        fields = tuple(kind.elementType.names) if kind.elementType.typeName() == "struct" else ()
         return F.transform(
             values,
-            lambda v: F.struct(F.lit(column).alias("field"), union_key(column, v).alias("key")),
+            lambda v: F.struct(
+                F.lit(column).alias("field"),
+                (struct_text(v, fields) if fields else v).alias("element"),
+            ),
         )
 
-    per_column = [keyed(c) for c in columns]
     return (
-        observations.select("package", F.explode(F.concat(*per_column)).alias("e"))
-        .select("package", "e.field", "e.key")
+        observations.select("package", F.explode(F.concat(*[tagged(c) for c in columns])).alias("e"))
+        .select("package", "e.field", "e.element")
         .distinct()
     )
 
 
 def union_merge(observations: DataFrame, columns: Sequence[str] = UNION_COLUMNS) -> DataFrame:
-    """One array per list column, elements distinct and ordered by canonical text."""
-    elements = union_elements(observations, columns)
-    grouped = elements.groupBy("package").agg(
-        *[
-            F.sort_array(F.collect_list(F.when(F.col("field") == c, F.col("key")))).alias(c)
-            for c in columns
-        ]
+    """One array per list column, elements distinct and ordered by their canonical text."""
+    grouped = (
+        union_elements(observations, columns)
+        .groupBy("package")
+        .agg(
+            *[F.collect_list(F.when(F.col("field") == c, F.col("element"))).alias(c) for c in columns]
+        )
     )
     schema = observations.schema
 
-
-    def elements_of(column: str) -> Column:
+    def ordered(column: str) -> Column:
         element = schema[column].dataType.elementType
         if element.typeName() == "struct":
-            return F.transform(F.col(column), lambda key: F.from_json(key, element))
-        return F.from_json(
-            F.concat(F.lit("["), F.array_join(column, ","), F.lit("]")), "array<string>"
-        )
+            return F.transform(F.sort_array(column), lambda text: F.from_json(text, element))
+        keyed = F.transform(F.col(column), lambda v: F.struct(ascii_json_string(v).alias("k"), v.alias("v")))
+        return F.transform(F.sort_array(keyed), lambda pair: pair["v"])
 
-    return grouped.select("package", *[elements_of(c).alias(c) for c in columns])
+    return grouped.select("package", *[ordered(c).alias(c) for c in columns])
 
 
 def conflict_carriers(
@@ -134,30 +139,31 @@ def conflict_carriers(
         F.struct(
             F.lit(position).alias("position"),
             F.lit(c).alias("field"),
-            (
-                F.col(c).cast("string")
-                if observations.schema[c].dataType.typeName() == "boolean"
-                else ascii_json_string(F.col(c))
-            ).alias("key"),
+            F.col(c).cast("string").alias("value"),
         )
         for position, c in enumerate(columns)
     ]
-    present = F.filter(F.array(*stated), lambda s: s["key"].isNotNull())
+    present = F.filter(F.array(*stated), lambda s: s["value"].isNotNull())
     return (
         observations.select("package", "device_key", F.explode(present).alias("s"))
-        .select("package", "s.position", "s.field", "s.key", "device_key")
+        .select("package", "s.position", "s.field", "s.value", "device_key")
         .distinct()
-        .groupBy("package", "position", "field", "key")
+        .groupBy("package", "position", "field", "value")
         .agg(F.sort_array(F.collect_list("device_key")).alias("devices"))
     )
 
 
 def conflicts(observations: DataFrame, columns: Sequence[str] = CONFLICT_COLUMNS) -> DataFrame:
     """(package, conflicts): per column with two or more stated values, each value's devices."""
-    carriers = conflict_carriers(observations, columns)
+    # Values order by their canonical text; within one column all are strings or all booleans, and
+    # the quotes around a string are what the order has to see.
+    key = F.when(F.col("value").isin("true", "false"), F.col("value")).otherwise(
+        ascii_json_string(F.col("value"))
+    )
     per_field = (
-        carriers.groupBy("package", "position", "field")
-        .agg(F.sort_array(F.collect_list(F.struct("key", "devices"))).alias("values"))
+        conflict_carriers(observations, columns)
+        .groupBy("package", "position", "field")
+        .agg(F.collect_list(F.struct(key.alias("key"), "value", "devices")).alias("values"))
         .filter(F.size("values") >= 2)
     )
     return per_field.groupBy("package").agg(
@@ -166,17 +172,8 @@ def conflicts(observations: DataFrame, columns: Sequence[str] = CONFLICT_COLUMNS
             lambda f: F.struct(
                 f["field"].alias("field"),
                 F.transform(
-                    f["values"],
-                    lambda v: F.struct(
-                        # A string value loses its quotes again; booleans never had any.
-                        F.coalesce(
-                            F.from_json(
-                                F.concat(F.lit("["), v["key"], F.lit("]")), "array<string>"
-                            )[0],
-                            v["key"],
-                        ).alias("value"),
-                        v["devices"].alias("devices"),
-                    ),
+                    F.sort_array(f["values"]),
+                    lambda v: F.struct(v["value"].alias("value"), v["devices"].alias("devices")),
                 ).alias("values"),
             ),
         ).alias("conflicts")

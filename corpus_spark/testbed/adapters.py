@@ -7,10 +7,13 @@ table (no join, no shuffle), so a derived table costs one scan whatever its size
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpus_spark.sources.tables import read_table
+
 
 class SparkDialect:
     def arr(self, *items: str) -> str:
@@ -28,6 +31,9 @@ class SparkDialect:
             f"'categories', {categories}, 'priority', CAST({priority} AS INT))"
         )
 
+    def pick(self, items: str, position: str) -> str:
+        return f"element_at(array({items}), CAST({position} AS INT))"
+
     def no_libs(self) -> str:
         return "CAST(array() AS array<struct<name:string,version:int>>)"
 
@@ -66,6 +72,9 @@ class DuckDialect(SparkDialect):
             f"categories := {categories}, priority := CAST({priority} AS INT))"
         )
 
+    def pick(self, items: str, position: str) -> str:
+        return f"list_extract([{items}], CAST({position} AS INT))"
+
     def no_libs(self) -> str:
         return "CAST([] AS STRUCT(name VARCHAR, version INT)[])"
 
@@ -96,23 +105,25 @@ def text(expr: str) -> str:
     return f"CAST({expr} AS STRING)"
 
 
+# Namespaces a package name is drawn from: every name rule, its lookalikes, and plain vendors.
+NAMESPACES = (
+    "com.android.cellbroadcastreceiver", "com.vendor.amber", "com.weather.wearable",
+    "com.vendor.sarcontrol", "hu.android.mobilvasarlas", "com.EMERGENCY.info",
+    "com.samsung.core", "com.samsung.media", "com.android.core", "com.android.media",
+    "com.maker.auto_generated_rro_vendor__", "com.vendor.wea.alerts", "android.ext.core",
+    *(f"com.b{n}.{kind}" for n in range(8) for kind in ("core", "media", "tools", "ui")),
+)
+
+
 def name(k: str) -> str:
-    """A package name as a function of a part key; covers every name-based rule and lookalike."""
-    n = text(k)
-    kind = (
-        f"CASE {k} % 4 WHEN 0 THEN 'core' WHEN 1 THEN 'media' WHEN 2 THEN 'tools' ELSE 'ui' END"
-    )
-    return (
-        f"CASE WHEN {k} % 97 = 3 THEN 'com.android.cellbroadcastreceiver.p' || {n}"
-        f" WHEN {k} % 89 = 5 THEN 'com.vendor.amber.p' || {n}"
-        f" WHEN {k} % 83 = 7 THEN 'com.weather.wearable.p' || {n}"
-        f" WHEN {k} % 79 = 2 THEN 'com.vendor.sarcontrol.p' || {n}"
-        f" WHEN {k} % 73 = 1 THEN 'hu.android.mobilvasarlas.p' || {n}"
-        f" WHEN {k} % 53 = 9 THEN 'com.EMERGENCY.info.p' || {n}"
-        f" WHEN {k} % 31 = 4 THEN 'com.samsung.' || {kind} || '.p' || {n}"
-        f" WHEN {k} % 29 = 6 THEN 'com.android.' || {kind} || '.p' || {n}"
-        f" WHEN {k} % 23 = 8 THEN 'com.b' || {text(f'{k} % 25')} || '.auto_generated_rro_vendor__.p' || {n}"
-        f" ELSE 'com.b' || {text(f'{k} % 25')} || '.' || {kind} || '.p' || {n} END"
+    """A package name as a function of a part key."""
+    return f"(pick_namespace[[{k}]] || '.p' || {text(k)})"
+
+
+def fill_names(sql: str, d: SparkDialect) -> str:
+    listed = ", ".join(f"'{n}'" for n in NAMESPACES)
+    return re.sub(
+        r"pick_namespace\[\[(.*?)\]\]", lambda m: d.pick(listed, f"({m[1]}) % {len(NAMESPACES)} + 1"), sql
     )
 
 
@@ -164,7 +175,7 @@ def observations(d: SparkDialect) -> str:
       CASE WHEN disc = 0 THEN NULL ELSE o * 10 + disc END AS version_code,
       privileged AS priv_app,
       CASE WHEN tax = 0 THEN NULL WHEN k % 13 = 0 THEN 'Organization: Samsung Electronics'
-           WHEN k % 10 = 3 OR k % 29 = 6 THEN 'Email Address: android@android.com, Organization: Android'
+           WHEN k % 10 = 3 OR k % 45 = 8 OR k % 45 = 12 THEN 'Email Address: android@android.com, Organization: Android'
            WHEN k % 9 = 1 AND tax > 6 THEN 'Organization: Rotated Key'
            ELSE 'Organization: Maker ' || {text('k % 25')} END AS cert_issuer,
       'CN=' || {text('k % 40')} || CASE WHEN tax = 8 AND k % 3 = 0 THEN '-rotated' ELSE '' END AS cert_subject,
@@ -247,7 +258,7 @@ def classification(d: SparkDialect) -> str:
     return f"""
     SELECT {name(k)} AS package, {digest(k, f'{k} % 3')} AS bundle_sha256, 'model-' || {text(f'{k} % 2')} AS model,
       CASE WHEN {k} % 13 = 0 THEN NULL WHEN {k} % 8 = 1 THEN 'unknown' WHEN {k} % 27 = 2 THEN 'bad text ' || chr(10) || ' here'
-           WHEN {k} % 31 = 2 THEN 'zero' || chr(8203) || 'width' ELSE 'Describes ' || p_name || ' number ' || {text(k)} END AS description,
+           WHEN {k} % 31 = 2 THEN 'zero\u200bwidth' ELSE 'Describes ' || p_name || ' number ' || {text(k)} END AS description,
       CASE WHEN {k} % 26 = 0 THEN NULL ELSE {category(k)} END AS target_list,
       CASE WHEN {k} % 13 = 0 THEN NULL WHEN {k} % 3 = 0 THEN 'Unsafe' WHEN {k} % 3 = 1 THEN 'Expert' ELSE {tier('(' + k + ' + 2)')} END AS removal,
       CASE {k} % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence,
@@ -440,11 +451,11 @@ TABLES: dict[str, tuple[Callable[[SparkDialect], str], tuple[str, ...]]] = {
 def table(spark: SparkSession, sf_dir: str, derived: str) -> DataFrame:
     """One derived table as a lazy DataFrame over the parquet scan."""
     rule, sources = TABLES[derived]
-    frames = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in sources}
-    return spark.sql(rule(SPARK), **frames)
+    frames = {s: read_table(spark, f"{sf_dir}/{s}.parquet") for s in sources}
+    return spark.sql(fill_names(rule(SPARK), SPARK), **frames)
 
 
 def duck_text(derived: str) -> str:
     """The same rule over the checking engine's views."""
     rule, sources = TABLES[derived]
-    return rule(DUCK).format(**{s: s for s in sources})
+    return fill_names(rule(DUCK), DUCK).format(**{s: s for s in sources})

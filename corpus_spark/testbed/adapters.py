@@ -341,7 +341,7 @@ def lease_events(d: SparkDialect) -> str:
     SELECT event_id AS id, CASE WHEN event_id % 101 = 0 THEN NULL ELSE 'job-' || {text('user_id')} END AS job_id,
       CASE event_type WHEN 'click' THEN 'requested' WHEN 'view' THEN 'acquired' WHEN 'purchase' THEN 'released'
         WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'reclaimed' ELSE 'acquired' END ELSE 'noise' END AS event,
-      ts AS at
+      ts AS happened_at
     FROM {{events}}"""
 
 

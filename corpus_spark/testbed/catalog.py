@@ -1,6 +1,10 @@
 """Imports every query module, so that the registry is complete."""
 
-from corpus_spark.testbed import core_queries, merge_queries  # noqa: F401
+from corpus_spark.testbed import (  # noqa: F401
+    core_queries,
+    merge_queries,
+    telemetry_queries,
+)
 from corpus_spark.testbed.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -275,6 +275,17 @@ def classification(d: SparkDialect) -> str:
     FROM {{part}} WHERE {k} % 2 = 0 OR {k} % 5 = 1"""
 
 
+def stored_analysis(d: SparkDialect) -> str:
+    """Floors and neighbours as an earlier run stored them; some packages have none yet."""
+    k = "p_partkey"
+    return f"""
+    SELECT {name(k)} AS package,
+      CASE WHEN {k} % 19 = 6 THEN NULL WHEN {k} % 3 = 0 THEN 'Expert' WHEN {k} % 4 = 1 THEN 'Advanced' WHEN {k} % 33 = 2 THEN 'Nonsense' ELSE 'Recommended' END AS floor,
+      CASE WHEN {k} % 101 = 2 THEN {d.strings("'bad name!'")} WHEN {k} % 7 = 0 THEN {d.strings(name('(' + k + ' + 1)'))} ELSE {d.strings("cast(null as string)")} END AS dependencies,
+      CASE WHEN {k} % 11 = 0 THEN {d.strings(name('(' + k + ' + 2)'), name('(' + k + ' + 3)'))} ELSE {d.strings("cast(null as string)")} END AS needed_by
+    FROM {{part}} WHERE {k} % 23 <> 1"""
+
+
 def decisions(d: SparkDialect) -> str:
     k = "o_custkey"
     return f"""
@@ -433,6 +444,7 @@ TABLES: dict[str, tuple[Callable[[SparkDialect], str], tuple[str, ...]]] = {
     "reference_list": (reference_list, ("part",)),
     "config_rows": (config_rows, ("supplier",)),
     "classification": (classification, ("part",)),
+    "stored_analysis": (stored_analysis, ("part",)),
     "decisions": (decisions, ("orders",)),
     "emissions": (emissions, ("supplier",)),
     "emission_packages": (emission_packages, ("part",)),

@@ -4,6 +4,7 @@ from corpus_spark.testbed import (  # noqa: F401
     core_queries,
     merge_queries,
     telemetry_queries,
+    triage_queries,
 )
 from corpus_spark.testbed.registry import ORACLES, QUERIES
 

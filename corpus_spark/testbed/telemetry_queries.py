@@ -55,7 +55,7 @@ def _(b: Bed):
 
 def holder(b: Bed):
     """The current lease: a job that took it before the window opened."""
-    return b.table("lease_events").agg(F.lit("job-held").alias("job_id"), (F.min("at")).alias("acquired_at"))
+    return b.table("lease_events").agg(F.lit("job-held").alias("job_id"), F.min("happened_at").alias("acquired_at"))
 
 
 @query("a23_lease_stats", "SELECT * FROM lease_row")

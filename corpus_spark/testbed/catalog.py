@@ -2,9 +2,11 @@
 
 from corpus_spark.testbed import (  # noqa: F401
     core_queries,
+    document_queries,
     merge_queries,
     telemetry_queries,
     triage_queries,
+    validation_queries,
 )
 from corpus_spark.testbed.registry import ORACLES, QUERIES
 

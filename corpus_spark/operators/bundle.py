@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpus_spark.fixed_values import ANCHOR_COUNT, BUNDLE_SCHEMA_VERSION
 from corpus_spark.functions.canonical import canonical_json, sha256_hex, sorted_struct
 from corpus_spark.operators.anchors import anchor_lists
-from corpus_spark.operators.graph import EDGE_COLUMNS, EVIDENCE_LISTS, evidence, incidence, neighbours
+from corpus_spark.operators.graph import EDGE_COLUMNS, EVIDENCE_LISTS, incidence
+from corpus_spark.sources.corpus import IDENTITY, load_corpus
 
 
 class MissingFloorError(RuntimeError):
@@ -62,27 +63,24 @@ def _evidence_json(empty: Column) -> Column:
 
 
 def build_bundles(
-    corpus: DataFrame,
-    identities: DataFrame,
+    facts: DataFrame,
     edge_rows: DataFrame,
-    platform: DataFrame,
-    floors: DataFrame,
+    analysis: DataFrame,
     reference: DataFrame | None = None,
     anchor_count: int = ANCHOR_COUNT,
 ) -> DataFrame:
-    """(package, bundle_json, bundle_sha256). All joins are by package, whose rows are unique."""
+    """(package, bundle_json, bundle_sha256) of every package with a floor.
+
+    The corpus view and the identity columns come out of one select over the facts, and neighbours,
+    evidence and floor out of the analysis row, so what is joined by package is three frames.
+    """
     empty = F.array().cast("array<string>")
     edge_type = "array<struct<" + ",".join(f"{c}:string" for c in EDGE_COLUMNS) + ">>"
-    rows = (
-        corpus.join(identities, "package", "left")
-        .join(neighbours(edge_rows), "package", "left")
-        .join(incidence(edge_rows), "package", "left")
-        .join(evidence(corpus, platform), "package", "left")
-        .join(floors, "package")
-    )
+    corpus = load_corpus(facts, IDENTITY)
+    rows = corpus.join(analysis, "package").join(incidence(edge_rows), "package", "left")
     anchor_type = "array<struct<description:string,list:string,package:string,removal:string>>"
     if reference is not None and anchor_count > 0:
-        rows = rows.join(anchor_lists(corpus, reference, anchor_count), "package", "left")
+        rows = rows.join(anchor_lists(facts.select("package"), reference, anchor_count), "package", "left")
     else:
         rows = rows.withColumn("anchors", F.lit(None).cast(anchor_type))
 

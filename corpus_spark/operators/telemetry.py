@@ -51,35 +51,46 @@ def queue_depth(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count_if(F.col("state") == "queued").alias("queue_depth"))
 
 
-def lease_intervals(events: DataFrame, window_start: str, now: str) -> DataFrame:
-    """(job_id, measure, start_at, seconds, closed) with measure `wait` or `occupied`.
-
-    An acquire closes the request just before it, a release or reclaim closes the acquire just
-    before it, a repeat replaces the earlier one, and what is open at the end closes at `now`. Each
-    measure is one pass over its own event stream, told apart by a composite key so both share one
-    sliced write.
-    """
-    inside = events.filter((F.col("happened_at") >= moment(window_start)) & F.col("job_id").isNotNull())
-    streams = F.array_compact(
+def lease_streams(events: DataFrame) -> DataFrame:
+    """(id, job_id, happened_at, event, measure): each event once per measure it takes part in.
+    Events of no job count for neither."""
+    measures = F.array_compact(
         F.array(
             F.when(F.col("event").isin("requested", "acquired"), "wait"),
             F.when(F.col("event").isin("acquired", "released", "reclaimed"), "occupied"),
         )
     )
-    rows = inside.select(
-        "id", "job_id", "happened_at", F.col("event"), F.explode(streams).alias("measure")
-    ).withColumn("stream", F.concat("measure", F.lit("/"), "job_id"))
+    return events.filter("job_id IS NOT NULL").select(
+        "id", "job_id", "happened_at", "event", F.explode(measures).alias("measure")
+    )
+
+
+def pair_leases(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(closed, open): an acquire closes the request just before it, a release or reclaim the
+    acquire just before it, and a repeat replaces the earlier one. One sliced pass serves both
+    measures of all jobs, so a job with a third of all events is spread like any other."""
+    rows = streams.withColumn("stream", F.concat("measure", F.lit("/"), "job_id"))
     opens = F.when(F.col("measure") == "wait", "requested").otherwise("acquired")
     paired = with_neighbour_rows(rows, "stream", ("happened_at", "id"), ("event", "happened_at"))
     closed = paired.filter((F.col("event") != opens) & (F.col("previous_event") == opens)).select(
-        "job_id", "measure", F.col("previous_happened_at").alias("start_at"),
-        seconds_between(F.col("previous_happened_at"), F.col("happened_at")).alias("seconds"), F.lit(True).alias("closed"),
+        "job_id", "measure", F.col("previous_happened_at").alias("start_at"), F.col("happened_at").alias("end_at")
     )
-    pending = paired.filter(F.col("last") & (F.col("event") == opens)).select(
-        "job_id", "measure", F.col("happened_at").alias("start_at"),
-        seconds_between(F.col("happened_at"), moment(now)).alias("seconds"), F.lit(False).alias("closed"),
+    pending = paired.filter(F.col("last") & (F.col("event") == opens)).select(*streams.columns)
+    return closed, pending
+
+
+def lease_intervals(events: DataFrame, window_start: str, now: str) -> DataFrame:
+    """(job_id, measure, start_at, seconds, closed) with measure `wait` or `occupied`; what is open
+    at the end closes at `now`."""
+    closed, pending = pair_leases(lease_streams(events.filter(F.col("happened_at") >= moment(window_start))))
+    return closed.select(
+        "job_id", "measure", "start_at", seconds_between(F.col("start_at"), F.col("end_at")).alias("seconds"), F.lit(True).alias("closed")
+    ).unionByName(
+        pending.select(
+            "job_id", "measure", F.col("happened_at").alias("start_at"),
+            seconds_between(F.col("happened_at"), moment(now)).alias("seconds"), F.lit(False).alias("closed"),
+        )
     )
-    return closed.unionByName(pending)
 
 
 def lease_stats(

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_spark.operators import configs, graph
-from corpus_spark.operators.bundle import build_bundles
+from corpus_spark.operators.bundle import build_bundles, require_floors
 from corpus_spark.operators.ladder import compute_floors
 from corpus_spark.operators.merge import merge_observations
 from corpus_spark.operators.queueing import filter_verdicts
 from corpus_spark.session import materialize
-from corpus_spark.sources.corpus import load_corpus, load_identities
+from corpus_spark.sources.corpus import load_corpus
 
 
 def analyse(
@@ -47,25 +47,17 @@ def analyse(
 def deterministic_core(
     observations: DataFrame, config: DataFrame, reference: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, edges, analysis). Facts and edges are written once; everything after reads them."""
+    """(facts, edges, analysis), each written once: they are the stage tables later jobs read."""
     facts = materialize(merge_observations(observations), "facts")
     corpus = load_corpus(facts)
     edge_rows = materialize(graph.edges(corpus), "edges")
-    return facts, edge_rows, analyse(corpus, config, reference, edge_rows)
+    analysis = materialize(analyse(corpus, config, reference, edge_rows), "analysis")
+    return facts, edge_rows, analysis
 
 
 def bundles(
-    facts: DataFrame, edge_rows: DataFrame, analysis: DataFrame, config: DataFrame, reference: DataFrame
+    facts: DataFrame, edge_rows: DataFrame, analysis: DataFrame, reference: DataFrame
 ) -> DataFrame:
-    """Evidence bundle of every analysed package."""
-    floors = analysis.select(
-        "package", "floor", "floor_rule", "floor_reasons", "privapp_allowlisted", "privapp_permission_count"
-    )
-    return build_bundles(
-        load_corpus(facts),
-        load_identities(facts),
-        edge_rows,
-        configs.platform_libraries(config),
-        floors,
-        reference,
-    )
+    """Evidence bundle of every analysed package; a package without a floor is an error."""
+    require_floors(facts, analysis)
+    return build_bundles(facts, edge_rows, analysis, reference)

@@ -24,6 +24,7 @@ CORPUS_SCALARS = (
     "content_uri_authorities",
     "is_input_method",
 )
+# What a bundle shows and the graph, the filter and the ladder never read.
 IDENTITY = ("label", "label_unresolved", "cert_issuer", "version_code", "has_conflict")
 
 
@@ -43,8 +44,9 @@ def handles(action: str, category: str | None = None) -> Column:
     return F.coalesce(F.exists("intent_filters", matches), F.lit(False))
 
 
-def load_corpus(facts: DataFrame) -> DataFrame:
-    """Corpus rows. The icon payload is not selected, so a parquet scan never reads it."""
+def load_corpus(facts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Corpus rows, with further fact columns if asked for. The icon payload is never selected, so
+    a parquet scan does not read it."""
     return facts.select(
         *CORPUS_SCALARS,
         library_names("libraries").alias("libraries"),
@@ -52,8 +54,5 @@ def load_corpus(facts: DataFrame) -> DataFrame:
         handles(HOME_ACTION, HOME_CATEGORY).alias("handles_home"),
         handles(DIALER_ACTION).alias("handles_dialer"),
         handles(SMS_ACTION).alias("handles_sms_deliver"),
+        *extra,
     )
-
-
-def load_identities(facts: DataFrame) -> DataFrame:
-    return facts.select("package", *IDENTITY)

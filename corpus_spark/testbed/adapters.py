@@ -370,7 +370,7 @@ def responses(d: SparkDialect) -> str:
     k = "p_partkey"
     quoted = (
         f"CASE WHEN {k} % 19 = 0 THEN 'short' WHEN {k} % 23 = 1 THEN ' padded description text here' "
-        f"WHEN {k} % 29 = 2 THEN 'a space next to \\\\n newline in the text' WHEN {k} % 31 = 3 THEN repeat('long text ', 70) "
+        f"WHEN {k} % 29 = 2 THEN 'a space next to ' || chr(92) || 'n newline in the text' WHEN {k} % 31 = 3 THEN repeat('long text ', 70) "
         f"WHEN {k} % 8 = 1 THEN 'unknown' ELSE 'Describes ' || p_name || ' in package ' || {text(k)} END"
     )
     return f"""

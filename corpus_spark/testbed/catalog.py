@@ -4,6 +4,7 @@ from corpus_spark.testbed import (  # noqa: F401
     core_queries,
     document_queries,
     merge_queries,
+    streaming_queries,
     telemetry_queries,
     triage_queries,
     validation_queries,

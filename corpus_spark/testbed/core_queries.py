@@ -15,9 +15,7 @@ from corpus_spark.fixed_values import (
 )
 from corpus_spark.functions import canonical, tiers
 from corpus_spark.operators import anchors, graph, ladder, queueing
-from corpus_spark.operators.merge import merge_observations
 from corpus_spark.plans import core
-from corpus_spark.sources.corpus import load_corpus, load_identities
 from corpus_spark.testbed.oracle import cte
 from corpus_spark.testbed.registry import Bed, joined, query
 
@@ -406,7 +404,7 @@ def _(b: Bed):
 
 def c2(b: Bed):
     facts, edge_rows, analysis = core_of(b)
-    return core.bundles(facts, edge_rows, analysis, b.config, b.table("reference_list"))
+    return core.bundles(facts, edge_rows, analysis, b.table("reference_list"))
 
 
 @query("c2_build_bundles", "SELECT package, bundle_sha256 FROM bundles")
@@ -441,7 +439,7 @@ _stored = "SELECT package, CASE WHEN CAST(length(package) AS BIGINT) % 2 = 0 THE
 )
 def _(b: Bed):
     facts, edge_rows, analysis = core_of(b)
-    built = core.bundles(facts, edge_rows, analysis, b.config, b.table("reference_list")).select("package", "bundle_sha256")
+    built = core.bundles(facts, edge_rows, analysis, b.table("reference_list")).select("package", "bundle_sha256")
     size = F.length("package")
     stored = built.filter(size % 3 > 0).select("package", F.when(size % 2 == 0, F.col("bundle_sha256")).otherwise("old").alias("bundle_sha256"))
     return queueing.proposal_candidates(built, analysis, stored)

@@ -52,7 +52,7 @@ def validated(b: Bed):
     none = F.lit(None).cast("string")
     rows = b.table("responses").join(b.table("stored_analysis").select("package", "floor"), "package", "left")
     rows = rows.withColumns({
-        "d": queueing.derive_category(F.col("package"), none, none.cast("array<string>")),
+        "d": queueing.derive_category(F.col("package"), none, F.lit(None).cast("array<string>")),
         "bundle_sha256": F.concat(F.md5("package"), F.md5(F.concat("package", F.lit("x")))),
     })
     return validation.validate_proposals(rows.select("*", "d.category", "d.rule").drop("d"))
@@ -241,7 +241,7 @@ cte("round_rows", rewritten_sql("validated_round"))
 @query("c3_classification_round", f"SELECT {', '.join(OUT)}, parked, reason AS parked_reason FROM round_rows")
 def _(b: Bed):
     facts, edge_rows, analysis = core_of(b)
-    built = core.bundles(facts, edge_rows, analysis, b.config, b.table("reference_list"))
+    built = core.bundles(facts, edge_rows, analysis, b.table("reference_list"))
     rows = rounds.classification_round(built, analysis, derived(facts), stored(b), b.table("responses"))
     return shown(rows, "parked", "parked_reason")
 

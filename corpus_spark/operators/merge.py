@@ -10,6 +10,8 @@ regrouped, which spreads a hot package over all partitions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,8 +105,11 @@ def union_elements(observations: DataFrame, columns: Sequence[str] = UNION_COLUM
             ),
         )
 
+    # Most rows declare nothing at all, and a size test is much cheaper than building the lists.
+    declared = reduce(or_, [F.size(c) > 0 for c in columns])
     return (
-        observations.select("package", F.explode(F.concat(*[tagged(c) for c in columns])).alias("e"))
+        observations.filter(declared)
+        .select("package", F.explode(F.concat(*[tagged(c) for c in columns])).alias("e"))
         .select("package", "e.field", "e.element")
         .distinct()
     )
@@ -131,10 +136,24 @@ def union_merge(observations: DataFrame, columns: Sequence[str] = UNION_COLUMNS)
     return grouped.select("package", *[ordered(c).alias(c) for c in columns])
 
 
+def disputed_columns(
+    observations: DataFrame, columns: Sequence[str] = CONFLICT_COLUMNS
+) -> DataFrame:
+    """(package, positions): the columns a package has two or more stated values for. A lowest and
+    a highest value per column decide, so the state is constant-size and NULLs say nothing."""
+    differs = [F.when(F.min(c) != F.max(c), F.lit(i)) for i, c in enumerate(columns)]
+    return (
+        observations.groupBy("package")
+        .agg(F.array_compact(F.array(*differs)).alias("positions"))
+        .filter(F.size("positions") > 0)
+    )
+
+
 def conflict_carriers(
     observations: DataFrame, columns: Sequence[str] = CONFLICT_COLUMNS
 ) -> DataFrame:
-    """(package, field, key, devices): who stated which value, for every stated value."""
+    """(package, position, field, value, devices): who stated which value of a disputed column.
+    Only disputed columns of disputed packages are spread to long form."""
     stated = [
         F.struct(
             F.lit(position).alias("position"),
@@ -143,9 +162,12 @@ def conflict_carriers(
         )
         for position, c in enumerate(columns)
     ]
-    present = F.filter(F.array(*stated), lambda s: s["value"].isNotNull())
+    # Explode and filter compile to one loop; a lambda over the array would not.
     return (
-        observations.select("package", "device_key", F.explode(present).alias("s"))
+        observations.select("package", "device_key", *columns)
+        .join(disputed_columns(observations, columns), "package")
+        .select("package", "device_key", "positions", F.explode(F.array(*stated)).alias("s"))
+        .filter(F.col("s.value").isNotNull() & F.array_contains("positions", F.col("s.position")))
         .select("package", "s.position", "s.field", "s.value", "device_key")
         .distinct()
         .groupBy("package", "position", "field", "value")
@@ -164,7 +186,6 @@ def conflicts(observations: DataFrame, columns: Sequence[str] = CONFLICT_COLUMNS
         conflict_carriers(observations, columns)
         .groupBy("package", "position", "field")
         .agg(F.collect_list(F.struct(key.alias("key"), "value", "devices")).alias("values"))
-        .filter(F.size("values") >= 2)
     )
     return per_field.groupBy("package").agg(
         F.transform(

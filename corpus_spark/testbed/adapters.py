@@ -19,8 +19,23 @@ class SparkDialect:
     def arr(self, *items: str) -> str:
         return f"array_compact(array({', '.join(items)}))"
 
+    def lit(self, *items: str) -> str:
+        return f"array({', '.join(items)})"
+
+    def no_strings(self) -> str:
+        return "CAST(array() AS array<string>)"
+
     def strings(self, *items: str) -> str:
-        return f"array_compact(array(cast(null as string), {', '.join(items)}))"
+        """A list of texts; an item may be `CASE WHEN test THEN text END`. Rows for which no test
+        holds get the empty list without building one."""
+        cases = [re.match(r"^CASE WHEN (.*?) THEN (.*) END$", i, re.S) for i in items]
+        if items == ("cast(null as string)",):
+            return self.no_strings()
+        if not all(cases):
+            return self.lit(*items)
+        tests = " OR ".join(f"({c[1]})" for c in cases)
+        made = self.lit(cases[0][2]) if len(cases) == 1 else self.arr(*items)
+        return f"CASE WHEN {tests} THEN {made} ELSE {self.no_strings()} END"
 
     def lib(self, name: str, version: str) -> str:
         return f"named_struct('name', {name}, 'version', CAST({version} AS INT))"
@@ -60,8 +75,11 @@ class DuckDialect(SparkDialect):
     def arr(self, *items: str) -> str:
         return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
 
-    def strings(self, *items: str) -> str:
-        return f"list_filter([CAST(NULL AS VARCHAR), {', '.join(items)}], lambda x: x IS NOT NULL)"
+    def lit(self, *items: str) -> str:
+        return f"[{', '.join(items)}]"
+
+    def no_strings(self) -> str:
+        return "CAST([] AS VARCHAR[])"
 
     def lib(self, name: str, version: str) -> str:
         return f"struct_pack(name := {name}, version := CAST({version} AS INT))"
@@ -148,6 +166,10 @@ def digest(k: str, j: str) -> str:
     )
 
 
+# Library names repeat inside a block of keys, so provider groups keep their size at any scale.
+SHARED = f"'shared' || {text('k - k % 300')} || '.' || "
+
+
 def observations(d: SparkDialect) -> str:
     k = "k"
     solo = f"{k} - {k} % 40"
@@ -189,12 +211,12 @@ def observations(d: SparkDialect) -> str:
       (k % 61 = 0 AND qty > 10) AS is_device_admin,
       (k % 67 = 0) AS is_accessibility_service,
       (k % 103 = 0) AS is_carrier_service,
-      CASE WHEN k % 40 = 0 AND k % 15 = 0 THEN {d.arr(d.lib("'shared' || " + text('k % 75'), "CASE WHEN qty > 30 THEN 2 END"), d.lib("'solo' || " + text('k'), "1"))}
-           WHEN k % 15 = 0 THEN {d.arr(d.lib("'shared' || " + text('k % 75'), "CASE WHEN qty > 30 THEN 2 END"))}
+      CASE WHEN k % 40 = 0 AND k % 15 = 0 THEN {d.arr(d.lib(SHARED + text('k % 75'), "CASE WHEN qty > 30 THEN 2 END"), d.lib("'solo' || " + text('k'), "1"))}
+           WHEN k % 15 = 0 THEN {d.arr(d.lib(SHARED + text('k % 75'), "CASE WHEN qty > 30 THEN 2 END"))}
            WHEN k % 40 = 0 THEN {d.arr(d.lib("'solo' || " + text('k'), "1"))}
            ELSE {d.no_libs()} END AS libraries,
       CASE WHEN k % 90 = 0 THEN {d.arr(d.lib("'static' || " + text('k % 180'), "3"))} ELSE {d.no_libs()} END AS static_libraries,
-      {d.strings("CASE WHEN k % 12 = 5 THEN 'shared' || " + text('(k % 5) * 15') + " END",
+      {d.strings("CASE WHEN k % 12 = 5 THEN " + SHARED + text('(k % 5) * 15') + " END",
                  "CASE WHEN k % 8 = 3 OR k % 80 = 0 THEN 'solo' || " + text(solo) + " END",
                  "CASE WHEN k % 16 = 1 THEN 'platform.lib' || " + text('k % 3') + " END",
                  "CASE WHEN k % 33 = 2 AND qty > 20 THEN 'missing.lib' END",

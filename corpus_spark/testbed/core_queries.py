@@ -394,7 +394,7 @@ def _(b: Bed):
 
 
 def core_of(b: Bed):
-    return core.deterministic_core(b.observations, b.config, b.table("reference_list"))
+    return core.deterministic_core(b.stored_observations, b.config, b.table("reference_list"))
 
 
 @query("f4_evidence_bundle", "SELECT package, bundle_json FROM bundles")

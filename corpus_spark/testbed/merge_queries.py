@@ -202,13 +202,13 @@ def fact_text(facts):
 
 @query("a10_merged_facts", FACT_SQL)
 def _(b: Bed):
-    return fact_text(merge.merge_observations(b.observations))
+    return fact_text(merge.merge_observations(b.stored_observations))
 
 
 @query("a11_incremental_remerge", FACT_SQL)
 def _(b: Bed):
     # Rows of later orders arrive as a second batch; the result must equal one merge of everything.
-    obs = b.observations
+    obs = b.stored_observations
     stored = obs.filter(F.substring("build", 2, 20).cast("long") % 10 != 0)
     incoming = obs.filter(F.substring("build", 2, 20).cast("long") % 10 == 0)
     _, facts = merge.remerge_touched(merge.merge_observations(stored), stored, incoming)
@@ -243,7 +243,7 @@ cte(
     "array_to_string(list_sort(static_libraries), ',') AS static_libraries, is_input_method, handles_home, handles_dialer, handles_sms_deliver FROM corpus",
 )
 def _(b: Bed):
-    corpus = load_corpus(merge.merge_observations(b.observations))
+    corpus = load_corpus(merge.merge_observations(b.stored_observations))
     return corpus.select(
         "package", F.col("device_count").cast("long").alias("device_count"), "priv_app", "core_app", "persistent", "shared_user_id", "overlay_target",
         joined(F.sort_array("libraries")).alias("libraries"), joined(F.sort_array("static_libraries")).alias("static_libraries"),

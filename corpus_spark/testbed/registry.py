@@ -37,10 +37,16 @@ class Bed:
     def observations(self) -> DataFrame:
         return self.table("observations")
 
+    @cached_property
+    def stored_observations(self) -> DataFrame:
+        """The observation table itself: the merge reads it in several passes, and deriving it in
+        each of them would cost more than writing it once."""
+        return materialize(self.observations, "observations")
+
     @cached_property
     def facts(self) -> DataFrame:
         """Merged facts, written once because every later stage reads them."""
-        return materialize(merge_observations(self.observations), "facts")
+        return materialize(merge_observations(self.stored_observations), "facts")
 
     @cached_property
     def corpus(self) -> DataFrame:

@@ -43,9 +43,8 @@ def page(rows: DataFrame, number: int, total: int, sort: str = "device_count", d
 
 def newest(rows: DataFrame, time: str, tie: str, limit: int) -> DataFrame:
     """The newest rows of a log, with the log's whole size beside each."""
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    top = rows.orderBy(F.col(time).desc(), F.col(tie).desc()).limit(limit)
-    return top.crossJoin(F.broadcast(total))  # one row
+    total = rows.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return rows.orderBy(F.col(time).desc(), F.col(tie).desc()).limit(limit).withColumn("total", total)
 
 
 def ranked(rows: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def lease_stats(
         intervals = intervals.unionByName(seeded)
     acquired = events.filter(
         (F.col("happened_at") >= moment(window_start)) & F.col("job_id").isNotNull() & (F.col("event") == "acquired")
-    ).agg(F.count(F.lit(1)).alias("total_acquisitions"))
+    ).agg(F.count(F.lit(1)))
     occupied = F.when(F.col("measure") == "occupied", F.col("seconds"))
     waited = F.when(F.col("measure") == "wait", F.col("seconds"))
     window = seconds_between(moment(window_start), moment(now))
@@ -118,8 +118,10 @@ def lease_stats(
         F.avg(waited).alias("avg_wait_seconds"),
         F.max(waited).alias("max_wait_seconds"),
     )
-    return acquired.crossJoin(totals).withColumn(  # one row each
-        "occupancy_pct", F.when(window > 0, F.col("occupied_seconds") / window * 100).otherwise(0.0)
+    return totals.select(
+        acquired.scalar().alias("total_acquisitions"),
+        "*",
+        F.when(window > 0, F.col("occupied_seconds") / window * 100).otherwise(0.0).alias("occupancy_pct"),
     )
 
 
@@ -131,11 +133,9 @@ def eviction_plan(dirs: DataFrame, ceiling: int) -> DataFrame:
         & (F.col("job_attempt") == F.col("dir_attempt"))
     )
     candidates = dirs.filter(~F.coalesce(live, F.lit(False)))
-    total = candidates.agg(F.sum("size").alias("total"))
+    total = candidates.agg(F.sum("size")).scalar()
     planned = running_total(candidates, "size", ("mtime", "id"), "freed_before")
-    return planned.crossJoin(F.broadcast(total)).filter(  # one row
-        F.col("total") - F.col("freed_before") > ceiling
-    )
+    return planned.filter(total - F.col("freed_before") > ceiling)
 
 
 def stale_jobs(jobs: DataFrame, cutoff: str, max_attempts: int) -> DataFrame:

@@ -65,5 +65,5 @@ def load_reference_list(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 def with_provenance(verdicts: DataFrame, provenance: DataFrame) -> DataFrame:
     """Every verdict row with the bytes that decided it; the provenance is one row."""
-    packed = provenance.select(F.struct(*[F.col(c) for c in provenance.columns]).alias("list_provenance"))
-    return verdicts.crossJoin(F.broadcast(packed))
+    packed = provenance.select(F.struct(*[F.col(c) for c in provenance.columns])).scalar()
+    return verdicts.withColumn("list_provenance", packed)

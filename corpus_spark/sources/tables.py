@@ -18,7 +18,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     spread hashes the leading key column, which unlike a round robin needs no sort to be repeatable.
     """
     df = spark.read.parquet(path)
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b").rstrip("bB"))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if 200_000 < size < split:
         return df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])

@@ -104,9 +104,9 @@ def _(b: Bed):
 )
 def _(b: Bed):
     jobs = b.table("job_runs")
-    total = jobs.agg(F.count(F.lit(1)).alias("total"))
+    total = jobs.agg(F.count(F.lit(1))).scalar()
     rows = newest(jobs.filter("state = 'failed' AND kind = 'classification'"), "created_at", "job_id", 100).drop("total")
-    return rows.crossJoin(F.broadcast(total)).select("job_id", "state", "total")
+    return rows.select("job_id", "state", total.alias("total"))
 
 
 @query(

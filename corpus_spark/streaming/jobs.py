@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from corpus_spark.operators.merge import merge_observations, upsert_observations
+from corpus_spark.operators.merge import ORDER_COLUMNS, merge_observations
 from corpus_spark.operators.telemetry import lease_streams, pair_leases
+from corpus_spark.operators.triage import latest
 from corpus_spark.session import STATE_STORE, fresh_path
 
 
@@ -33,6 +34,25 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
 
 
+class BatchLog:
+    """An append-only table with one folder per batch. A replayed batch overwrites its own folder
+    and nothing else, so the cost of a batch is the batch, not the table."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType) -> None:
+        self.spark, self.path = spark, path
+        self.schema = StructType(list(schema.fields))
+
+    def read(self, last: int) -> DataFrame:
+        """Every row up to batch `last`, with its batch number; later folders are not listed."""
+        stored = StructType([*self.schema.fields, StructField("batch", IntegerType())])
+        if last < 0:
+            return self.spark.createDataFrame([], stored)
+        return self.spark.read.schema(stored).parquet(self.path).filter(F.col("batch") <= last)
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> int:
     """Runs `each` over everything that has arrived; the number of the last batch, -1 for none."""
     seen = []
@@ -51,37 +71,76 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     return max(seen, default=-1)
 
 
-def merge_stream(stream: DataFrame, observations: VersionedTable, facts: VersionedTable, checkpoint: str) -> int:
-    """Facts kept up with a stream of observations: first-seen times stay, only touched packages
-    are merged again, and a replayed batch gives the same rows."""
+def log_schema(observations: DataFrame) -> StructType:
+    """Observation rows and whether the row withdraws its key from its package."""
+    return StructType([*observations.schema.fields, StructField("withdrawn", BooleanType())])
+
+
+def merge_stream(stream: DataFrame, log: BatchLog, facts: BatchLog, checkpoint: str) -> int:
+    """Facts kept up with a stream of observations, replay-safe.
+
+    `log` (see `log_schema`) gets the batch's rows, each with the time its key was first seen; when
+    a key turns up under another package, a withdrawal row is written for the old one. `facts` gets
+    the rows of touched packages only. Both are read as "newest row per key".
+    """
+    key = list(ORDER_COLUMNS)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        key = ("device_key", "build", "device_path")
+        columns = batch.columns
         # One key may arrive twice in a batch; the smallest row decides, whatever the order.
-        ordered = F.struct("observed_at", F.to_json(F.struct(*[c for c in batch.columns if c not in key])))
-        once = batch.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), ordered).alias("r")).select("r.*")
-        observations.write(upsert_observations(observations.read(batch_id - 1), once), batch_id)
+        ordered = F.struct("observed_at", F.to_json(F.struct(*[c for c in columns if c not in key])))
+        once = batch.groupBy(*key).agg(F.min_by(F.struct(*columns), ordered).alias("r")).select("r.*")
+        # The key columns of the log, reduced to keys of this batch.
+        known = (
+            log.read(batch_id - 1)
+            .select(*key, "package", "observed_at", "withdrawn", "batch")
+            .join(once.select(*key), key, "left_semi")
+            .groupBy(*key)
+            .agg(
+                F.min_by("observed_at", "batch").alias("first_at"),
+                F.max_by("package", F.struct("batch", ~F.col("withdrawn"))).alias("old_package"),
+            )
+        )
+        joined = once.join(known, key, "left").withColumns(
+            {"observed_at": F.coalesce("first_at", "observed_at"), "withdrawn": F.lit(False)}
+        )
+        moved = joined.filter(F.col("old_package") != F.col("package")).withColumns(
+            {"package": F.col("old_package"), "withdrawn": F.lit(True)}
+        )
+        log.write(joined.unionByName(moved).sortWithinPartitions("package"), batch_id)
+
         touched = once.select("package").distinct()
-        redone = merge_observations(observations.read(batch_id).join(touched, "package", "left_semi"))
-        kept = facts.read(batch_id - 1).join(touched, "package", "left_anti")
-        facts.write(kept.unionByName(redone), batch_id)
+        mine = log.read(batch_id).join(touched, "package", "left_semi")
+        newest = F.max_by(F.struct(*columns, "withdrawn"), "batch")
+        current = mine.groupBy("package", *key).agg(newest.alias("r")).select("r.*").filter("NOT withdrawn")
+        facts.write(merge_observations(current.select(*columns)), batch_id)
 
     return run_available(stream, checkpoint, each)
 
 
+def current_rows(table: BatchLog, last: int, key: str) -> DataFrame:
+    """The rows of the newest batch that has the key."""
+    rows = table.read(last)
+    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [key, "batch"], "left_semi").drop("batch")
+
+
 def latest_stream(
-    stream: DataFrame, state: VersionedTable, checkpoint: str, key: str, order: tuple[str, ...]
+    stream: DataFrame, state: BatchLog, checkpoint: str, key: str, order: tuple[str, ...]
 ) -> int:
-    """The newest row per key by `order`, kept over batches that may arrive in any order."""
+    """Each batch leaves its own newest row per key; `latest_state` merges them when read, so
+    batches may arrive in any order."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        both = state.read(batch_id - 1).unionByName(batch.select(*state.schema.names))
-        newest = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.struct(*order)).alias("r"))
-        state.write(newest.select("r.*"), batch_id)
+        state.write(latest(batch, key, order, [c for c in batch.columns if c != key]), batch_id)
 
     return run_available(stream, checkpoint, each)
 
 
+def latest_state(state: BatchLog, last: int, key: str, order: tuple[str, ...]) -> DataFrame:
+    return latest(state.read(last), key, order, [c for c in state.schema.names if c != key])
+
+
 def fact_schema(observations: DataFrame) -> StructType:
     return merge_observations(observations.limit(0)).schema
 

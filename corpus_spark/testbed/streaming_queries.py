@@ -23,12 +23,12 @@ def replay(b: Bed, df: DataFrame, name: str, arrival, batches: int) -> DataFrame
 
 @query("t1_incremental_merge_stream", FACT_SQL)
 def _(b: Bed):
-    obs = b.observations
+    obs = b.stored_observations
     stream = replay(b, obs, "observations", F.abs(F.hash("device_path")), 3)
-    stored = jobs.VersionedTable(b.spark, fresh_path(b.spark, "stored"), obs.schema)
-    facts = jobs.VersionedTable(b.spark, fresh_path(b.spark, "facts"), jobs.fact_schema(obs))
-    last = jobs.merge_stream(stream, stored, facts, fresh_path(b.spark, "merge-checkpoint"))
-    return fact_text(facts.read(last))
+    log = jobs.BatchLog(b.spark, fresh_path(b.spark, "stored"), jobs.log_schema(obs))
+    facts = jobs.BatchLog(b.spark, fresh_path(b.spark, "facts"), jobs.fact_schema(obs))
+    last = jobs.merge_stream(stream, log, facts, fresh_path(b.spark, "merge-checkpoint"))
+    return fact_text(jobs.current_rows(facts, last, "package"))
 
 
 @query("t2_latest_decision_stream", "SELECT package, id, action FROM latest_decision")
@@ -36,9 +36,10 @@ def _(b: Bed):
     log = b.table("decisions").select("package", "id", "action", "decided_at")
     # Newest first: later batches bring older decisions, which must not win.
     stream = replay(b, log, "decisions", 2 - F.year("decided_at") % 3, 3)
-    state = jobs.VersionedTable(b.spark, fresh_path(b.spark, "latest"), log.schema)
-    last = jobs.latest_stream(stream, state, fresh_path(b.spark, "latest-checkpoint"), "package", ("decided_at", "id"))
-    return state.read(last).select("package", "id", "action")
+    state = jobs.BatchLog(b.spark, fresh_path(b.spark, "latest"), log.schema)
+    order = ("decided_at", "id")
+    last = jobs.latest_stream(stream, state, fresh_path(b.spark, "latest-checkpoint"), "package", order)
+    return jobs.latest_state(state, last, "package", order).select("package", "id", "action")
 
 
 cte("beats", "SELECT 'job-' || user_id AS job_id, ts AS beat_at, CAST(event_id % 4 AS INT) AS attempt FROM events")
@@ -47,7 +48,7 @@ cte("beats", "SELECT 'job-' || user_id AS job_id, ts AS beat_at, CAST(event_id %
 @query("t3_heartbeat_timeout_stream")
 def _(b: Bed):
     beats = b.raw("events").select(F.concat(F.lit("job-"), "user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("beat_at"), (F.col("event_id") % 4).cast("int").alias("attempt"))
-    stream = replay(b, beats, "beats", F.dayofmonth("beat_at"), 30)
+    stream = replay(b, beats, "beats", F.least(F.floor((F.dayofmonth("beat_at") - 1) / 3), F.lit(9)), 10)
     found = jobs.collect_stream(jobs.heartbeat_timeouts(stream, 86_400, 3, "1 hour"), "heartbeats")
     return found.select("job_id", F.date_format("last_beat", "yyyy-MM-dd HH:mm:ss").alias("last_beat"), "attempt", "outcome")
 

@@ -18,22 +18,27 @@ def arrivals(spark, *batches):
 def test_merge_stream_equals_one_merge(spark):
     first = observations(spark, {"package": "a", "cert_issuer": "1"}, {"package": "b", "device_path": "/b.apk"})
     second = observations(spark, {"package": "a", "cert_issuer": "2", "observed_at": datetime(2025, 1, 1)}, {"package": "a", "device_key": "z:9", "cert_issuer": "3"})
-    stored = jobs.VersionedTable(spark, fresh_path(spark, "s"), first.schema)
-    facts = jobs.VersionedTable(spark, fresh_path(spark, "f"), jobs.fact_schema(first))
-    last = jobs.merge_stream(arrivals(spark, first, second), stored, facts, fresh_path(spark, "c"))
-    got = {r.package: r for r in facts.read(last).collect()}
+    moved = observations(spark, {"package": "c", "device_path": "/b.apk", "observed_at": datetime(2025, 1, 1)})
+    again = observations(spark, {"package": "b", "device_path": "/other.apk"})
+    log = jobs.BatchLog(spark, fresh_path(spark, "s"), jobs.log_schema(first))
+    facts = jobs.BatchLog(spark, fresh_path(spark, "f"), jobs.fact_schema(first))
+    last = jobs.merge_stream(arrivals(spark, first, second, moved, again), log, facts, fresh_path(spark, "c"))
+    got = {r.package: r for r in jobs.current_rows(facts, last, "package").collect()}
     assert got["a"].cert_issuer == "2" and got["a"].device_count == 2 and got["a"].first_seen_at == datetime(2024, 1, 1)
-    want = {r.package: str(r) for r in merge_observations(stored.read(last)).collect()}
-    assert {k: str(v) for k, v in got.items()} == want
+    # The moved key keeps the time it was first seen and no longer counts for its old package.
+    assert got["c"].first_seen_at == datetime(2024, 1, 1)
+    alone = merge_observations(again).first()
+    assert str(got["b"]) == str(alone)
 
 
 def test_older_decisions_do_not_win(spark):
     schema = "package string, id int, decided_at timestamp_ntz"
     newer = spark.createDataFrame([("p", 2, datetime(2024, 2, 1))], schema)
     older = spark.createDataFrame([("p", 1, datetime(2024, 1, 1)), ("q", 3, datetime(2024, 1, 1))], schema)
-    state = jobs.VersionedTable(spark, fresh_path(spark, "l"), newer.schema)
-    last = jobs.latest_stream(arrivals(spark, newer, older), state, fresh_path(spark, "lc"), "package", ("decided_at", "id"))
-    assert {r.package: r.id for r in state.read(last).collect()} == {"p": 2, "q": 3}
+    state = jobs.BatchLog(spark, fresh_path(spark, "l"), newer.schema)
+    order = ("decided_at", "id")
+    last = jobs.latest_stream(arrivals(spark, newer, older), state, fresh_path(spark, "lc"), "package", order)
+    assert {r.package: r.id for r in jobs.latest_state(state, last, "package", order).collect()} == {"p": 2, "q": 3}
 
 
 @pytest.mark.parametrize("attempt", [1, 3])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_spark.llm import cross_polytope, minhash_join
+from corpus_spark.llm import cross_polytope, minhash_join, mixing, secret_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,48 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_source_mix"] = """
+WITH sized AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+        ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT AS hash
+    FROM documents
+), ranked AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+        CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+    FROM sized GROUP BY source
+), filled AS (
+    SELECT *, CAST(coalesce(sum(2 * source_size) OVER (ORDER BY 2.0 * source_size / weight, source
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS held,
+        CAST(sum(weight) OVER (ORDER BY 2.0 * source_size / weight, source
+            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS rest,
+        CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS budget
+    FROM ranked
+), level AS (
+    SELECT min((budget - held) / rest) AS level FROM filled WHERE (budget - held) / rest * weight < 2 * source_size
+), targets AS (
+    SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), level * weight) AS target FROM filled, level
+), planned AS (
+    SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS passes FROM targets
+), running AS (
+    SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, d.hash, p.target - p.passes * p.source_size AS wanted,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash) AS through, d.source
+    FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source
+), cut AS (
+    SELECT source, min(hash) AS below FROM running WHERE through > wanted GROUP BY source
+)
+SELECT r.doc_id, r.size, r.source_size, r.target,
+    CAST(r.size * (r.passes + CASE WHEN c.below IS NULL OR r.hash < c.below THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM running r LEFT JOIN cut c ON r.source IS NOT DISTINCT FROM c.source
+"""
+
+
+@query
+def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.digest(secret_links.scan(table(spark, sf_dir, "documents")))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpus_spark.llm import cross_polytope, minhash_join, mixing, secret_links
+from corpus_spark.llm import cross_polytope, minhash_join, mixing, secret_links, zstd_language
+from corpus_spark.llm.held_out import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +28,16 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op2_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 4, 2)
+    model = zstd_language.learn(docs.filter(~out))
+    return zstd_language.identify(docs.select("doc_id", "text", out.alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected")
+    )
+
+
 @query
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
@@ -53,7 +65,8 @@ WITH sized AS (
         CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS budget
     FROM ranked
 ), level AS (
-    SELECT min((budget - held) / rest) AS level FROM filled WHERE (budget - held) / rest * weight < 2 * source_size
+    SELECT (budget - held) / rest AS level FROM filled WHERE (budget - held) / rest * weight < 2 * source_size
+    ORDER BY 2.0 * source_size / weight, source LIMIT 1
 ), targets AS (
     SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), level * weight) AS target FROM filled, level
 ), planned AS (

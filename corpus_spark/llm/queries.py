@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_spark.llm import cross_polytope, minhash_join, mixing, secret_links, zstd_language
+from corpus_spark.llm import cross_polytope, minhash_join, mixing, secret_links, syncmers, zstd_language
 from corpus_spark.llm.held_out import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op2_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))

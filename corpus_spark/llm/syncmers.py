@@ -26,6 +26,7 @@ from corpus_spark.llm.wordhash import mix
 K, S = 16, 6
 SKETCH = 64
 RANGE_ROWS = 5000
+MOST_RANGES = 2000  # beyond that, ranges grow; they are streamed, so only their number costs memory
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,7 +122,7 @@ def edited(text: str, following: str) -> str:
 def _bounds(ids: DataFrame) -> list:
     """Ids that cut the table into ranges of about RANGE_ROWS rows; their number is what is collected."""
     rows = ids.count()
-    parts = max(1, rows // RANGE_ROWS)
+    parts = min(max(1, rows // RANGE_ROWS), MOST_RANGES)
     if parts == 1:
         return []
     cuts = [i / parts for i in range(1, parts)]
@@ -154,7 +155,7 @@ def with_next(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     own = one(F.col("range"), 0)
     both = F.array(own, one(F.element_at(previous, F.col("range")), 1))
     places = F.explode(F.when(leads, both).otherwise(F.array(own)))
-    return ranged.drop("range").withColumn("at", places).select("at.range", "at.tail", "id", "text")
+    return ranged.withColumn("at", places).select("at.range", "at.tail", "id", "text")
 
 
 class _Print:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 6_000_000
 LONG_UNIT = 96  # bytes; longer words are relaxed one by one
 CACHE_BITS = 21
+KEPT_UNITS = 600_000
 
 _UNIT = re.compile(" +[^ ]*")
 _SEPARATOR = 0xFF  # in no UTF-8 text
-_WIDTH = 16
+_WIDTH = 8
 _FREE = np.iinfo(np.int32).max
 
 
@@ -87,11 +89,12 @@ class Pieces:
         self.content = [b for _, b in reached]
         self.lengths = np.array([len(b) for b in self.content], np.int32)
         self.single = np.array([len(b.decode()) == 1 for b in self.content], bool)
-        padded = np.array([b[:_WIDTH].ljust(_WIDTH, b"\0") for b in self.content], f"S{_WIDTH}")
-        topped = np.array([b[:_WIDTH].ljust(_WIDTH, b"\xff") for b in self.content], f"S{_WIDTH}")
-        self.low, self.high = (
-            np.frombuffer(x.tobytes(), ">u8").astype(np.uint64).reshape(-1, 2) for x in (padded, topped)
-        )
+        padded = [b[:_WIDTH].ljust(_WIDTH, b"\0") for b in self.content]
+        topped = [b[:_WIDTH].ljust(_WIDTH, b"\xff") for b in self.content]
+        self.low, self.high = (np.frombuffer(b"".join(x), ">u8").astype(np.uint64) for x in (padded, topped))
+        most = int(self.lengths.max(initial=1))
+        whole = b"".join(b.ljust(most, b"\0") for b in self.content)
+        self.padded = np.frombuffer(whole, np.uint8).reshape(-1, most)
         self.cache_keys = np.full(1 << CACHE_BITS, -1, np.int64)
         self.cache_values = np.zeros(1 << CACHE_BITS, bool)
         self.as_bytes = np.full(size, b"", object)
@@ -161,38 +164,28 @@ class Pieces:
         return out
 
 
-def _bisect(high: np.ndarray, low: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
-    """Places of the rows of `wanted` (high, low) among sorted keys."""
-    a, b = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(high), np.int64)
-    while (open_ := a < b).any():
-        mid = np.minimum((a + b) // 2, len(high) - 1)
-        less = (high[mid] < wanted[:, 0]) | (
-            (high[mid] == wanted[:, 0]) & ((low[mid] <= wanted[:, 1]) if after else (low[mid] < wanted[:, 1]))
-        )
-        a, b = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, b)
-    return a
-
-
 def _edges(pieces: Pieces, buffer: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, token) of every occurrence of every piece, from the sorted suffixes."""
+    """(start, length, token) of every occurrence of every piece, from the sorted suffixes.
+
+    Suffixes are sorted by their first _WIDTH bytes; the range of a longer piece is verified byte by byte."""
     n = len(buffer) - 2 * _WIDTH
-    keys = np.zeros(len(buffer) - 8, np.uint64)
-    for i in range(8):
-        keys = keys << np.uint64(8) | buffer[i : i + len(keys)]
-    high, low = keys[:n], keys[8 : n + 8]
-    order = np.lexsort((low, high))
-    high, low = high[order], low[order]
-    first, end = _bisect(high, low, pieces.low, False), _bisect(high, low, pieces.high, True)
-    counts = end - first
+    keys = np.zeros(n, np.uint64)
+    for i in range(_WIDTH):
+        keys = keys << np.uint64(8) | buffer[i : i + n]
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.searchsorted(keys, pieces.low, "left")
+    counts = np.searchsorted(keys, pieces.high, "right") - first
     which = np.repeat(np.arange(len(counts)), counts)
     start = order[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(len(which))]
     length = pieces.lengths[which]
-    long = np.flatnonzero(length > _WIDTH)
-    if len(long):
-        wrong = [i for i in long.tolist() if not raw.startswith(pieces.content[which[i]], int(start[i]))]
-        keep = np.ones(len(which), bool)
-        keep[wrong] = False
-        start, length, which = start[keep], length[keep], which[keep]
+    keep = np.ones(len(which), bool)
+    left = np.flatnonzero(length > _WIDTH)
+    for i in range(_WIDTH, int(pieces.lengths.max(initial=0))):
+        left = left[length[left] > i]
+        keep[left] &= buffer[np.minimum(start[left] + i, len(buffer) - 1)] == pieces.padded[which[left], i]
+        left = left[keep[left]]
+    start, length, which = start[keep], length[keep], which[keep]
     covered = np.zeros(n, bool)
     covered[start[pieces.single[which]]] = True
     lead = buffer[:n]
@@ -208,7 +201,7 @@ def encode_units(pieces: Pieces, units: Sequence[str]) -> tuple[np.ndarray, np.n
     encoded = [u.encode("utf-8", "surrogatepass") for u in units]
     raw = b"\xff".join([*encoded, b"\xff" * (2 * _WIDTH)])
     buffer = np.frombuffer(raw, np.uint8)
-    sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+    sizes = np.array(list(map(len, encoded)), np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
     start, length, token = _edges(pieces, buffer, raw)
     unit = np.repeat(np.arange(len(units)), sizes + 1)[start]
@@ -298,24 +291,38 @@ def _read_back(pieces: Pieces, last: np.ndarray, begins: np.ndarray, sizes: np.n
     return ids.astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
 
-def encode_texts(pieces: Pieces, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts one behind the other, where each text's begin, with the end)."""
-    codes: dict[str, int] = {}
-    sequence: list[int] = []
-    ends = [0]
-    for text in texts:
-        if text:
-            normal = " " + text.replace("▁", " ")
-            sequence.extend([codes.setdefault(u, len(codes)) for u in _UNIT.findall(normal)])
-        ends.append(len(sequence))
-    if not codes:
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    ids, begins = encode_units(pieces, list(codes))
-    units = np.array(sequence, np.int64)
-    counts = np.diff(begins)[units]
-    through = np.concatenate([[0], np.cumsum(counts)])
-    where = np.repeat(begins[units] - through[:-1], counts) + np.arange(through[-1])
-    return ids[where], through[np.array(ends)]
+class Encoder:
+    """Encodes batch after batch; words met before keep their ids, until KEPT_UNITS of them are held."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self._clear()
+
+    def _clear(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.ids, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one behind the other, where each text's begin, with the end)."""
+        if len(self.codes) > KEPT_UNITS:
+            self._clear()
+        codes, known = self.codes, len(self.codes)
+        sequence: list[int] = []
+        ends = [0]
+        for text in texts:
+            if text:
+                normal = " " + text.replace("▁", " ")
+                sequence.extend([codes.setdefault(u, len(codes)) for u in _UNIT.findall(normal)])
+            ends.append(len(sequence))
+        if len(codes) > known:
+            ids, begins = encode_units(self.pieces, list(islice(codes, known, None)))
+            self.begins = np.concatenate([self.begins, self.begins[-1] + begins[1:]])
+            self.ids = np.concatenate([self.ids, ids])
+        units = np.array(sequence, np.int64)
+        counts = np.diff(self.begins)[units]
+        through = np.concatenate([[0], np.cumsum(counts)])
+        where = np.repeat(self.begins[units] - through[:-1], counts) + np.arange(through[-1])
+        return self.ids[where], through[np.array(ends)]
 
 
 def decode_ids(pieces: Pieces, ids: np.ndarray) -> str:
@@ -334,10 +341,11 @@ def encode(df: DataFrame, pieces: Pieces, id_column: str = "doc_id", text_column
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(pieces)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts, BATCH_CHARS):
-                ids, ends = encode_texts(pieces, texts[a:b])
+                ids, ends = encoder.encode(texts[a:b])
                 same = [decode_ids(pieces, ids[ends[i] : ends[i + 1]]) == (texts[a + i] or "") for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [

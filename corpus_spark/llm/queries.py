@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_spark.llm import cross_polytope, minhash_join, mixing, secret_links, syncmers, zstd_language
+from corpus_spark.llm import (
+    cross_polytope,
+    minhash_join,
+    mixing,
+    pairwise_quality,
+    perspectives,
+    piece_suffixes,
+    secret_links,
+    syncmers,
+    zstd_language,
+)
 from corpus_spark.llm.held_out import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +102,49 @@ FROM running r LEFT JOIN cut c ON r.source IS NOT DISTINCT FROM c.source
 @query
 def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_links.digest(secret_links.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_piece_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_suffixes.encode(table(spark, sf_dir, "documents"), piece_suffixes.Pieces.load())
+
+
+@query
+def op9_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 5, 0)
+    ranking = pairwise_quality.learn(docs, table(spark, sf_dir, "labels").filter(~out))
+    return pairwise_quality.score(docs.select("doc_id", "text", out.alias("held_out")), ranking).select(
+        "doc_id", "held_out", F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted")
+    )
+
+
+@query
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op10_perspective_rotation"] = """
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker,
+        replace(coalesce(text, ''), '<|', '< |') AS said
+    FROM conversations
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, said) AS place FROM turns
+), participants AS (
+    SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'
+), rendered AS (
+    SELECT t.conv_id, p.perspective, t.place, CAST((t.place - 1) // 256 AS BIGINT) AS part, t.speaker = p.perspective AS own,
+        CASE WHEN t.speaker = 'system' THEN '<|system|>' || chr(10)
+            WHEN t.speaker = p.perspective THEN '<|assistant|>' || chr(10)
+            ELSE '<|user name=' || replace(t.speaker, '<|', '< |') || '|>' || chr(10) END AS head,
+        t.said || '<|end|>' || chr(10) AS body
+    FROM placed t JOIN participants p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), measured AS (
+    SELECT *, CAST(sum(length(head) + length(body)) OVER (
+        PARTITION BY conv_id, perspective, part ORDER BY place) AS BIGINT) AS finish FROM rendered
+)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY place) AS text,
+    coalesce(string_agg(CASE WHEN own THEN (finish - length(body)) || ':' || finish END, ',' ORDER BY place), '') AS mask
+FROM measured GROUP BY conv_id, perspective, part
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpus_spark.llm import (
     cross_polytope,
+    hidden_markov,
     minhash_join,
     mixing,
     pairwise_quality,
@@ -58,6 +59,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(table(spark, sf_dir, "documents"), held_out("doc_id", 5, 1))
+
+
 @query
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))

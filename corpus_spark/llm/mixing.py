@@ -78,26 +78,22 @@ def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.col("prefix").alias("below"))
 
 
-def mix(
-    df: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text"
-) -> DataFrame:
-    """(id_column, size, source_size, target, taken) per row of `df`.
+def _hash(id_column: str):
+    digits = F.substring(F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("null"))), 1, 13)
+    return F.conv(digits, 16, 10).cast("bigint")
 
-    `size` counts the runs of non-space in the text (null: 0). Sources in the order of their code points, null
-    last, weigh 5, 2, 1 and so on again. `taken` is 0, 1 or 2 times `size`: as many whole passes as the target
-    holds, and one more for documents under the source's threshold. Rows of one id share a hash, so
-    they are taken together; a null id is one id. A source without words has target 0. Other columns are ignored; an
-    empty table gives an empty one.
-    """
+
+def _size(text_column: str):
+    return F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def plan(df: DataFrame, id_column: str, source_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """The sized rows (id, source, size, hash), written, and a row per source (plan_source, source_size, target,
+    passes, below): documents are taken `passes` times, and once more with a hash below `below`."""
     sized = materialize(
         df.select(
-            F.col(id_column).alias("id"),
-            F.col(source_column).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        ).withColumn(
-            "hash",
-            F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("bigint"),
-        ),
+            F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), _size(text_column).alias("size")
+        ).withColumn("hash", _hash("id")),
         "mix-sizes",
     )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -110,14 +106,47 @@ def mix(
         "budget", F.col("target") - F.col("passes") * F.col("source_size")
     )
     below = _thresholds(sized, budgets)
-    plan = budgets.alias("b").join(below.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
+    per_source = budgets.alias("b").join(below.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
+    return sized, per_source.select(
         F.col("b.source").alias("plan_source"), "source_size", "target", "passes", "below"
     )
-    times = F.col("passes") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(
+
+
+def _times():
+    return (F.col("passes") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)).cast("int")
+
+
+def mix(
+    df: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text"
+) -> DataFrame:
+    """(id_column, size, source_size, target, taken) per row of `df`.
+
+    `size` counts the runs of non-space in the text (null: 0). Sources in the order of their code points, null
+    last, weigh 5, 2, 1 and so on again. `taken` is 0, 1 or 2 times `size`: as many whole passes as the target
+    holds, and one more for documents under the source's threshold. Rows of one id share a hash, so
+    they are taken together; a null id is one id. A source without words has target 0. Other columns are ignored; an
+    empty table gives an empty one.
+    """
+    sized, per_source = plan(df, id_column, source_column, text_column)
+    return sized.join(per_source, F.col("source").eqNullSafe(F.col("plan_source"))).select(
         F.col("id").alias(id_column),
         "size",
         "source_size",
         "target",
-        (F.col("size") * times).cast("bigint").alias("taken"),
+        (F.col("size") * _times()).cast("bigint").alias("taken"),
+    )
+
+
+def mixed(
+    df: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text"
+) -> DataFrame:
+    """The rows of `df` that `mix` takes, as often as it takes them, with the same columns."""
+    _, per_source = plan(df, id_column, source_column, text_column)
+    named = per_source.select("plan_source", "passes", "below")
+    return (
+        df.withColumn("hash", _hash(id_column))
+        .join(named, F.col(source_column).cast("string").eqNullSafe(F.col("plan_source")))
+        .withColumn("_time", F.explode(F.sequence(F.lit(0), _times())))
+        .filter("_time > 0")
+        .select(*[df[c] for c in df.columns])
     )

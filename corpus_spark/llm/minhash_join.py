@@ -114,6 +114,7 @@ def _block_candidates(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
         first, second = _sides(side, start, end)
         if end - start < 2 or not len(first) or not len(second):
             continue
+        left, right = [], []
         for i in range(0, len(first), 64):
             top = first[i : i + 64]
             agree = np.zeros((len(top), len(second)), np.uint8)
@@ -121,8 +122,9 @@ def _block_candidates(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
                 agree += sig[top, c, None] == sig[None, second, c]
             good = (agree >= MATCHES) & (star[top, None] != star[None, second])
             x, y = np.nonzero(good & _fits(PERCENT, n[top, None], n[None, second]))
-            if len(x):
-                pairs.append((top[x], second[y]))
+            left.append(top[x])
+            right.append(second[y])
+        pairs.append((np.concatenate(left), np.concatenate(right)))
     return _forest_frame(rows["key"].to_numpy(), pairs)
 
 

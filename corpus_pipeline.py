@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_spark.llm import minhash_join, mixing, piece_suffixes, secret_links, zstd_language
+from corpus_spark.llm.batches import short_batches
 from corpus_spark.session import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that no language's dictionary explains better than the others go; a missing lang is filled in."""
+    short_batches(spark)
     model = zstd_language.learn(docs)
     lang = F.coalesce("lang", "lang_pred").alias("lang")
     return (
@@ -22,6 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
+    short_batches(spark)
     # A row without an id is named by its text, behind all real ids.
     named = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1).bitwiseOR(F.lit(1 << 62))
     rows = docs.withColumn("_id", F.coalesce("doc_id", named))
@@ -42,6 +45,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix."""
+    short_batches(spark)
     return piece_suffixes.encode(docs, piece_suffixes.Pieces.load())
 
 

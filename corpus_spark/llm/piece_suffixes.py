@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from corpus_spark.llm.wordhash import chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 2_500_000
 LONG_UNIT = 96  # bytes; longer words are relaxed one by one
 CACHE_BITS = 21
-KEPT_UNITS = 600_000
+KEPT_UNITS = 400_000
 
 _UNIT = re.compile(" +[^ ]*")
 _SEPARATOR = 0xFF  # in no UTF-8 text

@@ -19,6 +19,7 @@ from corpus_spark.llm import (
     syncmers,
     zstd_language,
 )
+from corpus_spark.llm.batches import short_batches
 from corpus_spark.llm.held_out import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,7 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

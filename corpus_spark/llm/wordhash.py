@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 400_000
 
 _random = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUES = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -122,7 +122,6 @@ RETRYABLE_STATUSES = ("search_failed", "judge_failed")
 RULE_PROVENANCE = "rule:corroborate"
 SOURCE_PROVENANCE = "search:brave"
 NO_RESULT_REASONING = "the search returned no result to judge"
-FETCH_ERROR_MAX_CHARS = 500
 
 # Human edits.
 HUMAN_PREFIX = "human:"
@@ -140,7 +139,6 @@ VIEWS = ("queue", "deferred", "decided", "shipped", "parked")
 PAGE_SIZE = 50
 
 # Emission.
-ENTRY_KEYS = ("list", "description", "dependencies", "neededBy", "labels", "removal")
 SHARED_VENDOR = "shared"
 MAX_PROSE_CHARS = 4096
 MAX_NAME_CHARS = 255
@@ -172,8 +170,6 @@ ARTIFACT_GLOBS = (
 )
 
 # Config documents.
-CONFIG_MAX_BYTES = 8 * 1024 * 1024
-DTD_SNIFF_BYTES = 8 * 1024
 
 # Elements dropped from page text.
 STRIPPED_ELEMENTS = (
@@ -190,4 +186,3 @@ CATALOGUE_PATTERNS = {
     "md5": r"^[0-9a-f]{32}$",
 }
 PARSE_FAILURE_RATIO = 0.05
-REFERENCE_LIST_MAX_BYTES = 256 * 1024 * 1024

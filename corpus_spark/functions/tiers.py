@@ -22,7 +22,8 @@ def is_tier(tier: Column) -> Column:
 
 
 def tier_at(rank: Column) -> Column:
-    return F.element_at(_order(), (rank + 1).cast("int"))
+    """The tier of a rank, NULL for NULL and for the rank of no tier."""
+    return F.when(rank >= 0, F.element_at(_order(), (rank + 1).cast("int")))
 
 
 def strictest(*tiers: Column) -> Column:

@@ -16,7 +16,8 @@ def invalid_reference() -> Column:
     """The first field of a catalogue row that is not what it must be, or NULL."""
     checks = []
     for field, pattern in CATALOGUE_PATTERNS.items():
-        fits = F.col(field).rlike(pattern)
+        # `$` would let a last line feed pass.
+        fits = F.col(field).rlike(pattern.removesuffix("$") + r"\z")
         if field in ("sha256", "md5"):
             fits = F.col(field).isNull() | fits
         checks.append(F.when(~F.coalesce(fits, F.lit(False)), field))

@@ -158,8 +158,8 @@ def check_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def validate_verdicts(responses: DataFrame, citations: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds `rejected` to judge responses (response_id, package, status, reasoning_chars). One bad
-    citation rejects the whole response."""
+    """Adds `rejected` to judge responses (response_id, package, status, reasoning_chars, and `malformed`
+    where they come from text). One bad citation rejects the whole response, and so does no status."""
     cited = citations.join(responses.select("response_id", "package"), "response_id")
     rows = responses.join(check_citations(cited, sources), "response_id", "left").withColumns(
         {
@@ -168,7 +168,10 @@ def validate_verdicts(responses: DataFrame, citations: DataFrame, sources: DataF
             "unread": F.coalesce("unread", F.lit(False)),
         }
     )
+    malformed = F.coalesce("malformed", F.lit(True)) if "malformed" in responses.columns else F.lit(False)
     rules = [
+        (malformed, _reject("response", "not the fields that were asked for")),
+        (F.col("status").isNull(), _reject("status", "missing")),
         (~F.col("status").isin("corroborated", "uncorroborated", "search_failed", "judge_failed"), _reject("status", "not a status")),
         (~F.col("status").isin(*ANSWERABLE_STATUSES), _reject("status", "a pipeline fact, not a judgement")),
         (F.col("fabricated"), _reject("sources", "fabricated citation")),

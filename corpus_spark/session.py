@@ -7,6 +7,8 @@ size statistics that an RDD checkpoint does not give.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_SHIPPED: set[str] = set()  # applications that have the package
+_LOCAL_FOLDERS: dict[str, str] = {}  # by application, in local mode only
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -41,6 +45,19 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application: they know the driver's import
+    path only where it is theirs, too."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with tempfile.TemporaryDirectory() as folder:
+        archive = shutil.make_archive(os.path.join(folder, "corpus_spark"), "zip", root, "corpus_spark")
+        context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediates: the cluster's own, or a temporary one in local mode."""
     context = spark.sparkContext
@@ -54,9 +71,10 @@ def shared_folder(spark: SparkSession) -> str:
             "spark.checkpoint.dir is unset: name a folder every executor can reach before running "
             "a job that writes intermediates"
         )
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    name = context.applicationId
+    if name not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[name] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_FOLDERS[name]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

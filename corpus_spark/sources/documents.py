@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_spark.fixed_values import (
-    CONFIG_MAX_BYTES,
-    DTD_SNIFF_BYTES,
     FILTER_COMPONENTS,
     SERVICE_CLASSES,
     STRIPPED_ELEMENTS,
@@ -27,11 +25,14 @@ from corpus_spark.functions.text import clean_text, strip
 CONFIG_ROW = "device_key string, kind string, key string, value string"
 
 
-def refused_document(content: Column) -> Column:
-    """Too large to be a config document, or declaring a DTD or an entity near its head."""
-    head = F.substring(content, 1, DTD_SNIFF_BYTES)
-    # A byte-for-byte text of the head, so that the test does not depend on the encoding.
-    return (F.length(content) > CONFIG_MAX_BYTES) | F.decode(head, "ISO-8859-1").rlike("(?i)<!DOCTYPE|<!ENTITY")
+_DECLARATION = "(?i)<!DOCTYPE|<!ENTITY"
+
+
+def refused_document(content: Column, max_bytes: int | None = None) -> Column:
+    """Declaring a DTD or an entity anywhere, or larger than `max_bytes`, if that is given."""
+    # A byte-for-byte text, so that the test does not depend on the encoding.
+    declared = F.decode(content, "ISO-8859-1").rlike(_DECLARATION)
+    return declared if max_bytes is None else declared | (F.length(content) > max_bytes)
 
 
 def _config_items(root: ElementTree.Element) -> Iterator[tuple[str, str, str | None]]:
@@ -68,11 +69,11 @@ def _harvest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["device_key", "kind", "key", "value"])
 
 
-def harvest_configs(documents: DataFrame) -> DataFrame:
+def harvest_configs(documents: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """(device_key, path, content binary) to config rows. A refused or broken document becomes a
     `failed` row and its content never leaves the JVM."""
     guarded = documents.select(
-        "device_key", "path", "content", F.coalesce(refused_document(F.col("content")), F.lit(True)).alias("refused")
+        "device_key", "path", "content", F.coalesce(refused_document(F.col("content"), max_bytes), F.lit(True)).alias("refused")
     ).withColumn("content", F.when(~F.col("refused"), F.col("content")))
     return guarded.select("device_key", "path", "content", "refused").mapInPandas(_harvest, CONFIG_ROW)
 
@@ -146,27 +147,33 @@ def _parse_manifests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def manifest_int(text: Column) -> Column:
-    """Decimal, hexadecimal, octal or binary literals; a resource reference has no value."""
+    """Decimal, hexadecimal, octal or binary literals; a resource reference and a number beyond 63 bits
+    have no value."""
     trimmed = F.trim(text)
     digits = F.regexp_replace(F.lower(F.regexp_replace(trimmed, "^[+-]", "")), "_", "")
     sign = F.when(trimmed.startswith("-"), -1).otherwise(1)
 
-    def base(pattern: str, radix: int, skip: int) -> tuple[Column, Column]:
-        return digits.rlike(pattern), F.conv(F.substring(digits, skip + 1, 64), radix, 10).cast("long")
+    def base(pattern: str, radix: int) -> tuple[Column, Column]:
+        # What is converted has at most 63 bits; the pattern leaves longer numbers out.
+        kept = F.regexp_extract(digits, pattern, 1)
+        return digits.rlike(pattern), F.conv(F.nullif(kept, F.lit("")), radix, 10).try_cast("long")
 
-    hexed, octal, binary = base("^0x[0-9a-f]+$", 16, 2), base("^0o[0-7]+$", 8, 2), base("^0b[01]+$", 2, 2)
+    hexed = base("^0x0*([0-7]?[0-9a-f]{1,15})$", 16)
+    octal = base("^0o0*([0-7]{1,21})$", 8)
+    binary = base("^0b0*([01]{1,63})$", 2)
     plain = digits.rlike("^(0+|[1-9][0-9]*)$"), digits.try_cast("long")
     chain = F.when(hexed[0], hexed[1]).when(octal[0], octal[1]).when(binary[0], binary[1])
     return sign * chain.when(plain[0], plain[1])
 
 
 def manifest_facts(manifests: DataFrame) -> DataFrame:
-    """(doc_id, device_path, manifest text) to fact rows; `ok` false for an unreadable manifest or
-    one without a package name."""
-    parsed = manifests.select("doc_id", "device_path", "manifest").mapInPandas(_parse_manifests, MANIFEST_ROW)
+    """(doc_id, device_path, manifest text) to fact rows; `ok` false for an unreadable manifest,
+    one that declares a DTD or an entity, or one without a package name."""
+    plain = F.when(~F.col("manifest").rlike(_DECLARATION), F.col("manifest")).alias("manifest")
+    parsed = manifests.select("doc_id", "device_path", plain).mapInPandas(_parse_manifests, MANIFEST_ROW)
 
     def versioned(column: str) -> Column:
-        return F.transform(column, lambda x: F.struct(x["name"].alias("name"), manifest_int(x["version"]).cast("int").alias("version")))
+        return F.transform(column, lambda x: F.struct(x["name"].alias("name"), manifest_int(x["version"]).try_cast("int").alias("version")))
 
     def named(keep) -> Column:
         return F.transform(F.filter("uses", keep), lambda x: x["name"])
@@ -180,7 +187,7 @@ def manifest_facts(manifests: DataFrame) -> DataFrame:
             f["component_class"].alias("component_class"),
             F.array_distinct(f["actions"]).alias("actions"),
             F.array_distinct(f["categories"]).alias("categories"),
-            F.coalesce(manifest_int(f["priority"]).cast("int"), F.lit(0)).alias("priority"),
+            F.coalesce(manifest_int(f["priority"]).try_cast("int"), F.lit(0)).alias("priority"),
         ),
     )
 
@@ -201,7 +208,7 @@ def manifest_facts(manifests: DataFrame) -> DataFrame:
         (~F.col("has_code").eqNullSafe("false")).alias("has_code"),
         "overlay_target",
         F.col("overlay_static").eqNullSafe("true").alias("overlay_static"),
-        manifest_int(F.col("overlay_priority")).cast("int").alias("overlay_priority"),
+        manifest_int(F.col("overlay_priority")).try_cast("int").alias("overlay_priority"),
         versioned("libraries").alias("libraries"),
         versioned("static_libraries").alias("static_libraries"),
         F.array_union(F.array_distinct(required), F.col("uses_static")).alias("uses_libraries_required"),

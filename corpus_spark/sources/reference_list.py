@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_spark.fixed_values import REFERENCE_LIST_MAX_BYTES
 
 
 class ReferenceListError(RuntimeError):
@@ -35,14 +34,15 @@ def entries(rows: DataFrame) -> DataFrame:
     return parsed.select("package", *[c.alias(n) for n, c in entry_fields(F.col("v")).items()])
 
 
-def load_reference_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load_reference_list(spark: SparkSession, path: str, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(entries, one provenance row) of a list file. A file that is no object, has no entry, or is
-    larger than the ceiling is refused; the ceiling also bounds the one task that reads it."""
+    larger than `max_bytes`, if that is given, is refused. One task reads the object; lists beyond one
+    executor's memory come as rows, through `entries`."""
     files = spark.read.format("binaryFile").load(path)
     sized = files.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("length")).first()
     if sized["n"] != 1:
         raise ReferenceListError(f"{path} is not one file")
-    if sized["length"] > REFERENCE_LIST_MAX_BYTES:
+    if max_bytes is not None and sized["length"] > max_bytes:
         raise ReferenceListError(f"{path} is {sized['length']} bytes, which is no reference list")
     parsed = files.withColumn("v", F.try_parse_json(F.decode("content", "UTF-8")))
     loaded = parsed.select(

@@ -215,12 +215,12 @@ def observations(d: SparkDialect) -> str:
            WHEN k % 15 = 0 THEN {d.arr(d.lib(SHARED + text('k % 75'), "CASE WHEN qty > 30 THEN 2 END"))}
            WHEN k % 40 = 0 THEN {d.arr(d.lib("'solo' || " + text('k'), "1"))}
            ELSE {d.no_libs()} END AS libraries,
-      CASE WHEN k % 90 = 0 THEN {d.arr(d.lib("'static' || " + text('k % 180'), "3"))} ELSE {d.no_libs()} END AS static_libraries,
+      CASE WHEN k % 90 = 0 THEN {d.arr(d.lib("'static' || " + text('k - k % 720'), "3"))} ELSE {d.no_libs()} END AS static_libraries,
       {d.strings("CASE WHEN k % 12 = 5 THEN " + SHARED + text('(k % 5) * 15') + " END",
                  "CASE WHEN k % 8 = 3 OR k % 80 = 0 THEN 'solo' || " + text(solo) + " END",
                  "CASE WHEN k % 16 = 1 THEN 'platform.lib' || " + text('k % 3') + " END",
                  "CASE WHEN k % 33 = 2 AND qty > 20 THEN 'missing.lib' END",
-                 "CASE WHEN k % 36 = 1 THEN 'static0' END")} AS uses_libraries_required,
+                 "CASE WHEN k % 36 = 1 THEN 'static' || " + text('k - k % 720') + " END")} AS uses_libraries_required,
       {d.strings("CASE WHEN k % 21 = 0 THEN 'opt' || " + text('k % 4') + " END")} AS uses_libraries_optional,
       {d.strings("CASE WHEN k % 25 = 0 THEN 'bcast.' || " + text('qty % 3') + " END")} AS protected_broadcasts,
       {d.strings("CASE WHEN k % 10 = 0 THEN 'auth.' || " + text('k') + " END",
@@ -412,12 +412,12 @@ def search_results(d: SparkDialect) -> str:
     """Search rows of a package: several blocks, one page shared by both blocks."""
     k = "page_id"
     return f"""
-    SELECT {name(f'({k} % 60)')} AS package, {k} AS result_id,
+    SELECT {name(d.idiv(k, '4'))} AS package, {k} AS result_id,
       CASE WHEN {k} % 3 = 0 THEN 'discussions' ELSE 'web' END AS block,
-      {d.idiv(k, '60')} AS block_index,
-      CASE WHEN {k} % 7 = 0 THEN 'https://forum.example.org/t/' || {text(f'{k} % 60')} ELSE url END AS url,
+      {k} % 4 AS block_index,
+      CASE WHEN {k} % 7 = 0 THEN 'https://forum.example.org/t/' || {text(d.idiv(k, '4'))} ELSE url END AS url,
       'Title ' || {text(k)} AS title,
-      CASE WHEN {k} % 9 = 0 THEN '' ELSE substring(html, 1, CAST(20 + {k} % 200 AS INT)) END AS snippet,
+      CASE WHEN {k} % 9 = 0 THEN '' ELSE html END AS snippet,
       CASE WHEN {k} % 4 = 0 THEN NULL WHEN {k} % 5 = 0 THEN 'Shell' ELSE html END AS page_text,
       CASE WHEN {k} % 5 = 2 THEN {k} % 3 END AS display_rank,
       {d.plus_minutes("TIMESTAMP '2024-01-01 00:00:00'", f'({k} * 37) % 5000')} AS fetched_at
@@ -427,7 +427,7 @@ def search_results(d: SparkDialect) -> str:
 def verdict_responses(d: SparkDialect) -> str:
     """One judge response per conversation; citations come from its turns."""
     return f"""
-    SELECT DISTINCT conv_id AS response_id, {name('(conv_id % 60)')} AS package,
+    SELECT DISTINCT conv_id AS response_id, {name('conv_id')} AS package,
       CASE conv_id % 7 WHEN 0 THEN 'uncorroborated' WHEN 1 THEN 'search_failed' WHEN 2 THEN 'maybe' ELSE 'corroborated' END AS status,
       CASE WHEN conv_id % 31 = 3 THEN 401 ELSE 12 END AS reasoning_chars
     FROM {{conversations}}"""
@@ -438,8 +438,8 @@ def citations(d: SparkDialect) -> str:
     return f"""
     SELECT conv_id AS response_id, turn AS position,
       CASE WHEN conv_id % 11 = 4 AND turn = 0 THEN 'https://invented.example/x'
-           ELSE 'https://forum.example.org/t/' || {text('conv_id % 60')} END AS url
-    FROM {{conversations}} WHERE conv_id % 5 <> 0 AND turn < 3"""
+           ELSE 'https://forum.example.org/t/' || {text('conv_id')} END AS url
+    FROM {{conversations}} WHERE conv_id % 5 <> 0"""
 
 
 def catalogue_raw(d: SparkDialect) -> str:

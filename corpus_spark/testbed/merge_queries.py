@@ -259,16 +259,16 @@ def _(b: Bed):
 
 @query(
     "s10_column_upsert",
-    "WITH stored AS (SELECT package, min(observed_at) AS created_at, max(version_code) AS version_code, 'kept' AS note FROM observations WHERE device_key LIKE 'oem1%' GROUP BY package), "
-    "incoming AS (SELECT package, max(observed_at) AS created_at, min(version_code) AS version_code FROM observations WHERE device_key LIKE 'oem2%' GROUP BY package) "
+    "WITH stored AS (SELECT package, min(observed_at) AS created_at, max(version_code) AS version_code, 'kept' AS note FROM observations WHERE ascii(right(device_key, 1)) % 2 = 0 GROUP BY package), "
+    "incoming AS (SELECT package, max(observed_at) AS created_at, min(version_code) AS version_code FROM observations WHERE ascii(right(device_key, 1)) % 2 = 1 GROUP BY package) "
     "SELECT coalesce(s.package, i.package) AS package, strftime(CASE WHEN s.package IS NULL THEN i.created_at ELSE s.created_at END, '%Y-%m-%d') AS created, "
     "CASE WHEN i.package IS NULL THEN s.version_code ELSE i.version_code END AS version_code, s.note FROM stored s FULL JOIN incoming i ON s.package = i.package",
 )
 def _(b: Bed):
     obs = b.observations
-    stored = obs.filter("device_key LIKE 'oem1%'").groupBy("package").agg(
+    stored = obs.filter("ascii(right(device_key, 1)) % 2 = 0").groupBy("package").agg(
         F.min("observed_at").alias("created_at"), F.max("version_code").alias("version_code"), F.first(F.lit("kept")).alias("note"))
-    incoming = obs.filter("device_key LIKE 'oem2%'").groupBy("package").agg(
+    incoming = obs.filter("ascii(right(device_key, 1)) % 2 = 1").groupBy("package").agg(
         F.max("observed_at").alias("created_at"), F.min("version_code").alias("version_code"))
     merged = tables.upsert_columns(stored, incoming, ["package"], insert_only=["created_at"])
     return merged.select("package", F.date_format("created_at", "yyyy-MM-dd").alias("created"), "version_code", "note")

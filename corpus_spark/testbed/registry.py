@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpus_spark.operators import configs, graph
 from corpus_spark.operators.merge import merge_observations
-from corpus_spark.session import materialize
+from corpus_spark.session import materialize, ship_package
 from corpus_spark.sources.corpus import load_corpus
 from corpus_spark.sources.tables import read_table
 from corpus_spark.testbed import adapters
@@ -24,6 +24,7 @@ class Bed:
     """The derived tables of one data folder, and the intermediates queries share."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        ship_package(spark)
         self.spark = spark
         self.sf_dir = sf_dir
 

@@ -7,6 +7,7 @@ size statistics that an RDD checkpoint does not give.
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -52,9 +53,9 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    with tempfile.TemporaryDirectory() as folder:
-        archive = shutil.make_archive(os.path.join(folder, "corpus_spark"), "zip", root, "corpus_spark")
-        context.addPyFile(archive)
+    folder = tempfile.mkdtemp(prefix="spark-")  # the driver serves the file from here while it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "corpus_spark"), "zip", root, "corpus_spark"))
     _SHIPPED.add(context.applicationId)
 
 

@@ -83,11 +83,11 @@ def learn(df: DataFrame, text_column: str = "text", lang_column: str = "lang") -
     rows = rows.filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     hashed = rows.withColumn("hash", F.xxhash64("text"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
-    # An excerpt of a text starts at a place that its hash names.
+    # An excerpt of a text starts at a place that its hash names; only excerpts are sorted and moved.
     room = F.greatest(F.char_length("text") - EXCERPT, F.lit(0)) + 1
     excerpt = F.substring("text", (F.pmod("hash", room) + 1).cast("int"), F.lit(EXCERPT))
-    sample = hashed.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS).select("lang", "rank", excerpt.alias("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
+    sample = hashed.select("lang", "hash", excerpt.alias("text")).withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS)
     parts: dict[str, list[bytes]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["rank"])):
         parts.setdefault(r["lang"], []).append(letters(r["text"]))

@@ -186,3 +186,21 @@ CATALOGUE_PATTERNS = {
     "md5": r"^[0-9a-f]{32}$",
 }
 PARSE_FAILURE_RATIO = 0.05
+
+# Labels of special address blocks (IANA registries); the first that holds an address counts.
+# None: globally reachable parts of private blocks.
+ADDRESS_NETWORKS = (
+    ("6to4", ("2002::/16",)),
+    ("teredo", ("2001::/32",)),
+    ("loopback", ("127.0.0.0/8", "::1/128")),
+    ("unspecified", ("0.0.0.0/32", "::/128")),
+    ("link-local", ("169.254.0.0/16", "fe80::/10")),
+    ("multicast", ("224.0.0.0/4", "ff00::/8")),
+    (None, ("192.0.0.9/32", "192.0.0.10/32")),
+    (None, ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")),
+    ("private", ("0.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16")),
+    ("private", ("198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")),
+    ("private", ("64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "fc00::/7")),
+    ("reserved", ("::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3")),
+    ("reserved", ("a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fe00::/9")),
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from bisect import bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -10,28 +11,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Tunnelling blocks, named before the standard classes are asked.
-_TRANSITION = (("6to4", ipaddress.ip_network("2002::/16")), ("teredo", ipaddress.ip_network("2001::/32")))
-_CLASSES = ("loopback", "unspecified", "link_local", "multicast", "private", "reserved")
+from corpus_spark.fixed_values import ADDRESS_NETWORKS
+
+_WIDTH = {4: 32, 6: 128}
+
+
+def _ranges(version: int) -> tuple[list[int], list[str | None]]:
+    """The address space cut at every border of a labelled network: (first number, label) of each piece.
+
+    A piece has the label of the first listed network that holds it."""
+    nets = [(ipaddress.ip_network(block), label) for label, blocks in ADDRESS_NETWORKS for block in blocks]
+    nets = [(int(n[0]), int(n[-1]) + 1, label) for n, label in nets if n.version == version]
+    starts = sorted({0, *(edge for low, high, _ in nets for edge in (low, high) if edge < 2 ** _WIDTH[version])})
+    return starts, [next((label for low, high, label in nets if low <= s < high), None) for s in starts]
+
+
+_RANGES = {version: _ranges(version) for version in _WIDTH}
+_MAPPED = int(ipaddress.ip_address("::ffff:0:0")) >> 32
 
 
 @lru_cache(maxsize=65536)
-def _address_class(host: str) -> str | None:
+def _network_label(host: str) -> str | None:
+    """The label of the piece that an address literal's number falls into."""
     try:
-        address = ipaddress.ip_address(host)
+        literal = ipaddress.ip_address(host)
     except ValueError:
         return None
-    mapped = getattr(address, "ipv4_mapped", None)
-    if mapped is not None:
-        address = mapped
-    elif address.version == 6:
-        for label, block in _TRANSITION:
-            if address in block:
-                return label
-    for label in _CLASSES:
-        if getattr(address, f"is_{label}"):
-            return label.replace("_", "-")
-    return None
+    number, version = int(literal), literal.version
+    if version == 6 and number >> 32 == _MAPPED:
+        number, version = number & 0xFFFFFFFF, 4
+    starts, labels = _RANGES[version]
+    return labels[bisect_right(starts, number) - 1]
 
 
 @lru_cache(maxsize=65536)
@@ -50,7 +60,7 @@ def _inspect(host: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "encodable": [bool(h) and (":" in h or _encodable(h)) for h in hosts],
-            "blocked": [_address_class(h) for h in hosts],
+            "blocked": [_network_label(h) for h in hosts],
         }
     )
 

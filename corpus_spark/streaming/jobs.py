@@ -36,7 +36,7 @@ class VersionedTable:
 
 class BatchLog:
     """An append-only table with one folder per batch. A replayed batch overwrites its own folder
-    and nothing else, so the cost of a batch is the batch, not the table."""
+    and nothing else, so a batch writes no more than itself; readers see all batches before it."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType) -> None:
         self.spark, self.path = spark, path
@@ -81,7 +81,8 @@ def merge_stream(stream: DataFrame, log: BatchLog, facts: BatchLog, checkpoint:
 
     `log` (see `log_schema`) gets the batch's rows, each with the time its key was first seen; when
     a key turns up under another package, a withdrawal row is written for the old one. `facts` gets
-    the rows of touched packages only. Both are read as "newest row per key".
+    the rows of touched packages only, those that keys left included; a package without a key is
+    marked `deleted`. Both are read as "newest row per key".
     """
     key = list(ORDER_COLUMNS)
 
@@ -109,20 +110,23 @@ def merge_stream(stream: DataFrame, log: BatchLog, facts: BatchLog, checkpoint:
         )
         log.write(joined.unionByName(moved).sortWithinPartitions("package"), batch_id)
 
-        touched = once.select("package").distinct()
+        touched = once.select("package").unionByName(moved.select("package")).distinct()
         mine = log.read(batch_id).join(touched, "package", "left_semi")
         newest = F.max_by(F.struct(*columns, "withdrawn"), "batch")
         current = mine.groupBy("package", *key).agg(newest.alias("r")).select("r.*").filter("NOT withdrawn")
-        facts.write(merge_observations(current.select(*columns)), batch_id)
+        merged = merge_observations(current.select(*columns)).withColumn("deleted", F.lit(False))
+        emptied = touched.join(current.select("package"), "package", "left_anti").withColumn("deleted", F.lit(True))
+        facts.write(merged.unionByName(emptied, allowMissingColumns=True), batch_id)
 
     return run_available(stream, checkpoint, each)
 
 
 def current_rows(table: BatchLog, last: int, key: str) -> DataFrame:
-    """The rows of the newest batch that has the key."""
+    """The rows of the newest batch that has the key, unless that batch deleted it."""
     rows = table.read(last)
     newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [key, "batch"], "left_semi").drop("batch")
+    found = rows.join(newest, [key, "batch"], "left_semi")
+    return found.filter("NOT deleted").drop("batch", "deleted")
 
 
 def latest_stream(
@@ -142,50 +146,74 @@ def latest_state(state: BatchLog, last: int, key: str, order: tuple[str, ...]) -
 
 
 def fact_schema(observations: DataFrame) -> StructType:
-    return merge_observations(observations.limit(0)).schema
+    """Merged rows and whether the row deletes its package."""
+    return merge_observations(observations.limit(0)).schema.add("deleted", BooleanType())
 
 
 class HeartbeatTimeout(StatefulProcessor):
-    """Per job: a beat re-arms an event-time timer; when it fires the job is stale, or exhausted at
-    its last attempt. State per job is one beat."""
+    """Per job: a beat without another within `stale_after_s` after it makes the job stale, or exhausted
+    if it was the last attempt. A beat is judged once the watermark has passed that time, so the outcome does not
+    depend on how beats were dealt to batches. Beats at one time count as one, with the highest attempt.
+
+    State per job is the beats that no known beat follows in time: one, and more only where gaps
+    longer than `stale_after_s` lie within one lateness."""
 
     def __init__(self, stale_after_s: int, max_attempts: int) -> None:
-        self.stale_after_s, self.max_attempts = stale_after_s, max_attempts
+        self.wait_us, self.max_attempts = stale_after_s * 1_000_000, max_attempts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.beat = handle.getValueState("beat", "at_us bigint, attempt int")
+        self.open_beats = handle.getMapState("open_beats", "at_us bigint", "attempt int")
+
+    def _known(self) -> dict[int, int]:
+        return {at[0]: attempt[0] for at, attempt in self.open_beats.iterator()}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.beat.get() if self.beat.exists() else None
-        newest = (known[0], known[1]) if known else None
+        known = self._known()
+        beats = dict(known)
         for frame in rows:
             times = frame["beat_at"].astype("datetime64[us]").astype("int64")
-            best = int(times.idxmax())
-            candidate = (int(times.loc[best]), int(frame["attempt"].loc[best]))
-            newest = candidate if newest is None or candidate > newest else newest
-        if newest != (known and (known[0], known[1])):
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.beat.update(newest)
-            self.handle.registerTimer(newest[0] // 1000 + self.stale_after_s * 1000)
+            for at, attempt in zip(times, frame["attempt"], strict=True):
+                attempt = 0 if pd.isna(attempt) else int(attempt)
+                beats[int(at)] = max(attempt, beats.get(int(at), attempt))
+        times = sorted(beats)
+        unfollowed = {at for at, after in zip(times, [*times[1:], None], strict=True) if after is None or after - at > self.wait_us}
+        for at in known.keys() - unfollowed:
+            self.open_beats.removeKey((at,))
+            self.handle.deleteTimer(self._due_ms(at))
+        for at in unfollowed:
+            if known.get(at) != beats[at]:
+                self.open_beats.updateValue((at,), (beats[at],))
+            if at not in known:
+                self.handle.registerTimer(self._due_ms(at))
         yield from ()
 
+    def _due_ms(self, at_us: int) -> int:
+        return (at_us + self.wait_us) // 1000 + 1
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at_us, attempt = self.beat.get()
-        outcome = "exhausted" if attempt >= self.max_attempts else "stale"
-        self.beat.clear()
-        last = datetime(1970, 1, 1) + timedelta(microseconds=at_us)
-        yield pd.DataFrame({"job_id": [key[0]], "last_beat": [last], "attempt": [attempt], "outcome": [outcome]})
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = [(at, attempt) for at, attempt in sorted(self._known().items()) if self._due_ms(at) <= now]
+        for at, _ in due:
+            self.open_beats.removeKey((at,))
+        yield pd.DataFrame(
+            {
+                "job_id": [key[0]] * len(due),
+                "last_beat": [datetime(1970, 1, 1) + timedelta(microseconds=at) for at, _ in due],
+                "attempt": [attempt for _, attempt in due],
+                "outcome": ["exhausted" if attempt >= self.max_attempts else "stale" for _, attempt in due],
+            }
+        )
 
     def close(self) -> None:
         pass
 
 
 def heartbeat_timeouts(beats: DataFrame, stale_after_s: int, max_attempts: int, lateness: str) -> DataFrame:
-    """`beats` is a stream of (job_id, beat_at timestamp, attempt)."""
+    """`beats` is a stream of (job_id, beat_at timestamp, attempt); beats without a time are passed over."""
     return (
-        beats.withWatermark("beat_at", lateness)
+        beats.filter("beat_at IS NOT NULL")
+        .withWatermark("beat_at", lateness)
         .groupBy("job_id")
         .transformWithStateInPandas(
             HeartbeatTimeout(stale_after_s, max_attempts),

@@ -1,10 +1,13 @@
+import ipaddress
+import random
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpus_spark.functions import text as tx
-from corpus_spark.functions.urls import url_check
+from corpus_spark.fixed_values import ADDRESS_NETWORKS
+from corpus_spark.functions.urls import _network_label, url_check
 from corpus_spark.operators import catalogue, searching
 from corpus_spark.sources import documents, reference_list
 
@@ -91,3 +94,21 @@ def test_merge_results(spark):
     display = spark.createDataFrame([("p", 0, "web", 2), ("p", 1, "discussions", None), ("p", 2, "web", 2)], "package string, position int, block string, item int")
     got = [(r.position, r.url) for r in searching.merge_results(items, display, 10).orderBy("position").collect()]
     assert got == [(1, "u2"), (2, "f0"), (3, "u1"), (4, "u0")]
+
+
+def test_address_labels_equal_the_standard_library():
+    chance = random.Random(3)
+    hosts = [str(ipaddress.ip_address(chance.getrandbits(32))) for _ in range(4000)]
+    for label, blocks in ADDRESS_NETWORKS:
+        for block in map(ipaddress.ip_network, blocks):
+            top = ipaddress.IPv4Address._ALL_ONES if block.version == 4 else ipaddress.IPv6Address._ALL_ONES
+            around = (int(block[0]) - 1, int(block[0]), int(block[-1]), int(block[-1]) + 1)
+            hosts += [str(type(block[0])(n)) for n in around if 0 <= n <= top]
+    for host in hosts:
+        address, got = ipaddress.ip_address(host), _network_label(host)
+        if got in ("6to4", "teredo"):
+            assert address.sixtofour or address.teredo, host
+        elif got is None:
+            assert not (address.is_private or address.is_reserved or address.is_multicast), host
+        else:
+            assert getattr(address, f"is_{got.replace('-', '_')}"), host

@@ -31,6 +31,16 @@ def test_merge_stream_equals_one_merge(spark):
     assert str(got["b"]) == str(alone)
 
 
+def test_packages_that_keys_leave_are_merged_again(spark):
+    first = observations(spark, {"package": "a", "device_path": "/a.apk"}, {"package": "b", "device_path": "/b.apk"}, {"package": "b", "device_key": "z:9"})
+    moved = observations(spark, {"package": "c", "device_path": "/a.apk"}, {"package": "c", "device_path": "/b.apk"})
+    log = jobs.BatchLog(spark, fresh_path(spark, "ms"), jobs.log_schema(first))
+    facts = jobs.BatchLog(spark, fresh_path(spark, "mf"), jobs.fact_schema(first))
+    last = jobs.merge_stream(arrivals(spark, first, moved), log, facts, fresh_path(spark, "mc"))
+    got = {r.package: r.device_count for r in jobs.current_rows(facts, last, "package").collect()}
+    assert got == {"b": 1, "c": 1}
+
+
 def test_older_decisions_do_not_win(spark):
     schema = "package string, id int, decided_at timestamp_ntz"
     newer = spark.createDataFrame([("p", 2, datetime(2024, 2, 1))], schema)

@@ -1,12 +1,12 @@
 import ipaddress
-import random
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpus_spark.functions import text as tx
 from corpus_spark.fixed_values import ADDRESS_NETWORKS
+from corpus_spark.functions import text as tx
 from corpus_spark.functions.urls import _network_label, url_check
 from corpus_spark.operators import catalogue, searching
 from corpus_spark.sources import documents, reference_list

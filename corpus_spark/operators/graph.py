@@ -220,12 +220,20 @@ def incidence(edge_rows: DataFrame) -> DataFrame:
     )
 
 
-def counts_by_kind(edge_rows: DataFrame) -> DataFrame:
-    """Edge count per kind, zero included."""
-    spark = edge_rows.sparkSession
-    kinds = spark.range(2).select(F.when(F.col("id") == 0, "overlay").otherwise("library").alias("kind"))
-    counted = edge_rows.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"))
-    return kinds.join(F.broadcast(counted), "kind", "left").select("kind", F.coalesce("edges", F.lit(0)).alias("edges"))
+def counts_by_kind(corpus: DataFrame) -> DataFrame:
+    """Edge count per kind, zero included. Library edges are counted without forming them: per library
+    its consumers times its providers, less the packages that are both."""
+    needs = required_libraries(corpus).select("library", "package", F.lit(1).alias("needs"), F.lit(0).alias("gives"))
+    gives = provided_libraries(corpus).select("library", "package", F.lit(0).alias("needs"), F.lit(1).alias("gives"))
+    roles = needs.unionByName(gives).groupBy("library", "package").agg(F.max("needs").alias("needs"), F.max("gives").alias("gives"))
+    pairs = roles.groupBy("library").agg(
+        (F.sum("needs") * F.sum("gives") - F.sum(F.col("needs") * F.col("gives"))).alias("pairs")
+    )
+    library = pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("edges"))
+    overlay = overlay_links(corpus).agg(F.count_if("resolved").alias("edges"))
+    return overlay.select(F.lit("overlay").alias("kind"), "edges").unionByName(
+        library.select(F.lit("library").alias("kind"), "edges")
+    )
 
 
 def with_neighbours(corpus: DataFrame, edge_rows: DataFrame) -> DataFrame:

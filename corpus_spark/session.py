@@ -38,6 +38,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        .config("spark.corpus_spark.spread", str(shuffle_partitions))  # the given tables are one row group each
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -8,21 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPREAD = "spark.corpus_spark.spread"
+
+
 class EmptyInputError(RuntimeError):
     """An operator that needs rows got none; an empty success would hide a skipped stage."""
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet scan. A file that fits in one split is spread over the cores first, because a
-    single row group would otherwise feed one task; a larger table is left to its own splits. The
-    spread hashes the leading key column, which unlike a round robin needs no sort to be repeatable.
+    """A parquet scan, left to its own splits: how a table is laid out in row groups is its writer's job.
+
+    A table known to be written as one row group may be spread by its leading key column instead: set
+    `spark.corpus_spark.spread` to a number of partitions. Unset, which is right for large tables, nothing is moved.
     """
     df = spark.read.parquet(path)
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if 200_000 < size < split:
-        return df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
-    return df
+    spread = spark.conf.get(SPREAD, None)
+    return df.repartition(int(spread), df.columns[0]) if spread else df
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

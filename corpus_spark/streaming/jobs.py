@@ -243,14 +243,15 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def collect_stream(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stateful stream over everything that has arrived, into a parquet table."""
+def collect_stream(stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Runs a stateful stream over everything that has arrived, into a parquet table. With a path and a
+    checkpoint of its own, a later call goes on where this one ended."""
     spark = stream.sparkSession
     use_state_store(spark)
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     running = (
         stream.writeStream.format("parquet")
-        .option("checkpointLocation", fresh_path(spark, f"{name}-checkpoint"))
+        .option("checkpointLocation", checkpoint or fresh_path(spark, f"{name}-checkpoint"))
         .outputMode("append")
         .trigger(availableNow=True)
         .start(path)

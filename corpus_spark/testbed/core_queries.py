@@ -128,7 +128,7 @@ def _(b: Bed):
     "SELECT k.kind, count(e.kind) AS edges FROM (SELECT unnest(['overlay', 'library']) AS kind) k LEFT JOIN edges e USING (kind) GROUP BY k.kind",
 )
 def _(b: Bed):
-    return graph.counts_by_kind(graph.edges(b.corpus))
+    return graph.counts_by_kind(b.corpus)
 
 
 @query(

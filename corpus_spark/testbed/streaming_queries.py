@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_spark.operators.telemetry import lease_streams
@@ -13,21 +15,23 @@ from corpus_spark.testbed.oracle import cte
 from corpus_spark.testbed.registry import Bed, query
 
 
-def replay(b: Bed, df: DataFrame, name: str, arrival, batches: int) -> DataFrame:
-    """`df` written as `batches` arrivals and read back as a stream, one arrival per trigger."""
+def replay(b: Bed, df: DataFrame, name: str, arrival: Column, batches: int) -> Iterator[DataFrame]:
+    """`df` in `batches` arrivals of as many files as its partitions: after each is written, the stream
+    over all of them comes back, to be run from its checkpoint over what is new."""
     path = fresh_path(b.spark, name)
     for n in range(batches):
-        df.filter(arrival % batches == n).coalesce(1).write.mode("append").parquet(path)
-    return b.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.filter(arrival % batches == n).write.mode("append").parquet(path)
+        yield b.spark.readStream.schema(df.schema).parquet(path)
 
 
 @query("t1_incremental_merge_stream", FACT_SQL)
 def _(b: Bed):
     obs = b.stored_observations
-    stream = replay(b, obs, "observations", F.abs(F.hash("device_path")), 3)
     log = jobs.BatchLog(b.spark, fresh_path(b.spark, "stored"), jobs.log_schema(obs))
     facts = jobs.BatchLog(b.spark, fresh_path(b.spark, "facts"), jobs.fact_schema(obs))
-    last = jobs.merge_stream(stream, log, facts, fresh_path(b.spark, "merge-checkpoint"))
+    checkpoint = fresh_path(b.spark, "merge-checkpoint")
+    arrivals = replay(b, obs, "observations", F.abs(F.hash("device_path")), 3)
+    last = max(jobs.merge_stream(stream, log, facts, checkpoint) for stream in arrivals)
     return fact_text(jobs.current_rows(facts, last, "package"))
 
 
@@ -35,10 +39,11 @@ def _(b: Bed):
 def _(b: Bed):
     log = b.table("decisions").select("package", "id", "action", "decided_at")
     # Newest first: later batches bring older decisions, which must not win.
-    stream = replay(b, log, "decisions", 2 - F.year("decided_at") % 3, 3)
+    arrivals = replay(b, log, "decisions", 2 - F.year("decided_at") % 3, 3)
     state = jobs.BatchLog(b.spark, fresh_path(b.spark, "latest"), log.schema)
     order = ("decided_at", "id")
-    last = jobs.latest_stream(stream, state, fresh_path(b.spark, "latest-checkpoint"), "package", order)
+    checkpoint = fresh_path(b.spark, "latest-checkpoint")
+    last = max(jobs.latest_stream(stream, state, checkpoint, "package", order) for stream in arrivals)
     return jobs.latest_state(state, last, "package", order).select("package", "id", "action")
 
 
@@ -52,11 +57,12 @@ cte("beats", "SELECT 'job-' || user_id AS job_id, ts AS beat_at, CAST(event_id %
 def _(b: Bed):
     beats = b.raw("events").select(F.concat(F.lit("job-"), "user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("beat_at"), (F.col("event_id") % 4).cast("int").alias("attempt"))
     # The last two arrivals are beats of no job, far behind all others, so that the watermark passes these.
-    last, arrival = beats.agg(F.max("beat_at").alias("at")), F.least(F.floor((F.dayofmonth("beat_at") - 1) / 3), F.lit(9))
-    for n in (10, 11):
-        beats = beats.unionByName(last.select(F.lit("end").alias("job_id"), (F.col("at") + F.expr(f"INTERVAL {n} DAYS")).alias("beat_at"), F.lit(n).alias("attempt")))
-    stream = replay(b, beats, "beats", F.when(F.col("job_id") == "end", F.col("attempt")).otherwise(arrival), 12)
-    found = jobs.collect_stream(jobs.heartbeat_timeouts(stream, 86_400, 3, "1 hour"), "heartbeats")
+    last, arrival = beats.agg(F.max("beat_at").alias("at")), F.least(F.floor((F.dayofmonth("beat_at") - 1) / 10), F.lit(2))
+    for n in (3, 4):
+        beats = beats.unionByName(last.select(F.lit("end").alias("job_id"), (F.col("at") + F.expr(f"INTERVAL {n + 7} DAYS")).alias("beat_at"), F.lit(n).alias("attempt")))
+    path, checkpoint = fresh_path(b.spark, "heartbeats"), fresh_path(b.spark, "heartbeats-checkpoint")
+    for stream in replay(b, beats, "beats", F.when(F.col("job_id") == "end", F.col("attempt")).otherwise(arrival), 5):
+        found = jobs.collect_stream(jobs.heartbeat_timeouts(stream, 86_400, 3, "1 hour"), "heartbeats", path, checkpoint)
     return found.select("job_id", F.date_format("last_beat", "yyyy-MM-dd HH:mm:ss").alias("last_beat"), "attempt", "outcome")
 
 
@@ -70,9 +76,10 @@ cte("all_streams", "SELECT 'wait' AS measure, 'requested' AS opens, * FROM lease
 def _(b: Bed):
     events = b.table("lease_events")
     # Arrivals in time order, ten days each.
-    stream = replay(b, events, "lease-events", F.least(F.floor((F.dayofmonth("happened_at") - 1) / 10), F.lit(2)), 3)
+    arrivals = replay(b, events, "lease-events", F.least(F.floor((F.dayofmonth("happened_at") - 1) / 10), F.lit(2)), 3)
     open_rows = jobs.VersionedTable(b.spark, fresh_path(b.spark, "open-leases"), lease_streams(events).schema)
-    path = fresh_path(b.spark, "lease-intervals")
-    jobs.lease_interval_stream(stream, open_rows, path, fresh_path(b.spark, "lease-checkpoint"))
+    path, checkpoint = fresh_path(b.spark, "lease-intervals"), fresh_path(b.spark, "lease-checkpoint")
+    for stream in arrivals:
+        jobs.lease_interval_stream(stream, open_rows, path, checkpoint)
     micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("start_at", "end_at")]
     return b.spark.read.parquet(path).select("job_id", "measure", micros[0].alias("start_us"), (micros[1] - micros[0]).alias("length_us"))

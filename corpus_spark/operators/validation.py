@@ -120,20 +120,42 @@ def proposal_provenance(model: Column, rule: Column, category: Column) -> Column
 
 
 def parse_verdicts(raw: DataFrame) -> DataFrame:
-    """(response_id, package, status, sources, reasoning, malformed) out of response JSON text."""
-    schema = "status string, sources array<string>, reasoning string"
+    """`raw` with its column `response`, JSON text, replaced by status, sources, reasoning, reasoning_chars and
+    `shape`: what is wrong with the text, or NULL. Checked in order: an object, status (no default), sources and
+    reasoning (empty where left out), then fields nobody asked for. Text that is no JSON has NULL fields."""
     parsed = raw.withColumn("v", F.try_parse_json("response"))
-    keys = F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))
-    extra = F.size(F.array_except(keys, F.array(*[F.lit(k) for k in VERDICT_KEYS]))) > 0
-    body = F.from_json("response", schema)
-    return parsed.select(
-        "response_id",
-        "package",
-        body["status"].alias("status"),
-        F.coalesce(body["sources"], F.array().cast("array<string>")).alias("sources"),
-        F.coalesce(body["reasoning"], F.lit("")).alias("reasoning"),
-        F.coalesce(extra, F.lit(True)).alias("malformed"),
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    keys = F.when(is_object, F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")))
+    parsed = parsed.withColumns(
+        {
+            "keys": keys,
+            **{f"k_{k}": F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")) for k in VERDICT_KEYS},
+            "sources": F.coalesce(F.try_variant_get("v", "$.sources", "array<string>"), F.array().cast("array<string>")),
+            **{k: F.try_variant_get("v", f"$.{k}", "string") for k in ("status", "reasoning")},
+        }
     )
+    extra = F.array_sort(F.array_except("keys", F.array(*[F.lit(k) for k in VERDICT_KEYS])))
+    rules = [
+        (F.col("keys").isNull(), _reject("response", "not a JSON object")),
+        (~F.array_contains("keys", "status"), _reject("status", "missing")),
+        (F.col("k_status") != "STRING", _reject("status", "not text")),
+        (~F.col("k_sources").isin("ARRAY<STRING>", "ARRAY<VOID>"), _reject("sources", "not a list of urls")),
+        (F.exists("sources", lambda url: url.isNull()), _reject("sources", "not a list of urls")),
+        (F.col("k_reasoning") != "STRING", _reject("reasoning", "not text")),
+        (F.size(extra) > 0, _reject(extra[0], "extra field")),
+    ]
+    return parsed.withColumns(
+        {
+            "shape": _first(rules),
+            "reasoning": F.coalesce("reasoning", F.lit("")),
+            "reasoning_chars": F.char_length(F.coalesce("reasoning", F.lit(""))),
+        }
+    ).drop("v", "response", "keys", *[f"k_{k}" for k in VERDICT_KEYS])
+
+
+def cited_sources(verdicts: DataFrame) -> DataFrame:
+    """(response_id, position, url): every citation of parsed verdicts, repeats included."""
+    return verdicts.select("response_id", F.posexplode("sources").alias("position", "url"))
 
 
 def check_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
@@ -158,7 +180,7 @@ def check_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def validate_verdicts(responses: DataFrame, citations: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds `rejected` to judge responses (response_id, package, status, reasoning_chars, and `malformed`
+    """Adds `rejected` to judge responses (response_id, package, status, reasoning_chars, and `shape`
     where they come from text). One bad citation rejects the whole response, and so does no status."""
     cited = citations.join(responses.select("response_id", "package"), "response_id")
     rows = responses.join(check_citations(cited, sources), "response_id", "left").withColumns(
@@ -168,9 +190,9 @@ def validate_verdicts(responses: DataFrame, citations: DataFrame, sources: DataF
             "unread": F.coalesce("unread", F.lit(False)),
         }
     )
-    malformed = F.coalesce("malformed", F.lit(True)) if "malformed" in responses.columns else F.lit(False)
+    shape = F.col("shape") if "shape" in responses.columns else F.lit(None).cast(REJECTED)
     rules = [
-        (malformed, _reject("response", "not the fields that were asked for")),
+        (shape.isNotNull(), shape),
         (F.col("status").isNull(), _reject("status", "missing")),
         (~F.col("status").isin("corroborated", "uncorroborated", "search_failed", "judge_failed"), _reject("status", "not a status")),
         (~F.col("status").isin(*ANSWERABLE_STATUSES), _reject("status", "a pipeline fact, not a judgement")),

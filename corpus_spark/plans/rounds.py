@@ -10,6 +10,8 @@ from corpus_spark.operators import queueing, searching
 from corpus_spark.operators.rewrite import rewrite_accepted, rewrite_parked
 from corpus_spark.operators.triage import latest
 from corpus_spark.operators.validation import (
+    cited_sources,
+    parse_verdicts,
     proposal_provenance,
     validate_proposals,
     validate_verdicts,
@@ -71,15 +73,14 @@ def corroboration_round(
     display: DataFrame,
     failures: DataFrame,
     responses: DataFrame,
-    citations: DataFrame,
     cutoff: str,
     top: int = 10,
 ) -> DataFrame:
     """One corroboration row per candidate.
 
     `results` are search rows; those of a package whose newest row is older than the cutoff do not
-    count. `failures` is (package, failure), `responses` the judge's answers (response_id, package,
-    model, status, reasoning, reasoning_chars, attempts) and `citations` (response_id, position, url).
+    count. `failures` is (package, failure), `responses` the judge's answers as they came
+    (response_id, package, model, response JSON text, attempts); a package's newest one counts.
     """
     candidates = queueing.corroboration_candidates(classification, verdicts)
     fresh = queueing.fresh_sources(results, cutoff).join(candidates.select("package"), "package", "left_semi")
@@ -88,11 +89,10 @@ def corroboration_round(
     searches = candidates.select("package").join(found, "package", "left").join(failures, "package", "left").select(
         "package", "failure", F.coalesce("sources", F.lit(0)).alias("sources")
     )
-    final = latest(
-        responses, "package", ("response_id",),
-        ("response_id", "model", "status", "reasoning", "reasoning_chars", "attempts"),
-    )
-    validated = validate_verdicts(final, citations, handed)
+    newest = latest(responses, "package", ("response_id",), ("response_id", "model", "response", "attempts"))
+    final = materialize(parse_verdicts(newest), "judge-verdicts")
+    citations = cited_sources(final)
+    validated = validate_verdicts(final.drop("sources"), citations, handed)
     # A judge may cite any number of handed sources, which are at most `top`.
     first_cited = citations.groupBy("response_id", "url").agg(F.min("position").alias("position"))
     cited = first_cited.groupBy("response_id").agg(

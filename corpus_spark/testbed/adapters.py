@@ -425,12 +425,19 @@ def search_results(d: SparkDialect) -> str:
 
 
 def verdict_responses(d: SparkDialect) -> str:
-    """One judge response per conversation; citations come from its turns."""
+    """One judge response per conversation, as JSON text; some are not of the shape that was asked for."""
+    forum = "'\"https://forum.example.org/t/' || " + text("conv_id") + " || '\"'"
     return f"""
-    SELECT DISTINCT conv_id AS response_id, {name('conv_id')} AS package,
-      CASE conv_id % 7 WHEN 0 THEN 'uncorroborated' WHEN 1 THEN 'search_failed' WHEN 2 THEN 'maybe' ELSE 'corroborated' END AS status,
-      CASE WHEN conv_id % 31 = 3 THEN 401 ELSE 12 END AS reasoning_chars
-    FROM {{conversations}}"""
+    SELECT conv_id AS response_id, {name('conv_id')} AS package,
+      CASE WHEN conv_id % 37 = 5 THEN 'I would say it fits' WHEN conv_id % 41 = 6 THEN '["corroborated"]' ELSE
+      '{{{{' || CASE WHEN conv_id % 43 = 7 THEN '' WHEN conv_id % 47 = 8 THEN '"status": 1, ' ELSE '"status": "' ||
+        CASE conv_id % 7 WHEN 0 THEN 'uncorroborated' WHEN 1 THEN 'search_failed' WHEN 2 THEN 'maybe' ELSE 'corroborated' END || '", ' END ||
+        CASE WHEN conv_id % 53 = 9 THEN '"sources": "none", ' WHEN conv_id % 59 = 10 THEN '"sources": [7], ' WHEN conv_id % 19 = 3 THEN ''
+          WHEN conv_id % 5 = 0 THEN '"sources": [], ' WHEN conv_id % 11 = 4 THEN '"sources": ["https://invented.example/x", ' || {forum} || '], '
+          WHEN count(*) > 2 THEN '"sources": [' || {forum} || ', ' || {forum} || '], ' ELSE '"sources": [' || {forum} || '], ' END ||
+        CASE WHEN conv_id % 61 = 11 THEN '"confidence": "high", ' ELSE '' END ||
+        '"reasoning": ' || CASE WHEN conv_id % 67 = 12 THEN 'false' WHEN conv_id % 31 = 3 THEN '"' || repeat('x', 401) || '"' ELSE '"it fits"' END || '}}}}' END AS response
+    FROM {{conversations}} GROUP BY conv_id"""
 
 
 def citations(d: SparkDialect) -> str:

@@ -196,19 +196,31 @@ def _(b: Bed):
 _judged = "CASE WHEN length(coalesce(page_text, '')) > length(coalesce(snippet, '')) THEN page_text WHEN coalesce(snippet, '') <> '' THEN snippet ELSE coalesce(page_text, '') END"
 
 
-def cited_sql(responses: str, sources: str) -> str:
+cte("verdict_json", "SELECT *, CASE WHEN json_type(try_cast(response AS JSON)) = 'OBJECT' THEN try_cast(response AS JSON) END AS j FROM verdict_responses")
+cte(
+    "verdict_fields",
+    "SELECT response_id, package, json_extract_string(j, '$.status') AS status, coalesce(length(json_extract_string(j, '$.reasoning')), 0) AS reasoning_chars, "
+    "CASE WHEN j IS NULL THEN 'response: not a JSON object' WHEN json_type(j, '$.status') IS NULL THEN 'status: missing' WHEN json_type(j, '$.status') <> 'VARCHAR' THEN 'status: not text' "
+    "WHEN json_type(j, '$.sources') <> 'ARRAY' OR len(list_filter(json_extract(j, '$.sources[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0 THEN 'sources: not a list of urls' "
+    "WHEN json_type(j, '$.reasoning') <> 'VARCHAR' THEN 'reasoning: not text' WHEN list_contains(json_keys(j), 'confidence') THEN 'confidence: extra field' END AS shape FROM verdict_json",
+)
+cte("verdict_urls", "SELECT response_id, unnest(range(1, len(urls) + 1)) AS position, unnest(urls) AS url FROM (SELECT response_id, json_extract_string(j, '$.sources[*]') AS urls FROM verdict_json WHERE j IS NOT NULL)")
+
+
+def cited_sql(responses: str, sources: str, citations: str = "citations") -> str:
     return (
-        f"SELECT r.response_id, count(DISTINCT c.url) AS cited, coalesce(bool_or(c.url IS NOT NULL AND s.url IS NULL), false) AS fabricated, coalesce(bool_or(s.empty), false) AS unread FROM {responses} r JOIN citations c USING (response_id) "
+        f"SELECT r.response_id, count(DISTINCT c.url) AS cited, coalesce(bool_or(c.url IS NOT NULL AND s.url IS NULL), false) AS fabricated, coalesce(bool_or(s.empty), false) AS unread FROM {responses} r JOIN {citations} c USING (response_id) "
         f"LEFT JOIN (SELECT package, url, bool_and({_judged} = '') AS empty FROM {sources} GROUP BY ALL) s ON s.package = r.package AND s.url = c.url GROUP BY r.response_id"
     )
 
 
 VERDICT_RULES = (
-    "CASE WHEN status NOT IN ('corroborated', 'uncorroborated', 'search_failed', 'judge_failed') THEN 'status: not a status' WHEN status NOT IN ('corroborated', 'uncorroborated') THEN 'status: a pipeline fact, not a judgement' "
+    "CASE WHEN shape IS NOT NULL THEN shape WHEN status NOT IN ('corroborated', 'uncorroborated', 'search_failed', 'judge_failed') THEN 'status: not a status' WHEN status NOT IN ('corroborated', 'uncorroborated') THEN 'status: a pipeline fact, not a judgement' "
     "WHEN coalesce(fabricated, false) THEN 'sources: fabricated citation' WHEN coalesce(unread, false) THEN 'sources: cites a source without text' WHEN status = 'corroborated' AND coalesce(cited, 0) = 0 THEN 'sources: corroborated without a source' "
     "WHEN status = 'uncorroborated' AND coalesce(cited, 0) > 0 THEN 'sources: uncorroborated with sources' WHEN reasoning_chars > 400 THEN 'reasoning: too long' END"
 )
 cte("cited_rows", cited_sql("verdict_responses", "search_results"))
+cte("cited_urls", cited_sql("verdict_fields", "search_results", "verdict_urls"))
 
 
 @query("j14_citation_gate", "SELECT response_id, cited, fabricated, unread FROM cited_rows")
@@ -217,9 +229,10 @@ def _(b: Bed):
     return validation.check_citations(cited, b.table("search_results"))
 
 
-@query("f11_verdict_validation", f"SELECT r.response_id, {VERDICT_RULES} AS rejected FROM verdict_responses r LEFT JOIN cited_rows c USING (response_id)")
+@query("f11_verdict_validation", f"SELECT r.response_id, {VERDICT_RULES} AS rejected FROM verdict_fields r LEFT JOIN cited_urls c USING (response_id)")
 def _(b: Bed):
-    return validation.validate_verdicts(b.table("verdict_responses"), b.table("citations"), b.table("search_results")).select("response_id", fault())
+    verdicts = validation.parse_verdicts(b.table("verdict_responses"))
+    return validation.validate_verdicts(verdicts, validation.cited_sources(verdicts), b.table("search_results")).select("response_id", fault())
 
 
 @query("u2_set_operations", "SELECT 'both' AS side, package FROM (SELECT package FROM classification INTERSECT SELECT package FROM reference_list) UNION ALL SELECT 'left', package FROM (SELECT package FROM classification EXCEPT SELECT package FROM reference_list)")
@@ -250,9 +263,9 @@ CUTOFF = "2024-01-03 12:00:00"
 cte("wanted", "SELECT k.package, sha256('{\"description\": ' || CAST(to_json(k.description) AS VARCHAR) || ', \"package\": ' || CAST(to_json(k.package) AS VARCHAR) || '}') AS description_sha256 FROM classification k LEFT JOIN verdict_rows v USING (package) "
     "WHERE NOT k.parked AND k.description IS NOT NULL AND k.description <> 'unknown' AND (v.status IS NULL OR v.description_sha256 <> sha256('{\"description\": ' || CAST(to_json(k.description) AS VARCHAR) || ', \"package\": ' || CAST(to_json(k.package) AS VARCHAR) || '}') OR v.status IN ('search_failed', 'judge_failed'))")
 cte("handed", f"SELECT s.* FROM merged_results m JOIN search_results s ON s.package = m.package AND s.result_id = m.result_id WHERE m.package IN (SELECT package FROM search_results GROUP BY package HAVING max(fetched_at) >= TIMESTAMP '{CUTOFF}') AND m.package IN (SELECT package FROM wanted)")
-cte("final_responses", "SELECT * FROM verdict_responses QUALIFY row_number() OVER (PARTITION BY package ORDER BY response_id DESC) = 1")
-cte("final_cited", cited_sql("final_responses", "handed"))
-cte("judged_rows", f"SELECT r.package, r.status, {VERDICT_RULES} AS rejected, (SELECT string_agg(url, ',' ORDER BY p) FROM (SELECT url, min(position) AS p FROM citations x WHERE x.response_id = r.response_id GROUP BY url)) AS sources FROM final_responses r LEFT JOIN final_cited c USING (response_id)")
+cte("final_responses", "SELECT * FROM verdict_fields QUALIFY row_number() OVER (PARTITION BY package ORDER BY response_id DESC) = 1")
+cte("final_cited", cited_sql("final_responses", "handed", "verdict_urls"))
+cte("judged_rows", f"SELECT r.package, r.status, {VERDICT_RULES} AS rejected, (SELECT string_agg(url, ',' ORDER BY p) FROM (SELECT url, min(position) AS p FROM verdict_urls x WHERE x.response_id = r.response_id GROUP BY url)) AS sources FROM final_responses r LEFT JOIN final_cited c USING (response_id)")
 cte(
     "verdict_out",
     "SELECT w.package, w.description_sha256, failed.package IS NULL AS searched, (SELECT count(*) FROM handed h WHERE h.package = w.package) AS n, j.status, j.rejected, j.sources, j.package IS NOT NULL AS answered FROM wanted w "
@@ -268,10 +281,10 @@ ROUND_SQL = (
 
 def judged_round(b: Bed):
     failures = b.table("corroboration").filter("status = 'search_failed' AND stale").select("package", F.lit("timeout").alias("failure"))
-    responses = b.table("verdict_responses").withColumns({"model": F.lit("judge-1"), "reasoning": F.lit("it fits"), "attempts": F.lit(1)})
+    responses = b.table("verdict_responses").withColumns({"model": F.lit("judge-1"), "attempts": F.lit(1)})
     results = b.table("search_results").select("package", "block", "block_index", "url", "title", "snippet", "page_text", "fetched_at")
     rows = rounds.corroboration_round(
-        b.table("classification"), verdict_rows(b), results, display(b), failures, responses, b.table("citations"), CUTOFF, top=3)
+        b.table("classification"), verdict_rows(b), results, display(b), failures, responses, CUTOFF, top=3)
     return rows.select("package", "description_sha256", "status", "model", joined("sources").alias("sources"), "reasoning", "failure_reason")
 
 

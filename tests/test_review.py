@@ -125,3 +125,33 @@ def test_park_keeps_or_clears(spark):
     assert park("h").removal == "Expert"
     cleared = park("other")
     assert cleared.removal is None and cleared.description == "words" and cleared.provenance == {"description": "human:triage"}
+
+
+@pytest.mark.parametrize(
+    ("response", "field", "reason"),
+    [
+        ("it fits", "response", "not a JSON object"),
+        ("[1]", "response", "not a JSON object"),
+        (None, "response", "not a JSON object"),
+        ("{}", "status", "missing"),
+        ('{"sources": [], "reasoning": "x"}', "status", "missing"),
+        ('{"status": null}', "status", "not text"),
+        ('{"status": 1}', "status", "not text"),
+        ('{"status": "corroborated", "sources": "u"}', "sources", "not a list of urls"),
+        ('{"status": "corroborated", "sources": ["u", 7]}', "sources", "not a list of urls"),
+        ('{"status": "corroborated", "sources": ["u", null]}', "sources", "not a list of urls"),
+        ('{"status": "corroborated", "reasoning": false}', "reasoning", "not text"),
+        ('{"status": "corroborated", "sources": ["u"], "confidence": "high"}', "confidence", "extra field"),
+        ('{"status": "search_failed"}', "status", "a pipeline fact, not a judgement"),
+        ('{"status": "corroborated"}', "sources", "corroborated without a source"),
+        ('{"status": "corroborated", "sources": ["elsewhere"]}', "sources", "fabricated citation"),
+        ('{"status": "corroborated", "sources": ["u", "u"]}', None, None),
+        ('{"status": "uncorroborated"}', None, None),
+    ],
+)
+def test_verdicts_from_response_text(spark, response, field, reason):
+    raw = spark.createDataFrame([(1, "p", response)], "response_id int, package string, response string")
+    sources = spark.createDataFrame([("p", "u", "text", None)], "package string, url string, page_text string, snippet string")
+    verdicts = validation.parse_verdicts(raw)
+    got = validation.validate_verdicts(verdicts, validation.cited_sources(verdicts), sources).first().rejected
+    assert (got and tuple(got)) == (field and (field, reason))

@@ -1,10 +1,11 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 Every set of word shingles gets `COORDINATES` minimum hashes. A set is posted under its coordinate-value
-pairs, rarest first: two sets that agree in at least `MATCHES` coordinates must meet in the first
-`COORDINATES - MATCHES + 1` of them (the prefix), so the long lists at the end are skipped and only looked up
+pairs, rarest first: two sets that agree in at least `matches` coordinates must meet in the first
+`COORDINATES - matches + 1` of them (the prefix), so the long lists at the end are skipped and only looked up
 when collisions are counted. A pair with similarity 0.85 agrees in fewer than 17 of 32 coordinates with a
-chance of about one in a million. Pairs over the match threshold are confirmed on their full sets.
+chance of 3.5 in a million, one with 0.80 in fewer than 14 with 1.2 in a million. Pairs over the match threshold
+are confirmed on their full sets.
 
 No list is paired with itself row by row. First every set is compared with one hub, the most central set of
 its lists, which links a group of near copies in linear work. What the hubs leave apart in a list is then
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -105,7 +107,7 @@ def _sides(side: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarr
     return start + np.flatnonzero(part != 1), start + np.flatnonzero(part != 0)
 
 
-def _block_candidates(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+def _block_candidates(percent: int, matches: int, rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
     """Pairs within pairs of blocks whose signatures agree often enough, as spanning forests."""
     sig, n, side = np.stack(rows["sig"].to_numpy()), rows["n"].to_numpy(), rows["side"].to_numpy()
     star = pd.factorize(rows["star"])[0]
@@ -120,8 +122,8 @@ def _block_candidates(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
             agree = np.zeros((len(top), len(second)), np.uint8)
             for c in range(sig.shape[1]):
                 agree += sig[top, c, None] == sig[None, second, c]
-            good = (agree >= MATCHES) & (star[top, None] != star[None, second])
-            x, y = np.nonzero(good & _fits(PERCENT, n[top, None], n[None, second]))
+            good = (agree >= matches) & (star[top, None] != star[None, second])
+            x, y = np.nonzero(good & _fits(percent, n[top, None], n[None, second]))
             left.append(top[x])
             right.append(second[y])
         pairs.append((np.concatenate(left), np.concatenate(right)))
@@ -152,7 +154,7 @@ def intersections(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarr
     return np.rint(found).astype(np.int64)
 
 
-def _block_links(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+def _block_links(percent: int, rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
     """Confirmed links within pairs of blocks, as spanning forests."""
     sets = [np.asarray(s, np.int64) for s in rows["shingles"]]
     size = np.array([len(s) for s in sets])
@@ -163,7 +165,7 @@ def _block_links(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
             continue
         common = intersections([sets[i] for i in first], [sets[i] for i in second])
         union = size[first][:, None] + size[second][None, :] - common
-        left, right = np.nonzero(100 * common >= PERCENT * union)
+        left, right = np.nonzero(100 * common >= percent * union)
         pairs.append((first[left], second[right]))
     return _forest_frame(rows["key"].to_numpy(), pairs)
 
@@ -180,7 +182,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     )
 
 
-def prefix_posts(classes: DataFrame) -> DataFrame:
+def prefix_posts(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     """(coord, value, key, weight): the prefix of each class among lists of two or more; weight: how
     many sets share its values, over all coordinates, which is high in the middle of a group."""
     posts = classes.select("key", F.posexplode("sig").alias("coord", "value"))
@@ -191,7 +193,7 @@ def prefix_posts(classes: DataFrame) -> DataFrame:
         .groupBy("key")
         .agg(ranked.alias("ranked"), F.sum("held").alias("weight"))
         # Values that no other set has come first in the order of rarity and post nothing.
-        .withColumn("room", F.size("ranked") - F.lit(MATCHES - 1))
+        .withColumn("room", F.size("ranked") - F.lit(matches - 1))
         .filter("room > 0")
     )
     return chosen.select("key", "weight", F.explode(F.slice("ranked", F.lit(1), F.col("room"))).alias("p")).select(
@@ -199,7 +201,7 @@ def prefix_posts(classes: DataFrame) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -207,12 +209,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs.join(left, "a")
         .join(right, "b")
         .withColumn("common", common)
-        .filter(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * PERCENT)
+        .filter(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * percent)
         .select("a", "b")
     )
 
 
-def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """(a, b): links between classes that join the same classes as all links would."""
     classes = materialize(
         signed.filter("n > 0")
@@ -220,7 +222,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")),
         "minhash-classes",
     )
-    posts = materialize(prefix_posts(classes), "minhash-posts")
+    posts = materialize(prefix_posts(classes, matches), "minhash-posts")
     candidates = posts.select("key").distinct()
     wanted = classes.join(candidates, "key", "left_semi").select(F.col("rep").alias("id"), "key")
     sets = materialize(
@@ -242,10 +244,10 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         chosen.filter("a <> b")
         .join(sig.toDF("a", "sig_a"), "a")
         .join(sig.toDF("b", "sig_b"), "b")
-        .filter(_agreements("sig_a", "sig_b") >= MATCHES)
+        .filter(_agreements("sig_a", "sig_b") >= matches)
         .select("a", "b")
     )
-    starred = materialize(_confirmed(close, sets), "minhash-stars")
+    starred = materialize(_confirmed(close, sets, percent), "minhash-stars")
     # Lists in which the hubs have left sets apart.
     named = posts.join(starred.toDF("key", "hub"), "key", "left").select(
         "coord", "value", "key", F.coalesce("hub", "key").alias("star")
@@ -258,23 +260,26 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     )
     rest = named.join(apart, ["coord", "value"]).join(classes.select("key", "n", "sig"), "key")
     blocks = in_block_pairs(rest, ["coord", "value"], "key", LIST_BLOCK)
-    maybe = map_groups(blocks, ["coord", "value", "low", "high"], _block_candidates, "a binary, b binary")
+    compared = partial(_block_candidates, percent, matches)
+    maybe = map_groups(blocks, ["coord", "value", "low", "high"], compared, "a binary, b binary")
     clusters = components(maybe, "minhash-clusters")
     members = sets.join(clusters.toDF("key", "cluster"), "key")
     checked = map_groups(
         in_block_pairs(members, ["cluster"], "key", SET_BLOCK),
         ["cluster", "low", "high"],
-        _block_links,
+        partial(_block_links, percent),
         "a binary, b binary",
     )
     return starred.unionByName(checked)
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, matches: int = MATCHES
+) -> DataFrame:
     """(id_column, n_shingles, component_id, kept) per row of `df`.
 
-    Texts are linked at 100 * intersection >= 85 * union of their sets of distinct five-word shingles; a
-    text of fewer words is one shingle. Null and wordless texts have no shingle, link with nothing and
+    Texts are linked at 100 * intersection >= percent * union of their sets of distinct five-word shingles; a
+    text of fewer words is one shingle. Candidates agree in `matches` coordinates; a lower percent needs fewer. Null and wordless texts have no shingle, link with nothing and
     are their own component. `component_id` is the smallest id reachable (nulls are passed over; a
     wordless text's own id), `kept` is whether that is the row's id; rows that repeat an id keep together
     and a null id is kept only where no other id is there. Other columns are ignored; an empty table gives an
@@ -284,7 +289,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
         F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")
     )
     signed = signatures(docs)
-    roots = components(links(docs, signed), "minhash-components").toDF("key", "root")
+    roots = components(links(docs, signed, percent, matches), "minhash-components").toDF("key", "root")
     rooted = materialize(
         signed.select("id", "n", "key")
         .join(roots, "key", "left")

@@ -364,3 +364,21 @@ def test_pipeline_stages_take_effect(spark):
     assert mix.columns == docs.columns and max(Counter(x["doc_id"] for x in rows(mix)).values()) <= 2
     assert pipeline.encode(spark, one, "").count() == 61
     assert [name for name, _ in pipeline.STAGES] == ["language_id", "minhash_near_dedup", "secret_scan", "source_mix", "sentencepiece"]
+
+
+def test_pipeline_takes_near_copies_from_four_fifths_on(spark):
+    import corpus_pipeline as pipeline
+
+    texts = []
+    for seed, changes in ((50, 3), (60, 4)):
+        base = [f"{w}{i}" for i, w in enumerate(prose(seed, 140).split())]
+        copy = list(base)
+        for i in range(changes):
+            copy[20 + 30 * i] = "other"
+        texts += [" ".join(base), " ".join(copy)]
+    sets = brute_sets(texts)
+    likeness = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (0, 2)]
+    assert 0.80 <= likeness[0] < 0.85 and likeness[1] < 0.80
+    frame = documents(spark, texts)
+    assert sorted(x["doc_id"] for x in rows(pipeline.near_dedup(spark, frame, ""))) == [0, 2, 3]
+    assert all(x["kept"] for x in rows(minhash_join.near_duplicates(frame)))

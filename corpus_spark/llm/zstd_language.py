@@ -4,8 +4,8 @@ A dictionary is plain text of one language. A text is encoded with each of them,
 long text can't become its own dictionary, and the language with the smallest total wins. Where the best two
 are closer than MARGIN of the size, the text is rejected: no dictionary explains it better.
 
-Learning takes a bounded sample per language: the SAMPLE_DOCS texts with the smallest hash, an excerpt of
-EXCERPT characters of each.
+Learning takes a bounded sample per language: the SAMPLE_DOCS distinct texts with the smallest hash, an excerpt of
+EXCERPT characters of each. Copies of a text are one.
 """
 
 from __future__ import annotations
@@ -83,11 +83,18 @@ def learn(df: DataFrame, text_column: str = "text", lang_column: str = "lang") -
     rows = rows.filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     hashed = rows.withColumn("hash", F.xxhash64("text"))
-    # An excerpt of a text starts at a place that its hash names; only excerpts are sorted and moved.
+    # Copies share a hash: hashes are made distinct and ranked first, then excerpts of the chosen ones are fetched.
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
+    chosen = hashed.select("lang", "hash").distinct().withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS)
+    # An excerpt of a text starts at a place that its hash names.
     room = F.greatest(F.char_length("text") - EXCERPT, F.lit(0)) + 1
     excerpt = F.substring("text", (F.pmod("hash", room) + 1).cast("int"), F.lit(EXCERPT))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
-    sample = hashed.select("lang", "hash", excerpt.alias("text")).withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS)
+    # SAMPLE_DOCS rows a language at most, as many as are collected below.
+    sample = (
+        hashed.join(F.broadcast(chosen), ["lang", "hash"])
+        .groupBy("lang", "hash", "rank")
+        .agg(F.min(excerpt).alias("text"))
+    )
     parts: dict[str, list[bytes]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["rank"])):
         parts.setdefault(r["lang"], []).append(letters(r["text"]))

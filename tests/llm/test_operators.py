@@ -382,3 +382,13 @@ def test_pipeline_takes_near_copies_from_four_fifths_on(spark):
     frame = documents(spark, texts)
     assert sorted(x["doc_id"] for x in rows(pipeline.near_dedup(spark, frame, ""))) == [0, 2, 3]
     assert all(x["kept"] for x in rows(minhash_join.near_duplicates(frame)))
+
+
+def test_copies_fill_one_place_of_a_dictionary(spark):
+    texts = [f"{prose(i, 20)} n{i}n" for i in range(30)]
+    copied = [t for t in texts for _ in range(zstd_language.SAMPLE_DOCS + 10)]
+    table = spark.createDataFrame([(t, "aa") for t in copied] + [(prose(99, 20), "bb")], "text string, lang string")
+    model = zstd_language.learn(table)
+    content = dict(model.dictionaries)["aa"]
+    assert [lang for lang, _ in model.dictionaries] == ["aa", "bb"]
+    assert all(content.count(zstd_language.letters(t)) == 1 for t in texts)

@@ -2,8 +2,8 @@
 
 A k-mer of code points is a closed syncmer if the least hash among its inner s-mers stands at its first or last place.
 That depends on the k-mer alone and on nothing around it, so an edit moves no anchor outside of it, and any
-K - S + 1 consecutive k-mers hold one. The fingerprint keeps the anchors with the SKETCH smallest hashes (first place
-of each), in text order, and likeness matches them in order.
+K - S + 1 consecutive k-mers hold one. All anchors are returned with their places, and likeness matches all of them in
+order. The fingerprint is a compact sketch beside them: the SKETCH smallest hashes (first place of each), in text order.
 
 Pairing a document with the next one in an order needs no window over all rows: ids are cut into ranges
 at quantiles, one shuffle brings a range together, and the first row of each range is sent along to the
@@ -79,38 +79,59 @@ def _at(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
+def smallest(hashes: np.ndarray) -> np.ndarray:
+    """Up to SKETCH hashes, the smallest ones, in the order in which they first stand."""
+    first = np.unique(hashes, return_index=True)[1]
+    return hashes[np.sort(first[:SKETCH])]
+
+
 def sketch(text: str) -> np.ndarray:
-    """Up to SKETCH hashes, the smallest ones, in the order in which they first stand in the text."""
-    at, hashes = anchors(text)
-    if not len(hashes):
-        return hashes
-    small, first = np.unique(hashes, return_index=True)
-    kept = first[:SKETCH]
-    return hashes[np.sort(kept)] if len(small) else small
+    """The smallest hashes of a text's anchors."""
+    return smallest(anchors(text)[1])
 
 
 def as_text(hashes: np.ndarray) -> str:
     return hashes.astype(">u8").tobytes().hex()
 
 
+def _equal_start(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Hashes that tell the first, second, ... occurrence of a value apart."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    at = np.arange(len(hashes))
+    out = np.empty_like(hashes)
+    out[order] = mix(ordered + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * _FACTOR)
+    return out
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of the smallest hashes of both sketches together that stand in both, in the same order.
+    """The share of all anchors of both texts together (a matched pair counts once) that match in the same order.
 
-    Equal sketches are 1, also two empty ones; an empty and another one are 0.
+    An equal start and end match as they stand; between them the nth occurrence of a hash can match the nth. Equal
+    sequences are 1, also two empty ones; an empty and another one are 0.
     """
-    if np.array_equal(a, b):
-        return 1.0
-    if not len(a) or not len(b):
-        return 0.0
-    union = np.union1d(a, b)[: max(len(a), len(b))]
-    place = {h: i for i, h in enumerate(b.tolist())}
-    limit = int(union[-1])
-    matched = [place[h] for h in a.tolist() if h <= limit and h in place]
+    total = len(a) + len(b)
+    head = _equal_start(a, b)
+    a, b = a[head:], b[head:]
+    tail = _equal_start(a[::-1], b[::-1])
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    _, at_a, at_b = np.intersect1d(_numbered(a), _numbered(b), assume_unique=True, return_indices=True)
     chain: list[int] = []  # longest increasing run of places: moved anchors don't count
-    for p in matched:
-        i = bisect_left(chain, p)
-        chain[i : i + 1] = [p]
-    return len(chain) / len(union)
+    for p in at_b[np.argsort(at_a)].tolist():
+        if not chain or p > chain[-1]:
+            chain.append(p)
+        else:
+            chain[bisect_left(chain, p)] = p
+    shared = head + tail + len(at_a)
+    return (head + tail + len(chain)) / (total - shared) if total else 1.0
 
 
 def edited(text: str, following: str) -> str:
@@ -159,29 +180,37 @@ def with_next(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 class _Print:
-    """A text's sketch, computed once."""
+    """A text's anchors, computed once."""
 
     def __init__(self, text: str | None) -> None:
         self.text = text or ""
-        self.sketch = sketch(self.text)
-        self.print = as_text(self.sketch)
+        self.places, self.hashes = anchors(self.text)
+        self.print = as_text(smallest(self.hashes))
 
 
 def _compared(row_id, own: _Print, following: _Print) -> tuple:
     changed = edited(own.text, following.text)
-    other = sketch(changed)
+    other = _Print(changed)
     return (
         row_id,
         len(own.text),
         hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
         own.print,
-        as_text(other),
-        likeness(own.sketch, other),
-        likeness(own.sketch, following.sketch),
+        other.print,
+        likeness(own.hashes, other.hashes),
+        likeness(own.hashes, following.hashes),
+        own.places.astype(np.int32),
+        own.hashes.view(np.int64),
+        other.places.astype(np.int32),
+        other.hashes.view(np.int64),
     )
 
 
-COLUMNS = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+COLUMNS = [
+    "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    "places", "hashes", "edited_places", "edited_hashes",
+]
+OUT_ANCHORS = 500_000  # about as many leave a worker at a time
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +218,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: tuple | None = None  # (range, id, its print)
     closed = False
     for batch in batches:
-        out = []
+        out, held_anchors = [], 0
         for number, tail, row_id, text in zip(batch["range"], batch["tail"], batch["id"], batch["text"], strict=True):
             if held is not None and held[0] == number and closed:
                 continue  # another row with the id of the next range's first row
@@ -197,12 +226,17 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             this = _Print(text if isinstance(text, str) else None)
             if held is not None and held[0] == number:
                 out.append(_compared(held[1], held[2], this))
+                held_anchors += len(out[-1][-1]) + len(out[-1][-3])
+                if held_anchors >= OUT_ANCHORS:
+                    yield pd.DataFrame(out, columns=COLUMNS)
+                    out, held_anchors = [], 0
             held, closed = (number, row_id, this), bool(tail)
         yield pd.DataFrame(out, columns=COLUMNS)
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of `df`: its fingerprint, and how it likens that of its edited text and of the next text.
+    """One row per row of `df`: its anchors and those of its edited text (places in code points, hashes in text order),
+    fingerprints of both, and how its anchors liken those of its edited text and of the next text.
 
     Null texts are empty. An empty text has an empty fingerprint; a single row is its own next. Repeated rows
     follow each other. Other columns are ignored; an empty table gives an empty one.
@@ -215,7 +249,8 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
         .mapInPandas(
             _walk,
             "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-            "near_edited double, near_next double",
+            "near_edited double, near_next double, places array<int>, hashes array<bigint>, "
+            "edited_places array<int>, edited_hashes array<bigint>",
         )
         .withColumnRenamed("id", id_column)
     )

@@ -392,3 +392,36 @@ def test_copies_fill_one_place_of_a_dictionary(spark):
     content = dict(model.dictionaries)["aa"]
     assert [lang for lang, _ in model.dictionaries] == ["aa", "bb"]
     assert all(content.count(zstd_language.letters(t)) == 1 for t in texts)
+
+
+def test_all_anchors_of_long_texts_are_kept_and_compared(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "OUT_ANCHORS", 4000)
+    base = prose(70, 5000).split()
+    changed = list(base)
+    changed[2500:2550] = prose(71, 50).split()
+    passage = prose(72, 50)
+    texts = [" ".join(base), " ".join(changed), f"{prose(73, 3000)} {passage} {prose(74, 3000)}", f"{prose(75, 3000)} {passage} {prose(76, 3000)}", "x" * 500, None]
+    got = {r["doc_id"]: r for r in rows(syncmers.fingerprints(documents(spark, texts)))}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        at, hashes = syncmers.anchors(text or "")
+        assert got[i]["places"] == at.tolist() and got[i]["hashes"] == hashes.view(np.int64).tolist()
+        assert len(got[i]["edited_places"]) == len(got[i]["edited_hashes"])
+    assert len(got[0]["places"]) > 2000
+    assert 0.9 < got[1]["near_next"] < 1 and 0 < got[3]["near_next"] < 0.05
+
+
+def test_likeness_is_the_longest_common_order():
+    r = random.Random(11)
+    for _ in range(200):
+        a = r.sample(range(30), r.randint(0, 12))
+        b = r.sample(range(30), r.randint(0, 12))
+        b = b if r.random() < 0.5 else [x for x in a if r.random() < 0.8] + [x for x in b if x not in a]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        want = best[-1][-1] / len({*a, *b}) if a or b else 1.0
+        assert syncmers.likeness(np.array(a, np.uint64), np.array(b, np.uint64)) == pytest.approx(want)
+    repeated = np.array([5, 5, 5, 7], np.uint64)
+    assert syncmers.likeness(repeated, repeated) == 1.0 and syncmers.likeness(repeated, repeated[1:]) == 0.75

@@ -1,9 +1,10 @@
 """Secret scans with multipart credential linking, in DataFrame expressions only.
 
 Three kinds stand by themselves: `assign`, `access` and `hex`. Three weak ones are reported only where complementary
-parts co-occur within SCOPE code points: `key` (other or short access identifiers) beside a secret, `secret` (short
-assigned values and opaque strings) beside an identifier, and `endpoint` (addresses) beside both. A weak part that
-overlaps one of the three kinds adds nothing.
+parts co-occur within SCOPE code points: `key` (identifiers: key ids, assigned users, accounts, clients) beside a secret,
+`secret` (short assigned values and opaque strings) beside an identifier or an endpoint, and `endpoint` (addresses)
+beside a secret. A weak part that overlaps one of the three kinds adds nothing, an opaque string that ends within an
+identifier is none but that, and a secret inside an address completes no other address.
 
 One pass over the texts writes the lengths of matches and of the gaps between them, never their characters. A running
 sum over those gives positions, and the interval join meets parts in cells of CELL code points, so what
@@ -21,7 +22,16 @@ from corpus_spark.session import materialize
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # the runs of 16 and more are those of [0-9a-f]+ that are long enough
-KEY = r"(?:AKIA|ASIA|AIDA|AROA|AGPA|ANPA)[A-Z0-9]{8,}"
+KEY_ID = (
+    r"(?:AKIA|ASIA|AIDA|AROA|AGPA|ANPA|ANVA|ABIA|ACCA|APKA|ASCA|GOOG)[A-Z0-9]{8,}|(?<![A-Za-z0-9])(?:LTAI|AKID)[A-Za-z0-9]{8,}"
+    r"|ocid1\.[a-z0-9]+\.[a-z0-9._-]+|[0-9]{6,}-[a-z0-9]{16,}\.apps\.googleusercontent\.com"
+)
+NAMED = (
+    r"(?i:(?:(?:user|account|acct|client|customer|tenant|subscription|app|application|principal|key)[_\x20-]?(?:id|name|email)"
+    r"|(?<!secret)(?<!secret[_-])access[_-]?key|(?<![A-Za-z0-9])(?:user|usr|login|account|acct|e?mail))"
+    r"""["']?\x20*[:=]\x20*["']?(?!(?:password|passwd|secret|token|api_?key)["']?\x20*[:=])[A-Za-z0-9._%+@-]+)"""
+)
+KEY = f"{KEY_ID}|{NAMED}"
 OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^A-Z\s]*[A-Z])[A-Za-z0-9+/_=-]{20,}"
 ENDPOINT = r"""(?:https?|s3a?|ftp|jdbc:[a-z]+)://[^\x20\x09-\x0D"'<>]+"""
 PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "key": KEY, "secret": OPAQUE, "endpoint": ENDPOINT}
@@ -49,18 +59,26 @@ def lengths(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(rid, id, digest, one array of lengths per kind) per row, written; `digest` where anything matched."""
     rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
-    linked = text.rlike(KEY)  # every rule for weak parts needs an identifier in the text
-    found = rows.select(
+    found = rows.withColumn("linked", linkable(text)).select(
         "id",
-        F.when(suspicious(text), F.sha2("text", 256)).alias("digest"),
-        *[_found(text, k, F.lit(True) if k in BASE else linked).alias(k) for k in KINDS],
+        F.when(strong_matches(text) | F.col("linked"), F.sha2("text", 256)).alias("digest"),
+        *[_found(text, k, F.lit(True) if k in BASE else F.col("linked")).alias(k) for k in KINDS],
     )
     return materialize(found.withColumn("rid", F.monotonically_increasing_id()), "secret-lengths")
 
 
+def strong_matches(text: Column) -> Column:
+    return text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX)
+
+
+def linkable(text: Column) -> Column:
+    """Whether weak parts can count: every rule needs a secret, and an identifier or an endpoint."""
+    return (text.rlike(ENDPOINT) | text.rlike(KEY)) & (text.rlike(ASSIGN) | text.rlike(HEX) | text.rlike(OPAQUE))
+
+
 def suspicious(text: Column) -> Column:
     """Whether a text can hold any span at all."""
-    return text.rlike(ASSIGN) | text.rlike(KEY) | text.rlike(ACCESS) | text.rlike(HEX)
+    return strong_matches(text) | linkable(text)
 
 
 def _positions(measured: DataFrame) -> DataFrame:
@@ -84,6 +102,26 @@ def _least() -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k, LEAST[k])]), F.col("kind"))
 
 
+def settled(parts: DataFrame) -> DataFrame:
+    """`parts` without opaque strings that an identifier holds up to their end; `inside`: a secret in an address."""
+    cells = F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor(F.col("end") / CELL)))
+    holder = F.col("kind").isin("access", "key", "endpoint")
+    secrets = parts.filter(~holder).withColumn("cell", cells).alias("s")
+    holders = parts.filter(holder).withColumn("cell", cells).alias("h")
+    overlap = (F.col("h.start") < F.col("s.end")) & (F.col("h.end") > F.col("s.start"))
+    address = F.col("h.kind") == "endpoint"
+    held = (
+        secrets.join(holders, (F.col("s.rid") == F.col("h.rid")) & (F.col("s.cell") == F.col("h.cell")) & overlap)
+        .groupBy("s.rid", "s.kind", "s.start", "s.end")
+        .agg(F.bool_or(~address & (F.col("h.end") >= F.col("s.end"))).alias("own"), F.bool_or(address).alias("inside"))
+    )
+    return (
+        parts.join(held, ["rid", "kind", "start", "end"], "left")
+        .filter(~(F.col("opaque") & F.coalesce("own", F.lit(False))))
+        .select("rid", "kind", "start", "end", "strong", F.coalesce("inside", F.lit(False)).alias("inside"))
+    )
+
+
 def linked_parts(parts: DataFrame) -> DataFrame:
     """Weak parts with their complement in scope: the interval join, on (rid, cell) with a range condition."""
     weak = parts.filter("NOT strong")
@@ -94,16 +132,20 @@ def linked_parts(parts: DataFrame) -> DataFrame:
     near = (F.col("p.start") <= F.col("w.end") + SCOPE) & (F.col("p.end") >= F.col("w.start") - SCOPE)
     overlap = (F.col("p.start") < F.col("w.end")) & (F.col("p.end") > F.col("w.start"))
     met = left.join(right, (F.col("w.rid") == F.col("p.rid")) & (F.col("w.cell") == F.col("p.cell")) & near)
-    identifier = F.col("p.kind").isin("access", "key")
+    identifier, address = F.col("p.kind").isin("access", "key"), F.col("p.kind") == "endpoint"
+    secret = ~identifier & ~address & ~overlap
     beside = met.groupBy("w.rid", "w.kind", "w.start", "w.end").agg(
         F.bool_or(identifier & ~overlap).alias("has_identifier"),
-        F.bool_or(~identifier & (F.col("p.kind") != "endpoint") & ~overlap).alias("has_secret"),
+        F.bool_or(address & ~overlap).alias("has_endpoint"),
+        F.bool_or(secret).alias("has_secret"),
+        F.bool_or(secret & ~F.col("p.inside")).alias("has_free"),
+        F.bool_or("w.inside").alias("inside"),
         F.bool_or(F.col("p.strong") & overlap).alias("covered"),
     )
     complete = (
         F.when(F.col("kind") == "key", F.col("has_secret"))
-        .when(F.col("kind") == "secret", F.col("has_identifier"))
-        .otherwise(F.col("has_identifier") & F.col("has_secret"))
+        .when(F.col("kind") == "secret", F.col("has_identifier") | (F.col("has_endpoint") & ~F.col("inside")))
+        .otherwise(F.col("has_free") | (F.col("has_identifier") & F.col("has_secret")))
     )
     return beside.filter(complete & ~F.col("covered")).select("rid", "kind", "start", "end")
 
@@ -123,7 +165,9 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
     parts = positions.withColumns({"strong": strong, "renamed": kind}).filter(
         "strong OR kind = 'assign' OR kind IN ('key', 'secret', 'endpoint')"
     )
-    parts = materialize(parts.select("rid", F.col("renamed").alias("kind"), "start", "end", "strong"), "secret-parts")
+    opaque = (F.col("kind") == "secret").alias("opaque")
+    parts = materialize(parts.select("rid", F.col("renamed").alias("kind"), "start", "end", "strong", opaque), "secret-parts")
+    parts = materialize(settled(parts), "secret-settled")
     base = parts.filter("strong").select("rid", "kind", "start", "end")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     spans = (

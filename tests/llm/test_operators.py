@@ -425,3 +425,24 @@ def test_likeness_is_the_longest_common_order():
         assert syncmers.likeness(np.array(a, np.uint64), np.array(b, np.uint64)) == pytest.approx(want)
     repeated = np.array([5, 5, 5, 7], np.uint64)
     assert syncmers.likeness(repeated, repeated) == 1.0 and syncmers.likeness(repeated, repeated[1:]) == 0.75
+
+
+def test_weak_secrets_beside_any_identifier_or_endpoint(spark):
+    opaque = "Zm9vYmFyYmF6cXV4MTIzNA"
+    cases = [
+        ("user=bob password=hunter2", "[key] [secret]"),
+        ('{"client_id": "web-7", "secret": "s3cr3t"}', '{"[key]", "[secret]"}'),
+        ("LTAI5tAbCdEfGh1234 and token: abcdef", "[key] and [secret]"),
+        ("password: abc for https://x.example.org/a", "[secret] for [endpoint]"),
+        (f"{opaque} at s3://bucket/a", "[secret] at [endpoint]"),
+        ("token=abcdefabcdef1234 at https://x.example.org/a", "[assign] at [endpoint]"),
+        ("user= password=hunter2 https://x.example.org/a", "user= [secret] [endpoint]"),
+        # Without a complement, or with one that is only a part of another identifier or address:
+        ("user=bob at https://x.example.org/a", None),
+        (f"client_id={opaque} user=bob https://x.example.org/a", None),
+        (f"https://x.example.org/{opaque} https://y.example.org/a", None),
+        (f"{opaque} password: abc", None),
+    ]
+    frame = documents(spark, [text for text, _ in cases])
+    clean = {r["doc_id"]: r["text"] for r in rows(secret_links.redact(frame))}
+    assert [clean[i] for i in range(len(cases))] == [text if want is None else want for text, want in cases]

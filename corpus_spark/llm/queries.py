@@ -14,9 +14,11 @@ from corpus_spark.llm import (
     mixing,
     pairwise_quality,
     perspectives,
+    phrases,
     piece_suffixes,
     secret_links,
     syncmers,
+    wavelet_infill,
     zstd_language,
 )
 from corpus_spark.llm.batches import short_batches
@@ -156,3 +158,95 @@ SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body,
     coalesce(string_agg(CASE WHEN own THEN (finish - length(body)) || ':' || finish END, ',' ORDER BY place), '') AS mask
 FROM measured GROUP BY conv_id, perspective, part
 """
+
+
+@query
+def op12_wavelet_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    restored = wavelet_infill.restored(F.col("fim_form"), F.col("fim_text"))
+    return wavelet_infill.fill_in_middle(docs).select(
+        "doc_id",
+        F.col("fim_units").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op12_wavelet_infill"] = """
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u
+    FROM documents
+), drawn AS (
+    SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+        ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+    FROM units
+), formed AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+            THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), parts AS (
+    SELECT *, coalesce(array_to_string(u[1:i], ''), '') AS a, coalesce(array_to_string(u[i + 1:j], ''), '') AS b,
+        coalesce(array_to_string(u[j + 1:n], ''), '') AS c
+    FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+        ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrases"] = """
+WITH pieces AS (
+    SELECT row_number() OVER () AS piece_id, lang, piece FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents)
+), words AS (
+    SELECT piece_id, lang, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (
+        SELECT piece_id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces)
+), following AS (
+    SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM words
+    WINDOW p AS (PARTITION BY piece_id ORDER BY i)
+), counts AS (
+    SELECT lang, 1 AS size, w1 AS phrase, count(*) AS f FROM following GROUP BY ALL
+    UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM following WHERE w2 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM following WHERE w3 IS NOT NULL GROUP BY ALL
+), candidates AS (
+    SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 10
+), parted AS (
+    SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), cut AS (
+    SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r,
+        CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+    FROM parted c JOIN counts l ON l.lang = c.lang AND l.phrase = head JOIN counts r ON r.lang = c.lang AND r.phrase = tail
+), worst AS (
+    SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+    SELECT lang, phrase, max(f) AS longer FROM (
+        SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+        FROM candidates WHERE size = 3)
+    GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang
+), ranked AS (
+    SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank
+    FROM worst w LEFT JOIN inner_phrases i ON w.lang = i.lang AND w.phrase = i.phrase
+    WHERE NOT coalesce(100 * longer >= 50 * a, false)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

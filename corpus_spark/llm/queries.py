@@ -12,6 +12,7 @@ from corpus_spark.llm import (
     hidden_markov,
     minhash_join,
     mixing,
+    nn_descent,
     pairwise_quality,
     perspectives,
     phrases,
@@ -250,3 +251,8 @@ WITH pieces AS (
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

@@ -9,48 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from corpus_spark.operators.merge import ORDER_COLUMNS, merge_observations
-from corpus_spark.operators.telemetry import lease_streams, pair_leases
+from corpus_spark.operators.ordered import with_neighbour_rows
 from corpus_spark.operators.triage import latest
-from corpus_spark.session import STATE_STORE, fresh_path
-
-
-class VersionedTable:
-    """A parquet table replaced as a whole: each batch writes its own version folder, so a replayed
-    batch overwrites what its first try wrote and a reader never sees a half-written one."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def read(self, version: int) -> DataFrame:
-        """State after batch `version`; before the first batch it is empty."""
-        if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-
-
-class BatchLog:
-    """An append-only table with one folder per batch. A replayed batch overwrites its own folder
-    and nothing else, so a batch writes no more than itself; readers see all batches before it."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType) -> None:
-        self.spark, self.path = spark, path
-        self.schema = StructType(list(schema.fields))
-
-    def read(self, last: int) -> DataFrame:
-        """Every row up to batch `last`, with its batch number; later folders are not listed."""
-        stored = StructType([*self.schema.fields, StructField("batch", IntegerType())])
-        if last < 0:
-            return self.spark.createDataFrame([], stored)
-        return self.spark.read.schema(stored).parquet(self.path).filter(F.col("batch") <= last)
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+from corpus_spark.session import STATE_STORE, fresh_path, materialize
+from corpus_spark.sources.bucketed import KeyedLog
 
 
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> int:
@@ -71,18 +36,29 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     return max(seen, default=-1)
 
 
-def log_schema(observations: DataFrame) -> StructType:
-    """Observation rows and whether the row withdraws its key from its package."""
-    return StructType([*observations.schema.fields, StructField("withdrawn", BooleanType())])
-
-
-def merge_stream(stream: DataFrame, log: BatchLog, facts: BatchLog, checkpoint: str) -> int:
-    """Facts kept up with a stream of observations, replay-safe.
-
-    `log` (see `log_schema`) gets the batch's rows, each with the time its key was first seen; when
-    a key turns up under another package, a withdrawal row is written for the old one. `facts` gets
-    the rows of touched packages only, those that keys left included; a package without a key is
-    marked `deleted`. Both are read as "newest row per key".
+def observation_logs(spark: SparkSession, path: str, observations: DataFrame, buckets: int = 16) -> tuple[KeyedLog, KeyedLog, KeyedLog]:
+    """The tables of `merge_stream` under `path`: which package each key was last seen in and when first, the rows of each package
+    (a row that its key has left is `withdrawn`), and the merged facts (a package without a row is `deleted`)."""
+    schema, key = observations.schema, list(ORDER_COLUMNS)
+    index = KeyedLog(spark, f"{path}/index", observations.select(*key, "package", "observed_at").schema, key, buckets=buckets)
+    rows = KeyedLog(
+        spark, f"{path}/rows", StructType([*schema.fields, StructField("withdrawn", BooleanType())]), ["package", *key],
+        bucket_by=["package"], tombstone="withdrawn", buckets=buckets,
+    )
+    merged = merge_observations(observations.limit(0)).schema
+    facts = KeyedLog(
+        spark, f"{path}/facts", StructType([*merged.fields, StructField("deleted", BooleanType())]), ["package"],
+        tombstone="deleted", buckets=buckets,
+    )
+    return index, rows, facts
+
+
+def merge_stream(stream: DataFrame, index: KeyedLog, rows: KeyedLog, facts: KeyedLog, checkpoint: str) -> int:
+    """Facts kept up with a stream of observations, replay-safe. See `observation_logs` for the tables.
+
+    A key keeps the time it was first seen; when it turns up under another package, its row is withdrawn from the old one
+    and both are merged again. A batch reads the buckets of its keys in `index` and the buckets of its packages in
+    `rows`, where folding keeps the runs few, and nothing else, however many batches came before it.
     """
     key = list(ORDER_COLUMNS)
 
@@ -90,17 +66,9 @@ def merge_stream(stream: DataFrame, log: BatchLog, facts: BatchLog, checkpoint:
         columns = batch.columns
         # One key may arrive twice in a batch; the smallest row decides, whatever the order.
         ordered = F.struct("observed_at", F.to_json(F.struct(*[c for c in columns if c not in key])))
-        once = batch.groupBy(*key).agg(F.min_by(F.struct(*columns), ordered).alias("r")).select("r.*")
-        # The key columns of the log, reduced to keys of this batch.
-        known = (
-            log.read(batch_id - 1)
-            .select(*key, "package", "observed_at", "withdrawn", "batch")
-            .join(once.select(*key), key, "left_semi")
-            .groupBy(*key)
-            .agg(
-                F.min_by("observed_at", "batch").alias("first_at"),
-                F.max_by("package", F.struct("batch", ~F.col("withdrawn"))).alias("old_package"),
-            )
+        once = materialize(batch.groupBy(*key).agg(F.min_by(F.struct(*columns), ordered).alias("r")).select("r.*"), "arrived")
+        known = index.current(batch_id - 1, once).select(
+            *key, F.col("package").alias("old_package"), F.col("observed_at").alias("first_at")
         )
         joined = once.join(known, key, "left").withColumns(
             {"observed_at": F.coalesce("first_at", "observed_at"), "withdrawn": F.lit(False)}
@@ -108,48 +76,34 @@ def merge_stream(stream: DataFrame, log: BatchLog, facts: BatchLog, checkpoint:
         moved = joined.filter(F.col("old_package") != F.col("package")).withColumns(
             {"package": F.col("old_package"), "withdrawn": F.lit(True)}
         )
-        log.write(joined.unionByName(moved).sortWithinPartitions("package"), batch_id)
-
-        touched = once.select("package").unionByName(moved.select("package")).distinct()
-        mine = log.read(batch_id).join(touched, "package", "left_semi")
-        newest = F.max_by(F.struct(*columns, "withdrawn"), "batch")
-        current = mine.groupBy("package", *key).agg(newest.alias("r")).select("r.*").filter("NOT withdrawn")
+        changed = materialize(joined.unionByName(moved), "changed")
+        index.append(changed.filter("NOT withdrawn"), batch_id)
+        rows.append(changed, batch_id)
+        touched = changed.select("package").distinct()
+        current = rows.current(batch_id, touched).join(touched, "package", "left_semi")
         merged = merge_observations(current.select(*columns)).withColumn("deleted", F.lit(False))
         emptied = touched.join(current.select("package"), "package", "left_anti").withColumn("deleted", F.lit(True))
-        facts.write(merged.unionByName(emptied, allowMissingColumns=True), batch_id)
+        facts.append(merged.unionByName(emptied, allowMissingColumns=True), batch_id)
 
     return run_available(stream, checkpoint, each)
 
 
-def current_rows(table: BatchLog, last: int, key: str) -> DataFrame:
-    """The rows of the newest batch that has the key, unless that batch deleted it."""
-    rows = table.read(last)
-    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    found = rows.join(newest, [key, "batch"], "left_semi")
-    return found.filter("NOT deleted").drop("batch", "deleted")
+def latest_log(spark: SparkSession, path: str, schema: StructType, key: str, order: tuple[str, ...], buckets: int = 16) -> KeyedLog:
+    """The table of `latest_stream`: the newest row per key by `order`, folded as it grows."""
+    return KeyedLog(spark, path, schema, [key], order=order, buckets=buckets)
 
 
-def latest_stream(
-    stream: DataFrame, state: BatchLog, checkpoint: str, key: str, order: tuple[str, ...]
-) -> int:
-    """Each batch leaves its own newest row per key; `latest_state` merges them when read, so
-    batches may arrive in any order."""
+def latest_stream(stream: DataFrame, state: KeyedLog, checkpoint: str) -> int:
+    """Each batch adds its own newest row per key to `state` (see `latest_log`). Rows are compared when they are folded or read,
+    so batches may arrive in any order, and a reader opens a number of files that grows with the logarithm of the batches."""
+    key = state.keys[0]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        state.write(latest(batch, key, order, [c for c in batch.columns if c != key]), batch_id)
+        state.append(latest(batch, key, state.order, [c for c in batch.columns if c != key]), batch_id)
 
     return run_available(stream, checkpoint, each)
 
 
-def latest_state(state: BatchLog, last: int, key: str, order: tuple[str, ...]) -> DataFrame:
-    return latest(state.read(last), key, order, [c for c in state.schema.names if c != key])
-
-
-def fact_schema(observations: DataFrame) -> StructType:
-    """Merged rows and whether the row deletes its package."""
-    return merge_observations(observations.limit(0)).schema.add("deleted", BooleanType())
-
-
 class HeartbeatTimeout(StatefulProcessor):
     """Per job: a beat without another within `stale_after_s` after it makes the job stale, or exhausted
     if it was the last attempt. A beat is judged once the watermark has passed that time, so the outcome does not
@@ -224,18 +178,88 @@ def heartbeat_timeouts(beats: DataFrame, stale_after_s: int, max_attempts: int,
     )
 
 
-def lease_interval_stream(events: DataFrame, open_rows: VersionedTable, path: str, checkpoint: str) -> None:
-    """Closed intervals appended under `path`, one folder per batch, as events (id, job_id, event,
-    happened_at) arrive in time order. What is open after a batch is carried as rows, at most one
-    per job and measure, so a hot job is paired in even slices and never gathered in one task."""
+LEASE_MEASURES = {"wait": ("requested", {"requested", "acquired"}), "occupied": ("acquired", {"acquired", "released", "reclaimed"})}
+
+
+class LeasePairing(StatefulProcessor):
+    """Per job and span of time: its events are buffered as they come, in any order, and paired in their own order once the
+    watermark has passed the span's end, when no more can come. Then the buffer goes.
+
+    What comes out are the intervals that begin and end in the span, and its border rows, the first and the last event of each
+    measure, from which `lease_intervals_of` pairs what crosses spans. A job with a third of all events is as many keys as it
+    has spans, and what is held of it is what lies within a span and the lateness.
+    """
+
+    def __init__(self, span_s: int) -> None:
+        self.span_us = span_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "at_us bigint, id bigint, event string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        waiting = self.events.exists()
+        for frame in rows:
+            times = frame["happened_at"].astype("datetime64[us]").astype("int64")
+            self.events.appendList(list(zip(map(int, times), map(int, frame["id"]), frame["event"], strict=True)))
+        if not waiting:
+            self.handle.registerTimer((int(key[1]) + 1) * self.span_us // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        events = sorted(self.events.get())
+        self.events.clear()
+        out = []
+        for measure, (opens, takes) in LEASE_MEASURES.items():
+            mine = [e for e in events if e[2] in takes]
+            for (start, _, before), (end, _, event) in zip(mine, mine[1:], strict=False):
+                if before == opens and event != opens:
+                    out.append((measure, False, start, end, None, None))
+            for at, event_id, event in dict.fromkeys([mine[0], mine[-1]] if mine else []):
+                out.append((measure, True, at, None, event_id, event))
+        frame = pd.DataFrame(out, columns=["measure", "border", "start_us", "end_us", "id", "event"])
+        frame = frame.astype({"end_us": "Int64", "id": "Int64"})
+        frame.insert(0, "span", int(key[1]))
+        frame.insert(0, "job_id", key[0])
+        yield frame
+
+    def close(self) -> None:
+        pass
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        rows = open_rows.read(batch_id - 1).unionByName(lease_streams(batch))
-        closed, pending = pair_leases(rows)
-        closed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        open_rows.write(pending, batch_id)
 
-    run_available(events, checkpoint, each)
+def lease_pairing(events: DataFrame, lateness: str, span_s: int = 7 * 86_400) -> DataFrame:
+    """`events` is a stream of (id bigint, job_id, event, happened_at timestamp), in any order within `lateness`; rows without a job or a time,
+    and events that are no lease's, are passed over. See `LeasePairing` for what comes out and `lease_intervals_of` for reading it."""
+    span = F.floor(F.unix_micros("happened_at") / F.lit(span_s * 1_000_000)).cast("bigint")
+    wanted = sorted(set().union(*(takes for _, takes in LEASE_MEASURES.values())))
+    return (
+        events.filter(F.col("job_id").isNotNull() & F.col("happened_at").isNotNull() & F.col("event").isin(wanted))
+        .withColumn("span", span)
+        .withWatermark("happened_at", lateness)
+        .groupBy("job_id", "span")
+        .transformWithStateInPandas(
+            LeasePairing(span_s),
+            "job_id string, span bigint, measure string, border boolean, start_us bigint, end_us bigint, id bigint, event string",
+            "Append",
+            "EventTime",
+        )
+    )
+
+
+def lease_intervals_of(paired: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(closed, open) intervals (job_id, measure, start_us, end_us) from what `lease_pairing` has left so far.
+
+    Border rows are at most two per job, measure and span; the last row of a span meets the first of the job's next one."""
+    opens = F.when(F.col("measure") == "wait", LEASE_MEASURES["wait"][0]).otherwise(LEASE_MEASURES["occupied"][0])
+    borders = paired.filter("border").select("job_id", "measure", "span", "start_us", "id", "event").withColumn(
+        "stream", F.concat("measure", F.lit("/"), "job_id")
+    )
+    met = with_neighbour_rows(borders, "stream", ("start_us", "id"), ("event", "start_us", "span"))
+    across = met.filter((F.col("previous_span") < F.col("span")) & (F.col("previous_event") == opens) & (F.col("event") != opens))
+    closed = paired.filter("NOT border").select("job_id", "measure", "start_us", "end_us")
+    closed = closed.unionByName(across.select("job_id", "measure", F.col("previous_start_us").alias("start_us"), F.col("start_us").alias("end_us")))
+    pending = met.filter(F.col("last") & (F.col("event") == opens))
+    return closed, pending.select("job_id", "measure", "start_us", F.lit(None).cast("bigint").alias("end_us"))
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -258,5 +282,3 @@ def collect_stream(stream: DataFrame, name: str, path: str | None = None, checkp
     )
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
-
-

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_spark.operators.telemetry import lease_streams
+from corpus_spark.operators.merge import ORDER_COLUMNS
 from corpus_spark.session import fresh_path
 from corpus_spark.streaming import jobs
 from corpus_spark.testbed.merge_queries import FACT_SQL, fact_text
@@ -27,12 +27,15 @@ def replay(b: Bed, df: DataFrame, name: str, arrival: Column, batches: int) -> I
 @query("t1_incremental_merge_stream", FACT_SQL)
 def _(b: Bed):
     obs = b.stored_observations
-    log = jobs.BatchLog(b.spark, fresh_path(b.spark, "stored"), jobs.log_schema(obs))
-    facts = jobs.BatchLog(b.spark, fresh_path(b.spark, "facts"), jobs.fact_schema(obs))
+    logs = jobs.observation_logs(b.spark, fresh_path(b.spark, "merge-stream"), obs)
     checkpoint = fresh_path(b.spark, "merge-checkpoint")
-    arrivals = replay(b, obs, "observations", F.abs(F.hash("device_path")), 3)
-    last = max(jobs.merge_stream(stream, log, facts, checkpoint) for stream in arrivals)
-    return fact_text(jobs.current_rows(facts, last, "package"))
+    # Every tenth key arrives first under a package that it leaves with the last arrival.
+    key, arrival = F.abs(F.hash(*ORDER_COLUMNS)), F.abs(F.hash("device_path")) % 3
+    strayed = obs.filter(key % 10 == 0).withColumns({"package": F.concat("package", F.lit(".old")), "arrival": F.lit(0)})
+    arriving = strayed.unionByName(obs.withColumn("arrival", F.when(key % 10 == 0, 2).otherwise(arrival)))
+    for stream in replay(b, arriving, "observations", F.col("arrival"), 3):
+        last = jobs.merge_stream(stream.drop("arrival"), *logs, checkpoint)
+    return fact_text(logs[2].current(last).drop("deleted"))
 
 
 @query("t2_latest_decision_stream", "SELECT package, id, action FROM latest_decision")
@@ -40,11 +43,10 @@ def _(b: Bed):
     log = b.table("decisions").select("package", "id", "action", "decided_at")
     # Newest first: later batches bring older decisions, which must not win.
     arrivals = replay(b, log, "decisions", 2 - F.year("decided_at") % 3, 3)
-    state = jobs.BatchLog(b.spark, fresh_path(b.spark, "latest"), log.schema)
-    order = ("decided_at", "id")
+    state = jobs.latest_log(b.spark, fresh_path(b.spark, "latest"), log.schema, "package", ("decided_at", "id"))
     checkpoint = fresh_path(b.spark, "latest-checkpoint")
-    last = max(jobs.latest_stream(stream, state, checkpoint, "package", order) for stream in arrivals)
-    return jobs.latest_state(state, last, "package", order).select("package", "id", "action")
+    last = max(jobs.latest_stream(stream, state, checkpoint) for stream in arrivals)
+    return state.current(last).select("package", "id", "action")
 
 
 cte("beats", "SELECT 'job-' || user_id AS job_id, ts AS beat_at, CAST(event_id % 4 AS INT) AS attempt FROM events")
@@ -74,12 +76,15 @@ cte("all_streams", "SELECT 'wait' AS measure, 'requested' AS opens, * FROM lease
     "SELECT job_id, measure, epoch_us(pa) AS start_us, epoch_us(happened_at) - epoch_us(pa) AS length_us FROM (SELECT *, lag(event) OVER w AS pe, lag(happened_at) OVER w AS pa FROM all_streams WINDOW w AS (PARTITION BY measure, job_id ORDER BY happened_at, id)) WHERE event <> opens AND pe = opens",
 )
 def _(b: Bed):
-    events = b.table("lease_events")
-    # Arrivals in time order, ten days each.
-    arrivals = replay(b, events, "lease-events", F.least(F.floor((F.dayofmonth("happened_at") - 1) / 10), F.lit(2)), 3)
-    open_rows = jobs.VersionedTable(b.spark, fresh_path(b.spark, "open-leases"), lease_streams(events).schema)
+    events = b.table("lease_events").withColumn("happened_at", F.col("happened_at").cast("timestamp"))
+    # Events come in no order of time at all. The last two arrivals, of no job's lease, lie far behind and let the watermark pass.
+    last = events.agg(F.max("happened_at").alias("at"))
+    for n in (3, 4):
+        end = last.select(F.lit(-n).cast("bigint").alias("id"), F.lit("end").alias("job_id"), F.lit("acquired").alias("event"), (F.col("at") + F.expr(f"INTERVAL {n * 60} DAYS")).alias("happened_at"))
+        events = events.unionByName(end)
+    arrival = F.when(F.col("job_id") == "end", -F.col("id")).otherwise(F.abs(F.hash("id")) % 3)
     path, checkpoint = fresh_path(b.spark, "lease-intervals"), fresh_path(b.spark, "lease-checkpoint")
-    for stream in arrivals:
-        jobs.lease_interval_stream(stream, open_rows, path, checkpoint)
-    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("start_at", "end_at")]
-    return b.spark.read.parquet(path).select("job_id", "measure", micros[0].alias("start_us"), (micros[1] - micros[0]).alias("length_us"))
+    for stream in replay(b, events, "lease-events", F.coalesce(arrival, F.lit(0)), 5):
+        paired = jobs.collect_stream(jobs.lease_pairing(stream, "60 days"), "leases", path, checkpoint)
+    closed, _ = jobs.lease_intervals_of(paired)
+    return closed.select("job_id", "measure", "start_us", (F.col("end_us") - F.col("start_us")).alias("length_us"))

@@ -24,6 +24,7 @@ from corpus_spark.fixed_values import (
     UNKNOWN,
 )
 from corpus_spark.functions.canonical import ascii_json_string, struct_text
+from corpus_spark.session import materialize
 
 ORDER_COLUMNS = ("device_key", "build", "device_path")
 
@@ -223,22 +224,35 @@ def merge_observations(observations: DataFrame) -> DataFrame:
     )
 
 
+def change_set(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """`incoming` with, per observation key, the package that holds the key now (`old_package`) and when it was first seen
+    (`first_observed_at`); both are null for a new key."""
+    key = list(ORDER_COLUMNS)
+    known = stored.select(*key, F.col("package").alias("old_package"), F.col("observed_at").alias("first_observed_at"))
+    return incoming.join(known, key, "left")
+
+
+def apply_changes(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """The observations after a `change_set`; a known row keeps the time it was first seen."""
+    refreshed = changes.withColumn("observed_at", F.coalesce("first_observed_at", "observed_at"))
+    untouched = stored.join(changes.select(*ORDER_COLUMNS), list(ORDER_COLUMNS), "left_anti")
+    return untouched.unionByName(refreshed.select(*stored.columns))
+
+
 def upsert_observations(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert on the observation key; a known row keeps the time it was first seen."""
-    known = stored.select(*ORDER_COLUMNS, F.col("observed_at").alias("first_observed_at"))
-    refreshed = incoming.join(known, list(ORDER_COLUMNS), "left").withColumn(
-        "observed_at", F.coalesce("first_observed_at", "observed_at")
-    )
-    untouched = stored.join(incoming.select(*ORDER_COLUMNS), list(ORDER_COLUMNS), "left_anti")
-    return untouched.unionByName(refreshed.drop("first_observed_at"))
+    return apply_changes(stored, change_set(stored, incoming))
 
 
 def remerge_touched(
     facts: DataFrame, stored: DataFrame, incoming: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """(observations, facts) after a batch: only packages the batch names are merged again."""
-    observations = upsert_observations(stored, incoming)
-    touched = incoming.select("package").distinct()
+    """(observations, facts) after a batch: packages that the batch names are merged again, and those that its keys leave;
+    a package whose last key leaves has no facts any more."""
+    changes = materialize(change_set(stored, incoming), "changes")
+    observations = apply_changes(stored, changes)
+    owners = F.explode(F.array_compact(F.array("package", "old_package"))).alias("package")
+    touched = changes.select(owners).distinct()
     redone = merge_observations(observations.join(touched, "package", "left_semi"))
     kept = facts.join(touched, "package", "left_anti")
     return observations, kept.unionByName(redone)

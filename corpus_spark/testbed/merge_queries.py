@@ -8,6 +8,7 @@ from corpus_spark.fixed_values import CONFLICT_COLUMNS, STICKY_COLUMNS, UNION_CO
 from corpus_spark.operators import configs, merge
 from corpus_spark.session import fresh_path
 from corpus_spark.sources import tables
+from corpus_spark.sources.bucketed import KeyedTable
 from corpus_spark.sources.corpus import load_corpus
 from corpus_spark.testbed.oracle import cte
 from corpus_spark.testbed.registry import Bed, joined, query, stamp
@@ -207,10 +208,12 @@ def _(b: Bed):
 
 @query("a11_incremental_remerge", FACT_SQL)
 def _(b: Bed):
-    # Rows of later orders arrive as a second batch; the result must equal one merge of everything.
-    obs = b.stored_observations
-    stored = obs.filter(F.substring("build", 2, 20).cast("long") % 10 != 0)
-    incoming = obs.filter(F.substring("build", 2, 20).cast("long") % 10 == 0)
+    # Rows of later orders arrive as a second batch, and with them a tenth of the keys moves to the package it belongs to from one
+    # that ends there; the result must equal one merge of everything.
+    obs, moves = b.stored_observations, F.abs(F.hash(*merge.ORDER_COLUMNS)) % 10 == 0
+    late = F.substring("build", 2, 20).cast("long") % 10 == 0
+    stored = obs.filter(~late).withColumn("package", F.when(moves, F.concat("package", F.lit(".old"))).otherwise(F.col("package")))
+    incoming = obs.filter(late | moves)
     _, facts = merge.remerge_touched(merge.merge_observations(stored), stored, incoming)
     return fact_text(facts)
 
@@ -270,8 +273,10 @@ def _(b: Bed):
         F.min("observed_at").alias("created_at"), F.max("version_code").alias("version_code"), F.first(F.lit("kept")).alias("note"))
     incoming = obs.filter("ascii(right(device_key, 1)) % 2 = 1").groupBy("package").agg(
         F.max("observed_at").alias("created_at"), F.min("version_code").alias("version_code"))
-    merged = tables.upsert_columns(stored, incoming, ["package"], insert_only=["created_at"])
-    return merged.select("package", F.date_format("created_at", "yyyy-MM-dd").alias("created"), "version_code", "note")
+    table = KeyedTable(b.spark, fresh_path(b.spark, "upserted"), stored.schema, ["package"])
+    table.upsert(stored)
+    table.upsert(incoming, insert_only=["created_at"])
+    return table.read().select("package", F.date_format("created_at", "yyyy-MM-dd").alias("created"), "version_code", "note")
 
 
 @query(
@@ -282,7 +287,10 @@ def _(b: Bed):
 def _(b: Bed):
     rows = b.table("search_results").select("package", "result_id", "url", "block")
     incoming = rows.filter("block = 'discussions'").withColumn("result_id", F.col("result_id") + 1000000)
-    return tables.replace_by_key(rows, incoming, ["package"]).select("package", "result_id", "url")
+    table = KeyedTable(b.spark, fresh_path(b.spark, "replaced"), rows.schema, ["package"])
+    table.replace(rows)
+    table.replace(incoming)
+    return table.read().select("package", "result_id", "url")
 
 
 @query("s12_append_log", "SELECT id, package, action, strftime(decided_at, '%Y-%m-%d') AS day FROM decisions")

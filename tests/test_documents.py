@@ -1,4 +1,5 @@
 import ipaddress
+import hashlib
 import json
 import random
 
@@ -75,6 +76,49 @@ def test_reference_list_file(spark, tmp_path):
             reference_list.load_reference_list(spark, str(path))
 
 
+@pytest.fixture
+def small_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_reference_list_in_several_tasks(spark, tmp_path, small_splits):
+    path = tmp_path / "list.json"
+    odd = 'x, {y} ["z\\", é'
+    listed = {f"p{n}": {"list": "Oem", "description": odd * n} for n in range(12)}
+    listed["crossing"] = {"list": "Oem", "description": ", ".join(f"part {n}]" for n in range(250))}
+    listed["array"] = [1, {"a": [2, 3]}]
+    path.write_text(" " + json.dumps(listed, indent=1, ensure_ascii=False) + "\n")
+    assert spark.read.option("lineSep", ",").text(str(path)).rdd.getNumPartitions() >= 4
+    rows, provenance = reference_list.load_reference_list(spark, str(path))
+    got = {r.package: r.description for r in rows.collect()}
+    assert got == {k: v["description"] if isinstance(v, dict) else None for k, v in listed.items()}
+    first = provenance.first()
+    assert first.entry_count == len(listed) and first.sha256 == hashlib.sha256(path.read_bytes()).hexdigest()
+
+
+@pytest.mark.parametrize(
+    "bad",
+    ["", " ", "7", '"a"', '{"a": 1,}', '{"a": 1} {"b": 2}', '{"a": 1} x', '{"a" 1}', '{"a": [1}, "b": 2]}', '{"a": "open}', '{"a": 1, "b"}', 'x{"a": 1}', '{"a": 1, }', '{"a": 1}, {"b": 2}'],
+)
+def test_malformed_reference_lists_are_refused(spark, tmp_path, bad):
+    path = tmp_path / "list.json"
+    path.write_text(bad)
+    with pytest.raises(reference_list.ReferenceListError):
+        reference_list.load_reference_list(spark, str(path))
+
+
+def test_last_entry_of_a_name_counts(spark, tmp_path):
+    path = tmp_path / "list.json"
+    path.write_text('{"a": {"list": "Oem"}, "b": 1, "a": {"list": "Google"}}')
+    rows, provenance = reference_list.load_reference_list(spark, str(path))
+    assert {r.package: r.list for r in rows.collect()} == {"a": "Google", "b": None} and provenance.first().entry_count == 2
+
+
 @pytest.mark.parametrize(("path", "want"), [("a/b.apk", True), ("etc/permissions/x.xml", True), ("etc/permissions/x.txt", False), ("roles.xml", True), ("b.apk/x", False)])
 def test_artifact_globs(spark, path, want):
     assert value(spark, catalogue.is_artifact(F.col("p")), p=path) is want

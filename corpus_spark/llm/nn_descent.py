@@ -84,6 +84,7 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of the rows of two float64 matrices; scaled where squares would leave the range."""
+    b = np.broadcast_to(b, a.shape)
     with np.errstate(over="ignore", under="ignore", invalid="ignore"):
         gap = a - b
         out = np.sqrt((gap * gap).sum(axis=1))

@@ -57,7 +57,9 @@ def _word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix(np.add.reduceat(values, np.cumsum(lengths) - lengths))
 
 
-def parse(texts: list[str | None], longest_phrase: int = WORDS) -> tuple[list[int], list[str], list[int]]:
+def parse(
+    texts: list[str | None], longest_phrase: int = WORDS, trigger: int = TRIGGER, longest: int = LONGEST
+) -> tuple[list[int], list[str], list[int]]:
     """The chunks of some texts: (whose text, chunk, how many of its words and breaks are its own)."""
     encoded = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     buffer = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
@@ -82,14 +84,14 @@ def parse(texts: list[str | None], longest_phrase: int = WORDS) -> tuple[list[in
     place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     written[np.repeat(at, lengths) + place] = buffer[np.repeat(starts, lengths) + place]
 
-    cut = _word_hashes(buffer, starts, ends) % np.uint64(TRIGGER) == 0
+    cut = _word_hashes(buffer, starts, ends) % np.uint64(trigger) == 0
     cut[:-1] |= ~same_text
     cut[-1] = True
     last = np.flatnonzero(cut)
     first = np.concatenate([[0], last[:-1] + 1])
-    long = np.flatnonzero(last - first >= LONGEST)
+    long = np.flatnonzero(last - first >= longest)
     if len(long):
-        more = np.concatenate([np.arange(first[i] + LONGEST - 1, last[i], LONGEST) for i in long])
+        more = np.concatenate([np.arange(first[i] + longest - 1, last[i], longest) for i in long])
         last = np.sort(np.concatenate([last, more]))
         first = np.concatenate([[0], last[:-1] + 1])
     behind = np.zeros(len(last), np.int64)  # words behind the end, of the same piece
@@ -109,12 +111,13 @@ def parse(texts: list[str | None], longest_phrase: int = WORDS) -> tuple[list[in
 
 def dictionary(df: DataFrame, lang_column: str, text_column: str, longest_phrase: int) -> DataFrame:
     """(lang, chunk, own, uses): the distinct chunks of all texts and how often the parse uses each."""
+    trigger, longest = TRIGGER, LONGEST
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, langs = batch["text"].tolist(), batch["lang"].to_numpy()
             for start, end in chunks(texts):
-                owner, found, own = parse(texts[start:end], longest_phrase)
+                owner, found, own = parse(texts[start:end], longest_phrase, trigger, longest)
                 yield pd.DataFrame({"lang": langs[start:end][owner], "chunk": found, "own": own})
 
     rows = df.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), F.col(text_column).alias("text"))
@@ -134,9 +137,8 @@ def _hashed(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
 
 
-def _spots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.uint64(FILTER_BITS)
-    return hashes % size, (hashes >> np.uint64(32)) % size
+def _spots(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return hashes % np.uint64(size), (hashes >> np.uint64(32)) % np.uint64(size)
 
 
 class _Filter:
@@ -148,13 +150,14 @@ class _Filter:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         bits = np.frombuffer(self.bits.value, np.uint8)
         found = np.ones(len(hashes), bool)
-        for spot in _spots(hashes):
+        for spot in _spots(hashes, 8 * len(bits)):
             found &= bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 1
         return found
 
 
 def _filter_of(frequent: DataFrame) -> _Filter:
     """A filter of FILTER_BITS bits for (lang, phrase) rows, put together by Spark's bitmap functions."""
+    size = FILTER_BITS
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +167,7 @@ def _filter_of(frequent: DataFrame) -> _Filter:
                 words = pc.split_pattern(mine, " ")
                 n = len(words[0])
                 flat = _hashed(words.flatten()).reshape(len(words), n)
-                spot = np.concatenate(_spots(_hash_of([flat[:, i] for i in range(n)], lang)))
+                spot = np.concatenate(_spots(_hash_of([flat[:, i] for i in range(n)], lang), size))
                 # Spark numbers bits from 1.
                 yield pa.RecordBatch.from_pydict({"spot": np.unique(spot).astype(np.int64) + 1})
 
@@ -175,8 +178,8 @@ def _filter_of(frequent: DataFrame) -> _Filter:
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
     )
     part_bytes = 4096
-    bits = bytearray(FILTER_BITS // 8)
-    for row in marked.toLocalIterator():  # FILTER_BITS in all, whatever the data
+    bits = bytearray(size // 8)
+    for row in marked.toLocalIterator():  # `size` bits in all, whatever the data
         start = (row["part"] - 1) * part_bytes
         bits[start : start + part_bytes] = row["bits"]
     return _Filter(frequent.sparkSession.sparkContext.broadcast(bytes(bits)))

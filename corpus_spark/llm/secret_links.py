@@ -32,7 +32,8 @@ NAMED = (
     r"""["']?\x20*[:=]\x20*["']?(?!(?:password|passwd|secret|token|api_?key)["']?\x20*[:=])[A-Za-z0-9._%+@-]+)"""
 )
 KEY = f"{KEY_ID}|{NAMED}"
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^A-Z\s]*[A-Z])[A-Za-z0-9+/_=-]{20,}"
+# Both lookaheads stay inside of the run, so a run is read a fixed number of times however long the text goes on behind it.
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}"
 ENDPOINT = r"""(?:https?|s3a?|ftp|jdbc:[a-z]+)://[^\x20\x09-\x0D"'<>]+"""
 PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "key": KEY, "secret": OPAQUE, "endpoint": ENDPOINT}
 KINDS = ("assign", "access", "hex", "key", "secret", "endpoint")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -446,3 +447,22 @@ def test_weak_secrets_beside_any_identifier_or_endpoint(spark):
     frame = documents(spark, [text for text, _ in cases])
     clean = {r["doc_id"]: r["text"] for r in rows(secret_links.redact(frame))}
     assert [clean[i] for i in range(len(cases))] == [text if want is None else want for text, want in cases]
+
+
+def test_long_lines_without_blanks_are_scanned_in_one_go(spark):
+    lines = ["https://a.example.org " + "1," * 500_000, 'https://a.example.org {"k":' + '"ab1","c-2":' * 90_000, "https://a.example.org " + "ab1_" * 250_000]
+    opaque = "Zm9vYmFyYmF6cXV4MTIzNA"
+    frame = documents(spark, [*lines, lines[0] + f" {opaque} at https://b.example.org/x"])
+    secret_links.digest(secret_links.scan(documents(spark, ["a"]))).count()  # the plan is compiled
+    begun = time.monotonic()
+    found = {r["doc_id"]: r["spans"] for r in rows(secret_links.digest(secret_links.scan(frame)))}
+    assert time.monotonic() - begun < 30
+    start = len(lines[0]) + 1
+    assert f"secret:{start}:{start + len(opaque)}".split(":", 1)[1] in found[3] and "secret" not in found[0]
+
+
+def test_a_capital_counts_inside_of_the_opaque_string_only(spark):
+    lower, mixed = "zm9vymfyymf6cxv4mtiznaq", "zm9vymFyymf6cxv4mtiznaq"
+    frame = documents(spark, [f"user=bob {lower},Next word", f"user=bob {mixed},next word"])
+    clean = {r["doc_id"]: r["text"] for r in rows(secret_links.redact(frame))}
+    assert clean == {0: f"user=bob {lower},Next word", 1: "[key] [secret],next word"}

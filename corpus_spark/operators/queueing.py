@@ -36,9 +36,11 @@ def is_emulator(device_key: Column) -> Column:
 
 
 def filter_verdicts(corpus: DataFrame, reference: DataFrame) -> DataFrame:
-    """(package, filter_verdict, queued, listed): the first rule that fires."""
+    """(package, filter_verdict, queued, listed): the first rule that fires. `corpus` has `emulators_only` (see
+    `devices.device_profiles`), or the array `devices` where rows were merged already."""
     listed = reference.select("package").distinct().withColumn("listed", F.lit(True))
-    emulated = (F.size("devices") > 0) & F.forall("devices", is_emulator)
+    profiled = "emulators_only" in corpus.columns
+    emulated = F.col("emulators_only") if profiled else (F.size("devices") > 0) & F.forall("devices", is_emulator)
     verdict = (
         F.when(F.col("listed"), "already_upstream")
         .when(F.contains(F.col("package"), F.lit(GENERATED_OVERLAY_MARKER)), "auto_generated_rro")
@@ -46,7 +48,7 @@ def filter_verdicts(corpus: DataFrame, reference: DataFrame) -> DataFrame:
         .otherwise("queued")
     )
     return (
-        corpus.select("package", "devices")
+        corpus.select("package", "emulators_only" if profiled else "devices")
         .join(listed, "package", "left")
         .select("package", verdict.alias("filter_verdict"))
         .withColumn("listed", F.col("filter_verdict") == "already_upstream")

@@ -14,7 +14,7 @@ from corpus_spark.fixed_values import (
     VERDICTS,
 )
 from corpus_spark.functions import canonical, tiers
-from corpus_spark.operators import anchors, graph, ladder, queueing
+from corpus_spark.operators import anchors, devices, graph, ladder, queueing
 from corpus_spark.plans import core
 from corpus_spark.testbed.oracle import cte
 from corpus_spark.testbed.registry import Bed, joined, query
@@ -159,8 +159,7 @@ cte(
 
 @query("p1_filter_verdict", "SELECT package, filter_verdict, filter_verdict = 'already_upstream' AS listed, filter_verdict = 'queued' AS queued FROM verdicts")
 def _(b: Bed):
-    facts = b.observations.groupBy("package").agg(F.collect_set("device_key").alias("devices"))
-    return queueing.filter_verdicts(facts, b.table("reference_list"))
+    return queueing.filter_verdicts(devices.device_profiles(b.observations), b.table("reference_list"))
 
 
 @query("p2_emulator_devices", f"SELECT DISTINCT d AS device_key, {EMULATED} AS is_emulator FROM (SELECT device_key AS d FROM observations)")

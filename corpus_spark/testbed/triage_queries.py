@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpus_spark.fixed_values import CATEGORIES, TIERS, VIEWS
-from corpus_spark.operators import browse, emission, invariants, triage
+from corpus_spark.operators import browse, devices, emission, invariants, triage
 from corpus_spark.operators.validation import emission_fault
 from corpus_spark.plans import board
 from corpus_spark.functions.text import device_key_parts
@@ -196,6 +196,11 @@ def _(b: Bed):
     return stored_facts(b).select("package", emission.vendor_of(F.col("devices")).alias("vendor"))
 
 
+@query("a27_vendor_profiles", f"SELECT package, {VENDOR} AS vendor FROM facts")
+def _(b: Bed):
+    return devices.device_profiles(b.observations).select("package", devices.vendor().alias("vendor"))
+
+
 @query("a28_duplicate_guard", "SELECT package, count(*) AS copies FROM emission_packages GROUP BY package HAVING count(*) > 1")
 def _(b: Bed):
     return emission.duplicates(b.table("emission_packages"))

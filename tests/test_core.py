@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from corpus_spark.operators.devices import device_profiles
 from corpus_spark.fixed_values import RULES, TIERS
 from corpus_spark.operators import anchors, graph, ladder, queueing
 from pyspark.sql import functions as F
@@ -118,6 +119,8 @@ def test_filter_verdict(spark, package, devices, want):
     reference = spark.createDataFrame([("listed",)], "package string")
     frame = corpus(spark, {"package": package, "devices": devices})
     assert queueing.filter_verdicts(frame, reference).first().filter_verdict == want
+    rows = spark.createDataFrame([(package, d) for d in devices or [None]], "package string, device_key string")
+    assert queueing.filter_verdicts(device_profiles(rows), reference).first().filter_verdict == want
 
 
 def nearest_by_force(package, entries, k):

@@ -56,11 +56,13 @@ def test_config_documents_are_guarded(spark):
         ("d", "b.xml", b'<!DocType x [<!ENTITY e "boom">]><permissions><library name="&e;"/></permissions>'),
         ("d", "c.xml", b"<open>"),
         ("d", "e.xml", b"x" * (8 * 1024 * 1024 + 1)),
+        ("d", "f.xml", '<?xml version="1.0" encoding="utf-16"?><!DOCTYPE x [<!ENTITY e "boom">]><permissions><library name="&e;"/></permissions>'.encode("utf-16")),
     ]
     got = {tuple(r) for r in documents.harvest_configs(spark.createDataFrame(docs, "device_key string, path string, content binary")).collect()}
     assert got == {
         ("d", "read", "a.xml", None), ("d", "privapp", "p", None), ("d", "role", "r", "h"),
         ("d", "failed", "b.xml", None), ("d", "failed", "c.xml", None), ("d", "failed", "e.xml", None),
+        ("d", "failed", "f.xml", None),
     }
 
 

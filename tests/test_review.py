@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_spark.operators import devices as profiles
 from corpus_spark.operators import emission, rewrite, triage, validation
 
 CLASSIFICATION = "package string, bundle_sha256 string, removal string, confidence string, parked boolean, unknown_fields array<string>"
@@ -83,6 +84,11 @@ def test_text_faults(spark, text, prose, fault):
 def test_vendor(spark, devices, vendor):
     got = spark.createDataFrame([(devices,)], "d array<string>").select(emission.vendor_of(F.col("d")).alias("v")).first().v
     assert got == vendor
+    # The same from observation rows, whose state is of constant size, and from the profile of the array.
+    rows = spark.createDataFrame([("p", d) for d in [*devices, *devices, None]], "package string, device_key string")
+    assert profiles.device_profiles(rows).select(profiles.vendor().alias("v")).first().v == vendor
+    framed = spark.createDataFrame([(devices,)], "d array<string>").select(*[c.alias(n) for n, c in profiles.profile_of(F.col("d")).items()])
+    assert framed.select(profiles.vendor().alias("v")).first().v == vendor
 
 
 STORED = "package string, bundle_sha256 string, description string, target_list string, removal string, confidence string, reasoning_brief string, unknown_fields array<string>, provenance map<string,string>"

@@ -61,7 +61,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-# Compression and near-duplicates are not SQL; tests/llm holds the rows against a brute-force version.
+# Compression and near-duplicates are not SQL; tests/llm holds each stage against its effects.
 ORACLE_SQL = None
 
 

@@ -45,9 +45,11 @@ def _fill(sources: DataFrame) -> DataFrame:
 
 
 def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(source, below): documents whose hash is less than `below` come to the budget of their source, or
-    as close under it as whole documents of the last boundary bucket allow."""
-    state = budgets.select("source", F.col("budget").alias("left"), F.lit(0).cast("bigint").alias("prefix"))
+    """(source, below): documents whose hash is less than `below` come as near to the budget of their source as
+    whole documents allow; the one in which the running sum passes it is taken where the sum ends nearer with it."""
+    state = budgets.select(
+        "source", F.col("budget").alias("left"), F.lit(0).cast("bigint").alias("prefix"), F.lit(False).alias("nearer")
+    )
     for level in range(LEVELS):
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
         bucket = F.shiftright("hash", shift)
@@ -61,7 +63,7 @@ def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         order = W.partitionBy("source").orderBy("bucket")  # 2 ** LEVEL_BITS sums per source
         running = sums.withColumn("through", F.sum("held").over(order.rowsBetween(W.unboundedPreceding, 0)))
         passed = running.filter("through > left").groupBy("source").agg(F.min_by(
-            F.struct("bucket", (F.col("left") - F.col("through") + F.col("held")).alias("left")), "bucket").alias("at"))
+            F.struct("bucket", (F.col("left") - F.col("through") + F.col("held")).alias("left"), "held"), "bucket").alias("at"))
         state = (
             state.alias("s")
             .join(passed.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")), "left")
@@ -72,10 +74,11 @@ def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
                 F.coalesce(
                     "p.at.bucket", F.shiftleft(F.col("s.prefix") + 1, LEVEL_BITS)
                 ).alias("prefix"),
+                F.coalesce(F.col("p.at.held") < 2 * F.col("p.at.left"), F.lit(False)).alias("nearer"),
             )
         )
         state = materialize(state, "mix-thresholds")
-    return state.select("source", F.col("prefix").alias("below"))
+    return state.select("source", (F.col("prefix") + F.col("nearer").cast("bigint")).alias("below"))
 
 
 def _hash(id_column: str):
@@ -113,7 +116,9 @@ def plan(df: DataFrame, id_column: str, source_column: str, text_column: str) ->
 
 
 def _times():
-    return (F.col("passes") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)).cast("int")
+    # A source that is taken MOST times has no budget left, not even for documents without words.
+    more = (F.col("passes") < MOST) & (F.col("hash") < F.col("below"))
+    return (F.col("passes") + F.when(more, 1).otherwise(0)).cast("int")
 
 
 def mix(
@@ -140,13 +145,19 @@ def mix(
 def mixed(
     df: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text"
 ) -> DataFrame:
-    """The rows of `df` that `mix` takes, as often as it takes them, with the same columns."""
+    """The rows of `df` that `mix` takes, as often as it takes them (MOST times at most), with the same columns.
+
+    Columns may have any names; an empty table gives an empty one.
+    """
     _, per_source = plan(df, id_column, source_column, text_column)
-    named = per_source.select("plan_source", "passes", "below")
+    # Rows travel as one struct, so that no column of theirs meets one of the plan.
+    rows = df.select(
+        F.struct("*").alias("row"), F.col(source_column).cast("string").alias("row_source"), _hash(id_column).alias("hash")
+    )
     return (
-        df.withColumn("hash", _hash(id_column))
-        .join(named, F.col(source_column).cast("string").eqNullSafe(F.col("plan_source")))
-        .withColumn("_time", F.explode(F.sequence(F.lit(0), _times())))
-        .filter("_time > 0")
-        .select(*[df[c] for c in df.columns])
+        rows.join(
+            per_source.select("plan_source", "passes", "below"), F.col("row_source").eqNullSafe(F.col("plan_source"))
+        )
+        .select("row", F.explode(F.array_repeat(F.lit(True), _times())))
+        .select("row.*")
     )

@@ -99,13 +99,15 @@ WITH sized AS (
     SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS passes FROM targets
 ), running AS (
     SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, d.hash, p.target - p.passes * p.source_size AS wanted,
-        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash) AS through, d.source
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash) AS through,
+        sum(d.size) OVER (PARTITION BY d.source, d.hash) AS held, d.source
     FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source
 ), cut AS (
-    SELECT source, min(hash) AS below FROM running WHERE through > wanted GROUP BY source
+    SELECT source, arg_min(hash + CASE WHEN held < 2 * (wanted - through + held) THEN 1 ELSE 0 END, hash) AS below
+    FROM running WHERE through > wanted GROUP BY source
 )
 SELECT r.doc_id, r.size, r.source_size, r.target,
-    CAST(r.size * (r.passes + CASE WHEN c.below IS NULL OR r.hash < c.below THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    CAST(r.size * (r.passes + CASE WHEN r.passes < 2 AND (c.below IS NULL OR r.hash < c.below) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM running r LEFT JOIN cut c ON r.source IS NOT DISTINCT FROM c.source
 """
 

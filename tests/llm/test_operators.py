@@ -466,3 +466,22 @@ def test_a_capital_counts_inside_of_the_opaque_string_only(spark):
     frame = documents(spark, [f"user=bob {lower},Next word", f"user=bob {mixed},next word"])
     clean = {r["doc_id"]: r["text"] for r in rows(secret_links.redact(frame))}
     assert clean == {0: f"user=bob {lower},Next word", 1: "[key] [secret],next word"}
+
+
+def test_training_rounds_never_lose_likelihood(spark, monkeypatch):
+    monkeypatch.setattr(hidden_markov, "CLASSES", 12)
+    r = random.Random(8)
+    blobs = []
+    for _ in range(60):
+        a = np.array([r.choice((1, 2, 3) if (i // 5) % 2 else (7, 8, 9)) for i in range(r.randint(1, 90))], np.uint16)
+        blobs.append((a.tobytes(),))
+    shares = np.full(12, 1 / 12)
+    model, likelihoods = hidden_markov.train(spark.createDataFrame(blobs, "classes binary"), shares)
+    assert len(likelihoods) > 2 and all(b >= a - 1e-6 for a, b in zip(likelihoods, likelihoods[1:]))
+    apart = [set(np.argsort(-row)[:3].tolist()) for row in model.emits]
+    assert {1, 2, 3} in apart and {7, 8, 9} in apart
+    # The chances of all sequences of one length sum to one.
+    every = [np.array(s) for s in np.ndindex(12, 12, 12)]
+    assert np.exp(hidden_markov.log_likelihoods(model, every)).sum() == pytest.approx(1)
+    none, _ = hidden_markov.train(spark.createDataFrame([], "classes binary"), shares)
+    assert none.emits == pytest.approx(np.tile(shares, (hidden_markov.STATES, 1)))

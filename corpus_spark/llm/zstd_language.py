@@ -106,7 +106,8 @@ def identify(df: DataFrame, model: Model, text_column: str = "text") -> DataFram
     """`df` with lang_pred, lang_score (0 to 1) and lang_rejected.
 
     A null text and one without a letter is `und`, scores 0 and is rejected; so is every text if nothing was
-    learned. Equal texts get equal answers; other columns pass through; an empty table gives an empty one.
+    learned. Equal texts get equal answers; columns that have one of the three names are replaced, all others pass
+    through; an empty table gives an empty one.
     """
 
     @F.pandas_udf("lang_pred string, lang_score double, lang_rejected boolean")
@@ -114,6 +115,8 @@ def identify(df: DataFrame, model: Model, text_column: str = "text") -> DataFram
         for texts in batches:
             yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "lang_score", "lang_rejected"])
 
-    return df.withColumn("_lang", predicted(F.col(text_column).cast("string"))).select(
-        *df.columns, "_lang.lang_pred", "_lang.lang_score", "_lang.lang_rejected"
+    answers = ("lang_pred", "lang_score", "lang_rejected")
+    rows = df.select(F.struct("*").alias("row"), predicted(F.col(text_column).cast("string")).alias("answer"))
+    return rows.select(
+        *[F.col("row")[c].alias(c) for c in df.columns if c not in answers], *[F.col("answer")[c].alias(c) for c in answers]
     )

@@ -204,17 +204,25 @@ def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def redact(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`df` with every span of `scan` replaced by its kind in brackets; overlapping spans become one.
 
-    Columns, their order and rows without a span stay as they are. Only rows that may hold a span take part
-    in the join.
+    Columns, whatever their names, their order and rows without a span stay as they are; null and empty texts
+    have no span, repeated rows are replaced alike. Whether a row may hold a span is tested once and written with it; only
+    those that may take part in the join.
     """
-    text = F.col(text_column)
-    may = F.coalesce(suspicious(text), F.lit(False))
+    # Rows travel as one struct, so that no column of theirs meets one of the scan.
+    whole = F.col(text_column).cast("string")
+    rows = materialize(
+        df.select(F.struct("*").alias("row"), F.coalesce(suspicious(whole), F.lit(False)).alias("may")), "redact-rows"
+    )
+    some = rows.filter("may").select(
+        "row", F.col("row")[id_column].alias("row_id"), F.col("row")[text_column].cast("string").alias("row_text")
+    )
     findings = (
-        scan(df.filter(may), id_column, text_column)
+        scan(some.select("row_id", "row_text"), "row_id", "row_text")
         .filter(F.size("spans") > 0)
-        .groupBy(F.col(id_column).alias("_id"), F.col("digest").alias("_digest"))
-        .agg(F.first("spans").alias("_spans"))
+        .groupBy(F.col("row_id").alias("found_id"), F.col("digest").alias("found_digest"))
+        .agg(F.first("spans").alias("spans"))
     )
+    text = F.col("row_text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("pos"))
 
     def step(done: Column, s: Column) -> Column:
@@ -225,12 +233,10 @@ def redact(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         ).otherwise(longer)
 
     rest = lambda done: F.concat(done["out"], F.substring(text, done["pos"] + 1, F.char_length(text)))
-    clean = F.aggregate("_spans", start, step, rest)
+    clean = F.when(F.col("spans").isNotNull(), F.aggregate("spans", start, step, rest)).otherwise(text).alias(text_column)
     marked = (
-        df.filter(may)
-        .withColumn("_key", F.sha2(text_column, 256))
-        .join(findings, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left")
-        .withColumn(text_column, F.when(F.col("_spans").isNotNull(), clean).otherwise(text))
-        .select(*df.columns)
+        some.withColumn("row_digest", F.sha2("row_text", 256))
+        .join(findings, F.col("row_id").eqNullSafe(F.col("found_id")) & (F.col("row_digest") == F.col("found_digest")), "left")
+        .select(*[clean if c == text_column else F.col("row")[c].alias(c) for c in df.columns])
     )
-    return df.filter(~may).unionByName(marked)
+    return rows.filter("NOT may").select("row.*").unionByName(marked)

@@ -11,14 +11,18 @@ from corpus_spark.session import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that no language's dictionary explains better than the others go; a missing lang is filled in."""
+    """Texts that no language's dictionary explains better than the others go; a missing lang is filled in.
+
+    Null texts and texts without a letter go, copies are judged alike; columns may have any names; an empty table
+    gives an empty one.
+    """
     short_batches(spark)
     model = zstd_language.learn(docs)
-    lang = F.coalesce("lang", "lang_pred").alias("lang")
+    lang = F.coalesce(F.col("row")["lang"], "lang_pred").alias("lang")
     return (
-        zstd_language.identify(docs, model)
+        zstd_language.identify(docs.select(F.struct("*").alias("row"), "text"), model)
         .filter("NOT lang_rejected")
-        .select(*[lang if c == "lang" else F.col(c) for c in docs.columns])
+        .select(*[lang if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
     )
 
 
@@ -26,29 +30,36 @@ NEAR_PERCENT, NEAR_MATCHES = 80, 14  # a pair at 0.80 agrees in fewer than 14 co
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.80 or more) stays, the one with the smallest id."""
+    """One document of each group of near-duplicates (0.80 or more) stays, the one with the smallest id.
+
+    A document is an id and a text: rows that repeat both are one, and of an id with several texts each text is judged by
+    itself. Rows without an id come behind all others. Texts without words stay; columns may have any names; an empty
+    table gives an empty one.
+    """
     short_batches(spark)
-    # A row without an id is named by its text, behind all real ids.
-    named = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1).bitwiseOR(F.lit(1 << 62))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", named))
-    found = minhash_join.near_duplicates(rows, "_id", percent=NEAR_PERCENT, matches=NEAR_MATCHES)
-    kept = found.filter("kept").select("_id").distinct()
-    return rows.join(kept, "_id", "left_semi").dropDuplicates(["_id", "text"]).select(*docs.columns)
+    name = F.xxhash64("doc_id", "text").alias("name")
+    found = minhash_join.near_duplicates(docs.select(name, "text"), "name", percent=NEAR_PERCENT, matches=NEAR_MATCHES)
+    groups = found.select("name", F.col("component_id").alias("group")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "name")).alias("first")
+    ids = docs.select(name, F.col("doc_id").alias("id")).distinct()
+    kept = ids.join(groups, "name").groupBy("group").agg(first).select("first.name")
+    rows = docs.select(F.struct("*").alias("row"), name, F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"))
+    return rows.join(kept, "name", "left_semi").dropDuplicates(["name", "id", "digest"]).select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by the name of their kind."""
+    """Secrets are replaced by the name of their kind; every row stays, null and empty texts as they are."""
     length = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return secret_links.redact(docs).select(*[length if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, twice at most; a null source is a source, an empty table gives an empty one."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
+    """Token ids of every document of the mix, repeats by themselves; null and empty texts have none."""
     short_batches(spark)
     return piece_suffixes.encode(docs, piece_suffixes.Pieces.load())
 

@@ -116,6 +116,8 @@ def identify(df: DataFrame, model: Model, text_column: str = "text") -> DataFram
             yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "lang_score", "lang_rejected"])
 
     answers = ("lang_pred", "lang_score", "lang_rejected")
+    # Not moved by the optimizer: a filter on an answer would otherwise have its own evaluation below that of the result.
+    predicted = predicted.asNondeterministic()
     rows = df.select(F.struct("*").alias("row"), predicted(F.col(text_column).cast("string")).alias("answer"))
     return rows.select(
         *[F.col("row")[c].alias(c) for c in df.columns if c not in answers], *[F.col("answer")[c].alias(c) for c in answers]

@@ -26,7 +26,7 @@ from corpus_spark.llm.wordhash import chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 2_500_000
-LONG_UNIT = 96  # bytes; longer words are relaxed one by one
+WINDOW, STRIDE = 160, 96  # bytes; longer words are encoded in windows that overlap
 CACHE_BITS = 21
 KEPT_UNITS = 400_000
 
@@ -199,23 +199,94 @@ def encode_units(pieces: Pieces, units: Sequence[str]) -> tuple[np.ndarray, np.n
     """(ids of all units one behind the other, where each unit's begin, with the end)."""
     pieces.prepare()
     encoded = [u.encode("utf-8", "surrogatepass") for u in units]
-    raw = b"\xff".join([*encoded, b"\xff" * (2 * _WIDTH)])
-    buffer = np.frombuffer(raw, np.uint8)
+    buffer = np.frombuffer(b"\xff".join([*encoded, b""]), np.uint8)
     sizes = np.array(list(map(len, encoded)), np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
-    start, length, token = _edges(pieces, buffer, raw)
-    unit = np.repeat(np.arange(len(units)), sizes + 1)[start]
-    offset = start - begins[unit]
+    unit, start, end = _windows(buffer, begins, sizes)
+    tokens = _encode_windows(pieces, buffer, start, end)
+    while True:
+        keep, torn = _joined(*tokens[:3], unit, start)
+        if not torn.any():
+            break
+        # Neighbours without a common token become one window, with as much again behind them, since what doesn't
+        # fall into step (a run of one character, say) may go on; all others stay as they are.
+        at = np.flatnonzero(torn)
+        reach = at + (end[at - 1] - start[at - 1]) // STRIDE
+        deep = np.bincount(at, minlength=len(unit) + 1) - np.bincount(np.minimum(reach, len(unit)), minlength=len(unit) + 1)
+        torn = (np.cumsum(deep)[:-1] > 0) & np.append(False, unit[1:] == unit[:-1])
+        group = np.cumsum(~torn) - 1
+        heads = np.flatnonzero(~torn)
+        tails = np.append(heads[1:], len(unit)) - 1
+        whole = tails == heads
+        stays = whole[group[tokens[0]]]
+        again = np.flatnonzero(~whole)
+        unit, start, end = unit[heads], start[heads], end[tails]
+        fresh = _encode_windows(pieces, buffer, start[again], end[again])
+        fresh = (again[fresh[0]], *fresh[1:])
+        tokens = (group[tokens[0]], *tokens[1:])
+        tokens = tuple(np.concatenate([old[stays], new]) for old, new in zip(tokens, fresh, strict=True))
+    window, at, size, token = (x[keep] for x in tokens)
+    return _spread(pieces, unit[window], at, size, token, buffer, len(units))
+
+
+def _windows(buffer: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, start, end) in the buffer: short units whole, long ones in windows of whole characters."""
+    counts = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+    unit = np.repeat(np.arange(len(sizes)), counts)
+    nth = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = begins[unit] + nth * STRIDE
+    end = np.where(nth == counts[unit] - 1, begins[unit] + sizes[unit], start + WINDOW)
+    for _ in range(3):  # a character's first byte is at most three bytes back
+        start -= (buffer[start] & 0xC0) == 0x80
+        end -= (buffer[end] & 0xC0) == 0x80
+    return unit, start, end
+
+
+def _encode_windows(
+    pieces: Pieces, buffer: np.ndarray, start: np.ndarray, end: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window, place in the buffer, length, token) of all windows' own encodings, in order."""
+    raw = b"\xff".join([*(buffer[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)), b"\xff" * (2 * _WIDTH)])
+    own = np.frombuffer(raw, np.uint8)
+    sizes = end - start
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    at, length, token = _edges(pieces, own, raw)
+    window = np.repeat(np.arange(len(start)), sizes + 1)[at]
+    offset = at - begins[window]
     order = np.argsort((offset + length) * 64 - length, kind="stable")
-    start, length, token, offset, unit = (x[order] for x in (start, length, token, offset, unit))
-    last = np.full(len(buffer) + 1, -1, np.int32)
-    short = sizes[unit] <= LONG_UNIT
-    _relax(pieces, last, *(x[short] for x in (start, length, token, offset)))
+    at, length, token, offset, window = (x[order] for x in (at, length, token, offset, window))
+    last = np.full(len(own) + 1, -1, np.int32)
+    short = sizes[window] <= WINDOW
+    _relax(pieces, last, *(x[short] for x in (at, length, token, offset)))
     rest = np.flatnonzero(~short)
     if len(rest):
-        rest = rest[np.argsort(start[rest] + length[rest], kind="stable")]
-        _relax_one_by_one(pieces, last, *(x[rest].tolist() for x in (start, length, token, offset)))
-    return _read_back(pieces, last, begins, sizes, buffer)
+        rest = rest[np.argsort(at[rest] + length[rest], kind="stable")]
+        _relax_one_by_one(pieces, last, *(x[rest].tolist() for x in (at, length, token, offset)))
+    window, at, size, token = _read_back(pieces, last, begins, sizes, own)
+    return window, at - begins[window] + start[window], size, token
+
+
+def _joined(
+    window: np.ndarray, at: np.ndarray, size: np.ndarray, unit: np.ndarray, start: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(the tokens to take, in order; which windows have no token in common with the one before them).
+
+    An encoding is right where all its neighbours stay apart. So two windows' encodings that share a token make one: the
+    first's tokens before it and the second's from it on, since every pair of neighbours comes from one of them.
+    """
+    follows = np.append(False, unit[1:] == unit[:-1])
+    cut = np.full(len(unit) + 1, np.iinfo(np.int64).max)  # where the next window takes over
+    if follows.any():
+        twice = follows | np.append(follows[1:], False)
+        some = np.flatnonzero(twice[window])
+        key = at[some] * 64 + size[some]
+        some = some[np.lexsort((window[some], key))]
+        same = np.flatnonzero((at[some][1:] == at[some][:-1]) & (size[some][1:] == size[some][:-1]))[::-1]
+        cut[window[some[same]]] = at[some[same]]  # backwards, so that the first common token counts
+    torn = follows & (cut[:-1] == cut[-1])[np.arange(len(unit)) - 1]
+    came = np.where(follows, cut[np.arange(len(unit)) - 1], start)
+    keep = np.flatnonzero((at < cut[window]) & (at >= came[window]))
+    return keep[np.argsort(at[keep], kind="stable")], torn
 
 
 def _relax(pieces: Pieces, last: np.ndarray, start: np.ndarray, length: np.ndarray, token: np.ndarray, offset: np.ndarray) -> None:
@@ -254,13 +325,13 @@ def _relax_one_by_one(pieces: Pieces, last: np.ndarray, start: list, length: lis
         last[at + size] = tok
 
 
-def _read_back(pieces: Pieces, last: np.ndarray, begins: np.ndarray, sizes: np.ndarray, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Follows last tokens from every word's end to its start."""
+def _read_back(
+    pieces: Pieces, last: np.ndarray, begins: np.ndarray, sizes: np.ndarray, buffer: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, place, length, token) of all words' tokens in order: follows last tokens from every word's end to its start."""
     width = np.zeros(pieces.unknown + 1, np.int64)
     width[pieces.ids] = pieces.lengths
     unit, at, steps = np.arange(len(begins)), begins + sizes, []
-    lead = np.zeros(256, np.int64)
-    lead[:0x80], lead[0xC0:0xE0], lead[0xE0:0xF0], lead[0xF0:] = 1, 2, 3, 4
     while len(unit):
         live = at > begins[unit]
         unit, at = unit[live], at[live]
@@ -273,12 +344,18 @@ def _read_back(pieces: Pieces, last: np.ndarray, begins: np.ndarray, sizes: np.n
             starts = at[bare] - back
             size[bare] = np.where((size[bare] == 0) & ((buffer[starts] & 0xC0) != 0x80), back, size[bare])
         at = at - size
-        steps.append((unit, at, tok, size))
+        steps.append((unit, at, size, tok))
     if not steps:
-        return np.zeros(0, np.int32), np.zeros(len(begins) + 1, np.int64)
-    unit, at, tok, size = (np.concatenate(x) for x in zip(*steps, strict=True))
-    order = np.lexsort((at, unit))
-    unit, at, tok, size = unit[order], at[order], tok[order], size[order]
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    unit, at, size, tok = (np.concatenate(x) for x in zip(*steps, strict=True))
+    order = np.argsort(at, kind="stable")  # words lie one behind the other
+    return unit[order], at[order], size[order], tok[order]
+
+
+def _spread(
+    pieces: Pieces, unit: np.ndarray, at: np.ndarray, size: np.ndarray, tok: np.ndarray, buffer: np.ndarray, units: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, where each unit's begin, with the end): characters without a piece become their bytes' ids."""
     bare = tok == pieces.unknown
     copies = np.where(bare, size, 1)
     ids, owner = np.repeat(tok, copies), np.repeat(unit, copies)
@@ -287,7 +364,7 @@ def _read_back(pieces: Pieces, last: np.ndarray, begins: np.ndarray, sizes: np.n
         spread = np.repeat(bare, copies)
         values = buffer[(np.repeat(at, copies) + within)[spread]]
         ids[spread] = np.array(pieces.byte_ids, np.int32)[values]
-    counts = np.bincount(owner, minlength=len(begins))
+    counts = np.bincount(owner, minlength=units)
     return ids.astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
 

@@ -297,6 +297,20 @@ def test_pieces_equal_the_library(spark):
     assert piece_suffixes.encode(frame.limit(0), pieces).count() == 0
 
 
+def test_long_words_equal_the_library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    pieces = piece_suffixes.Pieces.load()
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_suffixes.MODEL)
+    random = np.random.default_rng(3)
+    alphabets = ["etaoinshrdlu", "a=", "ABCabc012+/", "東京都のa", "aé😀中", "ab "]
+    texts = ["".join(random.choice(list(letters), size)) for letters in alphabets for size in (150, 170, 400, 3000)]
+    # Runs that never fall into step, windows that end inside of a character, two runs behind each other.
+    texts += ["=" * 5000, "a" * 700 + "b" * 700, "x" + "中" * 500, " " * 400 + "x", "é" * 161, ""]
+    ids, ends = piece_suffixes.Encoder(pieces).encode(texts)
+    for i, text in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(text), text[:40]
+
+
 def test_quality_ranks_held_out_rows(spark):
     good = [prose(i, 60) for i in range(60)]
     bad = [" ".join([prose(i, 1)] * 60) for i in range(20)] + [" | ".join(prose(i, 40).split()) + " !!" for i in range(20)]

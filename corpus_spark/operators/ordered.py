@@ -9,7 +9,7 @@ slice, so what is broadcast is bounded by the number of slices.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -106,3 +106,25 @@ def with_neighbour_rows(
         .withColumn("last", F.col("_ahead").isNull() & ~F.col("after_key").eqNullSafe(F.col(key)))
         .select(*df.columns, *[F.col("_previous")[c].alias(f"previous_{c}") for c in columns], "last")
     )
+
+
+def with_last_seen(rows: DataFrame, key: str, order: Sequence[str], marks: Mapping[str, Column]) -> DataFrame:
+    """Adds per mark its value at the key's latest earlier row that has one, NULL without such a row: a mark is NULL
+    on rows that don't count for it. `rows` come from `sliced` by (key, order); keys must not be NULL.
+
+    All marks share one sort per slice. A slice hands on, per mark, its last key that has a value, and a slice without
+    one hands on what came before; so a key may span any number of slices.
+    """
+    place = F.struct(*[F.col(c) for c in (key, *order)])
+    ends = rows.groupBy("slice").agg(
+        *[F.max(F.when(value.isNotNull(), F.struct(place.alias("place"), value.alias("value")))).alias(m) for m, value in marks.items()]
+    )
+    before = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)  # over one row per slice
+    carried = ends.select("slice", *[F.last(m, True).over(before).alias(f"_{m}") for m in marks])
+    earlier = W.partitionBy("slice", key).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        rows.withColumns({m: F.last(value, True).over(earlier) for m, value in marks.items()})
+        .join(F.broadcast(carried), "slice")  # one row per slice
+        .withColumns({m: F.coalesce(m, F.when(F.col(f"_{m}")["place"][key] == F.col(key), F.col(f"_{m}")["value"])) for m in marks})
+        .drop(*[f"_{m}" for m in marks])
+    )

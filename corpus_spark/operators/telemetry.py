@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_spark.fixed_values import JOB_WALKS
-from corpus_spark.operators.ordered import running_total, with_neighbour_rows
+from corpus_spark.operators.ordered import running_total, sliced, with_last_seen
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -47,42 +47,104 @@ def worker_utilization(jobs: DataFrame, window_start: str, now: str) -> DataFram
     )
 
 
+def job_numbers(jobs: DataFrame, window_start: str, now: str) -> DataFrame:
+    """(section, name, a, b, c): the rows of `stage_durations`, `worker_utilization` and `queue_depth` from one
+    pass over the jobs. Only partial sums per stage, per worker and over all are shuffled."""
+    # A blank row counts for nothing, but an empty table has a queue, too: of depth 0.
+    blank = jobs.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in jobs.schema])
+    inside = F.col("started_at") >= moment(window_start)
+    finished = inside & (F.col("outcome") == "succeeded")
+    took = F.when(finished, seconds_between(F.col("started_at"), F.col("finished_at")))
+    busy = F.when(inside, seconds_between(F.col("started_at"), F.coalesce("finished_at", moment(now))))
+    numbers = (
+        jobs.unionByName(blank)
+        .groupingSets([["stage"], ["worker_id"], []], "stage", "worker_id")
+        .agg(
+            F.grouping_id().alias("level"),  # a bit per column that is not grouped by
+            F.count_if(finished).alias("completed"),
+            F.avg(took).alias("avg_seconds"),
+            F.max(took).alias("max_seconds"),
+            F.count_if(inside).alias("started"),
+            F.count_if(inside & (F.col("state") == "succeeded")).alias("succeeded"),
+            F.count_if(inside & (F.col("state") == "failed")).alias("failed"),
+            F.sum(busy).alias("busy_seconds"),
+            F.count_if(F.col("state") == "queued").alias("queued"),
+        )
+    )
+    stage, worker = F.col("level") == 1, F.col("level") == 2
+
+    def number(of_stage: str, of_worker: str, of_queue: str | None) -> Column:
+        rest = F.col(of_queue) if of_queue else F.lit(None)
+        return F.when(stage, F.col(of_stage)).when(worker, F.col(of_worker)).otherwise(rest).cast("double")
+
+    return numbers.filter(
+        F.when(stage, F.col("completed") > 0).when(worker, F.col("worker_id").isNotNull() & (F.col("started") > 0)).otherwise(True)
+    ).select(
+        F.when(stage, "stage").when(worker, "worker").otherwise("queue").alias("section"),
+        F.when(stage, F.col("stage")).when(worker, F.col("worker_id")).otherwise("now").alias("name"),
+        number("completed", "succeeded", "queued").alias("a"),
+        number("avg_seconds", "failed", None).alias("b"),
+        number("max_seconds", "busy_seconds", None).alias("c"),
+    )
+
+
 def queue_depth(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count_if(F.col("state") == "queued").alias("queue_depth"))
 
 
-def lease_streams(events: DataFrame) -> DataFrame:
-    """(id, job_id, happened_at, event, measure): each event once per measure it takes part in.
-    Events of no job count for neither."""
-    measures = F.array_compact(
-        F.array(
-            F.when(F.col("event").isin("requested", "acquired"), "wait"),
-            F.when(F.col("event").isin("acquired", "released", "reclaimed"), "occupied"),
-        )
+def _waits() -> Column:
+    return F.col("event").isin("requested", "acquired")
+
+
+def _occupies() -> Column:
+    return F.col("event").isin("acquired", "released", "reclaimed")
+
+
+def lease_rows(events: DataFrame, window_start: str) -> DataFrame:
+    """The window's lease events in order of (job, time, id), written once in even slices for all that reads
+    them. Events of no job, and those that are no lease's, count for nothing."""
+    inside = events.filter(
+        (F.col("happened_at") >= moment(window_start)) & F.col("job_id").isNotNull() & (_waits() | _occupies())
     )
-    return events.filter("job_id IS NOT NULL").select(
-        "id", "job_id", "happened_at", "event", F.explode(measures).alias("measure")
+    return sliced(inside.select("id", "job_id", "happened_at", "event"), ("job_id", "happened_at", "id"), "lease-rows")
+
+
+def pair_leases(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(closed, open) of `lease_rows`: an acquire closes the request just before it, a release or reclaim the
+    acquire just before it, and a repeat replaces the earlier one. One sorted pass carries both measures, so a
+    job with a third of all events is spread like any other; what is open comes from a grouped pass."""
+    took = F.col("event") == "acquired"
+    since = F.unix_micros(F.col("happened_at").cast("timestamp"))
+    # A moment where the measure opens, a negative one where it doesn't.
+    marks = {
+        "wait": F.when(F.col("event") == "requested", since).when(took, F.lit(-1)),
+        "occupied": F.when(took, since).when(_occupies(), F.lit(-1)),
+    }
+    met = with_last_seen(rows, "job_id", ("happened_at", "id"), marks)
+    opened = F.when(took, F.col("wait")).when(_occupies(), F.col("occupied"))
+    closed = met.filter(opened >= 0).select(
+        "job_id", F.when(took, "wait").otherwise("occupied").alias("measure"), _at(opened).alias("start_at"), F.col("happened_at").alias("end_at")
     )
+    newest = F.struct("happened_at", "id")
+    ends = rows.groupBy("job_id").agg(*[F.max_by(v, F.when(v.isNotNull(), newest)).alias(m) for m, v in marks.items()])
+    still = F.array_compact(
+        F.array(*[F.when(F.col(m) >= 0, F.struct(F.lit(m).alias("measure"), _at(F.col(m)).alias("happened_at"))) for m in marks])
+    )
+    return closed, ends.select("job_id", F.inline(still))
 
 
-def pair_leases(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(closed, open): an acquire closes the request just before it, a release or reclaim the
-    acquire just before it, and a repeat replaces the earlier one. One sliced pass serves both
-    measures of all jobs, so a job with a third of all events is spread like any other."""
-    rows = streams.withColumn("stream", F.concat("measure", F.lit("/"), "job_id"))
-    opens = F.when(F.col("measure") == "wait", "requested").otherwise("acquired")
-    paired = with_neighbour_rows(rows, "stream", ("happened_at", "id"), ("event", "happened_at"))
-    closed = paired.filter((F.col("event") != opens) & (F.col("previous_event") == opens)).select(
-        "job_id", "measure", F.col("previous_happened_at").alias("start_at"), F.col("happened_at").alias("end_at")
-    )
-    pending = paired.filter(F.col("last") & (F.col("event") == opens)).select(*streams.columns)
-    return closed, pending
+def _at(micros: Column) -> Column:
+    return F.timestamp_micros(micros).cast("timestamp_ntz")
 
 
 def lease_intervals(events: DataFrame, window_start: str, now: str) -> DataFrame:
     """(job_id, measure, start_at, seconds, closed) with measure `wait` or `occupied`; what is open
     at the end closes at `now`."""
-    closed, pending = pair_leases(lease_streams(events.filter(F.col("happened_at") >= moment(window_start))))
+    return _intervals(lease_rows(events, window_start), now)
+
+
+def _intervals(rows: DataFrame, now: str) -> DataFrame:
+    closed, pending = pair_leases(rows)
     return closed.select(
         "job_id", "measure", "start_at", seconds_between(F.col("start_at"), F.col("end_at")).alias("seconds"), F.lit(True).alias("closed")
     ).unionByName(
@@ -98,7 +160,8 @@ def lease_stats(
 ) -> DataFrame:
     """One row of lease numbers. `holder` is the current lease row (job_id, acquired_at), at most
     one; a holder from before the window counts from the window's start."""
-    intervals = lease_intervals(events, window_start, now)
+    rows = lease_rows(events, window_start)
+    intervals = _intervals(rows, now)
     if holder is not None:
         open_now = intervals.filter("measure = 'occupied' AND NOT closed").select("job_id")
         start = F.greatest(F.coalesce("acquired_at", moment(window_start)), moment(window_start))
@@ -107,9 +170,7 @@ def lease_stats(
             seconds_between(start, moment(now)).alias("seconds"), F.lit(False).alias("closed"),
         )
         intervals = intervals.unionByName(seeded)
-    acquired = events.filter(
-        (F.col("happened_at") >= moment(window_start)) & F.col("job_id").isNotNull() & (F.col("event") == "acquired")
-    ).agg(F.count(F.lit(1)))
+    acquired = rows.filter("event = 'acquired'").agg(F.count(F.lit(1)))
     occupied = F.when(F.col("measure") == "occupied", F.col("seconds"))
     waited = F.when(F.col("measure") == "wait", F.col("seconds"))
     window = seconds_between(moment(window_start), moment(now))

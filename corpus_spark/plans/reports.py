@@ -9,17 +9,12 @@ from corpus_spark.operators import telemetry as t
 
 
 def telemetry(jobs: DataFrame, events: DataFrame, holder: DataFrame | None, window_start: str, now: str) -> DataFrame:
-    """(section, name, a, b, c): every number of one window in one frame."""
-
-    def section(df: DataFrame, label: str, name, a: str, b: str | None, c: str | None) -> DataFrame:
-        def number(x):
-            return F.lit(None).cast("double") if x is None else F.col(x).cast("double")
-
-        return df.select(F.lit(label).alias("section"), name.alias("name"), number(a).alias("a"), number(b).alias("b"), number(c).alias("c"))
-
-    return (
-        section(t.stage_durations(jobs, window_start), "stage", F.col("stage"), "completed", "avg_seconds", "max_seconds")
-        .unionByName(section(t.worker_utilization(jobs, window_start, now), "worker", F.col("worker_id"), "jobs_succeeded", "jobs_failed", "busy_seconds"))
-        .unionByName(section(t.lease_stats(events, window_start, now, holder), "lease", F.lit("all"), "total_acquisitions", "occupied_seconds", "occupancy_pct"))
-        .unionByName(section(t.queue_depth(jobs), "queue", F.lit("now"), "queue_depth", None, None))
+    """(section, name, a, b, c): every number of one window in one frame. Jobs are read once, events once."""
+    leases = t.lease_stats(events, window_start, now, holder).select(
+        F.lit("lease").alias("section"),
+        F.lit("all").alias("name"),
+        F.col("total_acquisitions").cast("double").alias("a"),
+        F.col("occupied_seconds").alias("b"),
+        F.col("occupancy_pct").alias("c"),
     )
+    return t.job_numbers(jobs, window_start, now).unionByName(leases)

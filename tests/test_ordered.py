@@ -45,6 +45,33 @@ def test_previous_row_crosses_slices(frame, slices):
     assert got == want
 
 
+@pytest.mark.parametrize("slices", [1, 7, 40])
+def test_last_marked_row_crosses_slices(frame, slices):
+    rows = ordered.sliced(frame, ("k", "t", "id"), "marks", slices)
+    marks = {"rare": F.when(F.col("id") % 23 == 0, F.col("id")), "usual": F.when(F.col("id") % 2 == 0, F.col("id")), "none": F.lit(None).cast("int")}
+    got = {r.id: (r.rare, r.usual, r.none) for r in ordered.with_last_seen(rows, "k", ("t", "id"), marks).collect()}
+    want = {}
+    for key in {r[0] for r in ROWS}:
+        rare = usual = None
+        for row in sorted((r for r in ROWS if r[0] == key), key=lambda r: (r[1], r[2])):
+            want[row[2]] = (rare, usual, None)
+            rare = row[2] if row[2] % 23 == 0 else rare
+            usual = row[2] if row[2] % 2 == 0 else usual
+    assert got == want
+
+
+def test_job_numbers_equal_their_parts(spark):
+    base = datetime(2024, 1, 1)
+    kinds = [("filter", "w1", "succeeded", "succeeded"), ("filter", "w2", "failed", "failed"), (None, "w1", "succeeded", "succeeded"), ("llm", None, "queued", None), ("branch", "w3", "running", None)]
+    rows = [(*kinds[i % 5], base + timedelta(minutes=i - 3), base + timedelta(minutes=2 * i) if i % 5 < 3 else None) for i in range(40)]
+    jobs = spark.createDataFrame(rows, "stage string, worker_id string, state string, outcome string, started_at timestamp_ntz, finished_at timestamp_ntz")
+    for table in (jobs, jobs.limit(0)):
+        want = [("stage", r.stage, r.completed, r.avg_seconds, r.max_seconds) for r in telemetry.stage_durations(table, START).collect()]
+        want += [("worker", r.worker_id, r.jobs_succeeded, r.jobs_failed, r.busy_seconds) for r in telemetry.worker_utilization(table, START, NOW).collect()]
+        want += [("queue", "now", telemetry.queue_depth(table).first().queue_depth, None, None)]
+        assert sorted(map(tuple, telemetry.job_numbers(table, START, NOW).collect()), key=str) == sorted(((a, b, float(x), y if y is None else float(y), z) for a, b, x, y, z in want), key=str)
+
+
 START, NOW = "2024-01-01 00:00:00", "2024-01-01 01:00:00"
 
 

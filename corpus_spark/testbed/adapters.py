@@ -489,10 +489,13 @@ TABLES: dict[str, tuple[Callable[[SparkDialect], str], tuple[str, ...]]] = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, derived: str) -> DataFrame:
-    """One derived table as a lazy DataFrame over the parquet scan."""
+def table(spark: SparkSession, sf_dir: str, derived: str, together: str | None = None) -> DataFrame:
+    """One derived table as a lazy DataFrame over the parquet scan. Rows that share the given column `together` come in the same
+    partition, or in few where they are very many, one after another; the given columns are far narrower than what is derived from them."""
     rule, sources = TABLES[derived]
     frames = {s: read_table(spark, f"{sf_dir}/{s}.parquet") for s in sources}
+    if together:
+        frames = {s: df.hint("rebalance", together).sortWithinPartitions(together) for s, df in frames.items()}
     return spark.sql(fill_names(rule(SPARK), SPARK), **frames)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from corpus_spark.operators.merge import ORDER_COLUMNS, merge_observations
 from corpus_spark.operators.ordered import with_neighbour_rows
 from corpus_spark.operators.triage import latest
-from corpus_spark.session import STATE_STORE, fresh_path, materialize
+from corpus_spark.session import STATE_STORE, fresh_path, scratch
 from corpus_spark.sources.bucketed import KeyedLog
 
 
@@ -63,10 +63,14 @@ def merge_stream(stream: DataFrame, index: KeyedLog, rows: KeyedLog, facts: Keye
     key = list(ORDER_COLUMNS)
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession) as write:
+            step(batch, batch_id, write)
+
+    def step(batch: DataFrame, batch_id: int, write: Callable[[DataFrame, str], DataFrame]) -> None:
         columns = batch.columns
         # One key may arrive twice in a batch; the smallest row decides, whatever the order.
-        ordered = F.struct("observed_at", F.to_json(F.struct(*[c for c in columns if c not in key])))
-        once = materialize(batch.groupBy(*key).agg(F.min_by(F.struct(*columns), ordered).alias("r")).select("r.*"), "arrived")
+        rest = F.struct("observed_at", *[c for c in columns if c not in (*key, "observed_at")])
+        once = write(batch.groupBy(*key).agg(F.min(rest).alias("r")).select(*key, "r.*").select(*columns), "arrived")
         known = index.current(batch_id - 1, once).select(
             *key, F.col("package").alias("old_package"), F.col("observed_at").alias("first_at")
         )
@@ -76,12 +80,13 @@ def merge_stream(stream: DataFrame, index: KeyedLog, rows: KeyedLog, facts: Keye
         moved = joined.filter(F.col("old_package") != F.col("package")).withColumns(
             {"package": F.col("old_package"), "withdrawn": F.lit(True)}
         )
-        changed = materialize(joined.unionByName(moved), "changed")
+        changed = write(joined.unionByName(moved), "changed")
         index.append(changed.filter("NOT withdrawn"), batch_id)
         rows.append(changed, batch_id)
         touched = changed.select("package").distinct()
-        current = rows.current(batch_id, touched).join(touched, "package", "left_semi")
-        merged = merge_observations(current.select(*columns)).withColumn("deleted", F.lit(False))
+        # Written once: each pass of the merge would bring the newest rows together anew.
+        current = write(rows.current(batch_id, touched).join(touched, "package", "left_semi").select(*columns), "touched")
+        merged = merge_observations(current).withColumn("deleted", F.lit(False))
         emptied = touched.join(current.select("package"), "package", "left_anti").withColumn("deleted", F.lit(True))
         facts.append(merged.unionByName(emptied, allowMissingColumns=True), batch_id)
 

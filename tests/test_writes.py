@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpus_spark.operators import merge
+from corpus_spark.session import scratch
 from corpus_spark.testbed.registry import Bed
 
 DATA = "/root/testdata/sf0.01"
@@ -23,3 +24,13 @@ def test_remerge_brings_the_touched_rows_together_once(spark):
     _, facts = merge.remerge_touched(merge.merge_observations(obs.filter(~late)), obs.filter(~late), obs.filter(late))
     plan = facts._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan  # the touched rows are read, not joined again for each pass
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    with scratch(spark) as write:
+        df = write(spark.range(3), "scratch-test")
+        assert df.count() == 3
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        assert fs.exists(fs_path)
+    assert not fs.exists(fs_path)

@@ -5,8 +5,8 @@ the difference. Weights minimise the logistic loss over pairs of a preferred (la
 document. The threshold is the quantile of the training worths that leaves as large a share below as label 0 has,
 and scores are scaled so that it lies at THRESHOLD.
 
-Training takes a bounded sample: the SAMPLE labelled rows with the smallest hash of text and id. Each row of the rarer label
-meets PARTNERS rows of the other, at places that its number names.
+Training takes all labelled rows. Each row of the rarer label meets PARTNERS rows of the other, at places that its number
+names. Features, pairs and worths stay in Spark; what a Newton step collects are sums of a fixed size per task.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpus_spark.operators.ordered import numbered
 from corpus_spark.session import materialize
 
-SAMPLE = 20_000
+FEW = 10_000  # values that the driver may sort
+BINS = 1_024
 PARTNERS = 20
 PENALTY = 1e-3
 THRESHOLD = 0.3
 MEASURED = (
     T.StructField("hash", T.LongType()),
-    T.StructField("label", T.IntegerType()),
     T.StructField("x", T.ArrayType(T.DoubleType())),
 )
 
@@ -95,8 +96,11 @@ class Ranking:
     threshold: float
     steepness: float
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.centre) / self.spread, -8, 8)
+
     def worth(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.centre) / self.spread, -8, 8) @ self.weights
+        return self.standard(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; THRESHOLD at the threshold, higher where label 1 is likelier."""
@@ -104,82 +108,116 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Ranking:
-    """Minimises the pairwise loss by Newton steps; without both labels every text scores alike."""
-    centre, spread = x.mean(axis=0), x.std(axis=0)
-    spread[spread == 0] = 1
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    ranking = Ranking(np.zeros(x.shape[1]), centre, spread, 0.0, 1.0)
-    if not len(good) or not len(bad):
-        ranking.threshold = 1.0 if len(bad) else -1.0
+def _sums(rows: DataFrame, columns: list[str], sums) -> np.ndarray:
+    """`sums(*matrices)`, a fixed number of numbers per batch of the array columns, added up: one row a task comes back."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                found = sums(*[np.stack(batch[c].to_numpy()) for c in columns])
+                total = found if total is None else total + found
+        if total is not None:
+            yield pd.DataFrame({"s": [total]})
+
+    parts = rows.select(*columns).mapInPandas(run, "s array<double>").toPandas()["s"]
+    return np.stack(parts.to_numpy()).sum(axis=0)
+
+
+def _pairs(rows: DataFrame, ranking: Ranking, n_good: int, n_bad: int) -> DataFrame:
+    """(d): features of a preferred row less those of the other, standardised; PARTNERS of them for each row of the rarer label."""
+    rare, n_other = (0, n_good) if n_bad <= n_good else (1, n_bad)
+    placed = numbered(rows, ["label"], ["hash", "id"], "place").withColumn("place", F.col("place") - 1)
+    nth = F.col("place") * PARTNERS + F.col("partner")
+    few = placed.filter(F.col("label") == rare).withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(PARTNERS - 1))))
+    few = few.select(F.col("x").alias("few"), ((nth % n_other) * (2654435761 % n_other) % n_other).alias("place"))
+    many = placed.filter(F.col("label") != rare).select("place", F.col("x").alias("many"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                few, many = (ranking.standard(np.stack(batch[c].to_numpy())) for c in ("few", "many"))
+                yield pd.DataFrame({"d": list(many - few if rare == 0 else few - many)})
+
+    return few.join(many, "place").select("few", "many").mapInPandas(run, "d array<double>")
+
+
+def _nth(values: DataFrame, n: int) -> float:
+    """The value at place `n`, from 0, of the double column `worth` in order: counts per bin narrow it down until few are left."""
+    low, high, count = values.agg(F.min("worth"), F.max("worth"), F.count("worth")).first()
+    while low < high and count > FEW:
+        place = F.floor((F.col("worth") - low) / F.lit((high - low) / BINS))
+        inside = values.filter(F.col("worth").between(low, high)).groupBy(F.least(place, F.lit(BINS - 1)).alias("bin"))
+        for r in sorted(inside.agg(F.min("worth").alias("low"), F.max("worth").alias("high"), F.count("*").alias("n")).collect()):
+            if n < r["n"]:
+                low, high, count = r["low"], r["high"], r["n"]
+                break
+            n -= r["n"]
+    if low == high:
+        return low
+    return sorted(r[0] for r in values.filter(F.col("worth").between(low, high)).collect())[n]
+
+
+def fit(rows: DataFrame) -> Ranking:
+    """A ranking from `rows` (id, hash, label, x), all of them, by Newton steps on the pairwise loss; without both labels every text
+    scores alike. The same rows give the same ranking up to the rounding of sums."""
+    counts = dict(rows.groupBy("label").count().collect())
+    n_good, n_bad = counts.get(1, 0), counts.get(0, 0)
+    n, size = n_good + n_bad, len(NAMES)
+    ranking = Ranking(np.zeros(size), np.zeros(size), np.ones(size), 0.0, 1.0)
+    if not n_good or not n_bad:
+        ranking.threshold = 1.0 if n_bad else -1.0
         return ranking
-    few, many = (bad, good) if len(bad) <= len(good) else (good, bad)
-    i = np.repeat(few, PARTNERS)
-    j = many[(np.arange(len(i)) * 2654435761) % len(many)]
-    z = np.clip((x - centre) / spread, -8, 8)
-    differences = z[j] - z[i] if few is bad else z[i] - z[j]
-    w = np.zeros(x.shape[1])
+    centre = _sums(rows, ["x"], lambda x: x.sum(axis=0)) / n
+    spread = np.sqrt(_sums(rows, ["x"], lambda x: ((x - centre) ** 2).sum(axis=0)) / n)
+    spread[spread < 1e-12] = 1
+    ranking.centre, ranking.spread = centre, spread
+    pairs, n_pairs = materialize(_pairs(rows, ranking, n_good, n_bad), "quality-pairs"), min(n_good, n_bad) * PARTNERS
+    w = np.zeros(size)
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(differences @ w, -30, 30)))  # of the pair the wrong way round
-        slope = -(p @ differences) / len(p) + PENALTY * w
-        curve = (differences * (p * (1 - p))[:, None]).T @ differences / len(p) + PENALTY * np.eye(len(w))
-        step = np.linalg.solve(curve, slope)
-        w -= step
+
+        def sums(d: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # of the pair the wrong way round
+            return np.concatenate([p @ d, ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+        found = _sums(pairs, ["d"], sums) / n_pairs
+        slope = -found[:size] + PENALTY * w
+        step = np.linalg.solve(found[size:].reshape(size, size) + PENALTY * np.eye(size), slope)
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     ranking.weights = w
-    worth = np.sort(ranking.worth(x))
-    cut = len(bad)  # the quantile of label 0's share, in the middle between its neighbours
-    ranking.threshold = float((worth[cut - 1] + worth[min(cut, len(worth) - 1)]) / 2)
-    return ranking
 
+    def worths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"worth": ranking.worth(np.stack(batch["x"].to_numpy()))})
 
-def _chosen(labelled: DataFrame) -> DataFrame:
-    """The SAMPLE rows of `labelled` (id, hash, label) with the smallest hash. Counts per range of hashes, at most
-    2 ** 16 of them, leave little more than these to be sorted."""
-    bucket = F.shiftright("hash", 48)
-    counts = labelled.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    held, last = 0, None
-    for r in sorted(counts.collect()):
-        held, last = held + r["n"], r["bucket"]
-        if held >= SAMPLE:
-            break
-    return labelled.filter(bucket <= F.lit(last)).orderBy("hash", "id").limit(SAMPLE)
+    worth = materialize(rows.select("x").mapInPandas(worths, "worth double"), "quality-worths")
+    # The quantile of label 0's share, in the middle between its neighbours.
+    ranking.threshold = (_nth(worth, n_bad - 1) + _nth(worth, min(n_bad, n - 1))) / 2
+    return ranking
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Ranking:
     """A ranking from `docs` (id, text) and `labels` (id, label).
 
     Rows without a label of 0 or 1 are passed over, rows that repeat id and text count once, a null text is empty and
-    an id with two labels has the higher. Texts never move: rows are chosen by id and hash, and the chosen
-    ones, at most SAMPLE, are sent to where the texts are.
+    an id with two labels has the higher. Texts never move: features are taken where the texts are, of every row, and meet the
+    labels by id.
     """
     texts = docs.select(
         F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
     ).withColumn("hash", F.xxhash64("text", "id"))
     marks = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
     marks = marks.filter("label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
-    labelled = materialize(texts.select("id", "hash").distinct().join(marks, "id"), "quality-labelled")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(
-                {"id": batch["id"], "hash": batch["hash"], "label": batch["label"], "x": [features(t) for t in batch["text"]]}
-            )
-
-    rows = (
-        texts.join(F.broadcast(_chosen(labelled)), ["id", "hash"])
-        .select("id", "hash", "label", "text")
-        .mapInPandas(run, T.StructType([texts.schema["id"], *MEASURED]))
-        .dropDuplicates(["id", "hash"])
-        .select("label", "x")
-        .toPandas()
-    )
-    if not len(rows):
-        return Ranking(np.zeros(len(NAMES)), np.zeros(len(NAMES)), np.ones(len(NAMES)), -1.0, 1.0)
-    x, y = np.stack(rows["x"].to_numpy()), rows["label"].to_numpy()
-    order = np.lexsort((*x.T, y))  # the same pairs in whatever order rows came
-    return fit(x[order], y[order])
+            yield pd.DataFrame({"id": batch["id"], "hash": batch["hash"], "x": [features(t) for t in batch["text"]]})
+
+    measured = texts.mapInPandas(run, T.StructType([texts.schema["id"], *MEASURED]))
+    return fit(materialize(measured.join(marks, "id").dropDuplicates(["id", "hash"]), "quality-labelled"))
 
 
 def score(df: DataFrame, ranking: Ranking, text_column: str = "text") -> DataFrame:

@@ -499,3 +499,23 @@ def test_training_rounds_never_lose_likelihood(spark, monkeypatch):
     assert np.exp(hidden_markov.log_likelihoods(model, every)).sum() == pytest.approx(1)
     none, _ = hidden_markov.train(spark.createDataFrame([], "classes binary"), shares)
     assert none.emits == pytest.approx(np.tile(shares, (hidden_markov.STATES, 1)))
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Sums, pairs and threshold over all rows, against the same steps in numpy; the threshold is found by bins."""
+    import numpy as np
+
+    size, monkey = len(pairwise_quality.NAMES), np.random.default_rng(3)
+    y = (np.arange(3000) % 5 > 0).astype(int)
+    x = monkey.normal(size=(3000, size)) + y[:, None] * 0.3
+    monkeypatch.setattr(pairwise_quality, "FEW", 10)
+    df = spark.createDataFrame([(i, i, int(y[i]), x[i].tolist()) for i in range(3000)], "id bigint, hash bigint, label int, x array<double>")
+    got = pairwise_quality.fit(df.repartition(7))
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+    few, many = np.flatnonzero(y == 0), np.flatnonzero(y == 1)
+    i = np.repeat(few, pairwise_quality.PARTNERS)
+    d = z[many[np.arange(len(i)) * 2654435761 % len(many)]] - z[i]
+    p = 1 / (1 + np.exp(d @ got.weights))
+    assert np.abs(-(p @ d) / len(d) + pairwise_quality.PENALTY * got.weights).max() < 1e-8
+    worth = np.sort(z @ got.weights)
+    assert abs(got.threshold - (worth[len(few) - 1] + worth[len(few)]) / 2) < 1e-9

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -186,70 +186,46 @@ def heartbeat_timeouts(beats: DataFrame, stale_after_s: int, max_attempts: int,
 LEASE_MEASURES = {"wait": ("requested", {"requested", "acquired"}), "occupied": ("acquired", {"acquired", "released", "reclaimed"})}
 
 
-class LeasePairing(StatefulProcessor):
-    """Per job and span of time: its events are buffered as they come, in any order, and paired in their own order once the
-    watermark has passed the span's end, when no more can come. Then the buffer goes.
-
-    What comes out are the intervals that begin and end in the span, and its border rows, the first and the last event of each
-    measure, from which `lease_intervals_of` pairs what crosses spans. A job with a third of all events is as many keys as it
-    has spans, and what is held of it is what lies within a span and the lateness.
-    """
-
-    def __init__(self, span_s: int) -> None:
-        self.span_us = span_s * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState("events", "at_us bigint, id bigint, event string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        waiting = self.events.exists()
-        for frame in rows:
-            times = frame["happened_at"].astype("datetime64[us]").astype("int64")
-            self.events.appendList(list(zip(map(int, times), map(int, frame["id"]), frame["event"], strict=True)))
-        if not waiting:
-            self.handle.registerTimer((int(key[1]) + 1) * self.span_us // 1000)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        events = sorted(self.events.get())
-        self.events.clear()
-        out = []
-        for measure, (opens, takes) in LEASE_MEASURES.items():
-            mine = [e for e in events if e[2] in takes]
-            for (start, _, before), (end, _, event) in zip(mine, mine[1:], strict=False):
-                if before == opens and event != opens:
-                    out.append((measure, False, start, end, None, None))
-            for at, event_id, event in dict.fromkeys([mine[0], mine[-1]] if mine else []):
-                out.append((measure, True, at, None, event_id, event))
-        frame = pd.DataFrame(out, columns=["measure", "border", "start_us", "end_us", "id", "event"])
-        frame = frame.astype({"end_us": "Int64", "id": "Int64"})
-        frame.insert(0, "span", int(key[1]))
-        frame.insert(0, "job_id", key[0])
-        yield frame
-
-    def close(self) -> None:
-        pass
-
-
 def lease_pairing(events: DataFrame, lateness: str, span_s: int = 7 * 86_400) -> DataFrame:
     """`events` is a stream of (id bigint, job_id, event, happened_at timestamp), in any order within `lateness`; rows without a job or a time,
-    and events that are no lease's, are passed over. See `LeasePairing` for what comes out and `lease_intervals_of` for reading it."""
-    span = F.floor(F.unix_micros("happened_at") / F.lit(span_s * 1_000_000)).cast("bigint")
+    and events that are no lease's, are passed over.
+
+    The events of a job and span of time are gathered as they come and paired in their own order once the watermark has passed the
+    span's end, when no more can come; then they are forgotten. What comes out are the intervals that begin and end in the span, and its border
+    rows, the first and the last event of each measure, from which `lease_intervals_of` pairs what crosses spans. A job with a third of all
+    events is as many keys as it has spans, and what is held of it is what lies within a span and the lateness.
+    """
     wanted = sorted(set().union(*(takes for _, takes in LEASE_MEASURES.values())))
-    return (
+    event = F.struct(F.unix_micros("happened_at").alias("at_us"), F.col("id").cast("bigint").alias("id"), "event")
+    spans = (
         events.filter(F.col("job_id").isNotNull() & F.col("happened_at").isNotNull() & F.col("event").isin(wanted))
-        .withColumn("span", span)
         .withWatermark("happened_at", lateness)
-        .groupBy("job_id", "span")
-        .transformWithStateInPandas(
-            LeasePairing(span_s),
-            "job_id string, span bigint, measure string, border boolean, start_us bigint, end_us bigint, id bigint, event string",
-            "Append",
-            "EventTime",
-        )
+        .groupBy("job_id", F.window("happened_at", f"{span_s} seconds").alias("span"))
+        .agg(F.collect_list(event).alias("events"))
+        .select("job_id", F.floor(F.unix_micros("span.start") / F.lit(span_s * 1_000_000)).cast("bigint").alias("span"), F.sort_array("events").alias("events"))
     )
 
+    def rows_of(measure: str) -> tuple[Column, Column]:
+        """The rows of a measure: its pairs within the span, and its border rows."""
+        opens, takes = LEASE_MEASURES[measure]
+
+        def row(border: bool, start: Column, end: Column, event_id: Column, kind: Column) -> Column:
+            return F.struct(
+                F.lit(measure).alias("measure"), F.lit(border).alias("border"), start.alias("start_us"), end.cast("bigint").alias("end_us"),
+                event_id.cast("bigint").alias("id"), kind.cast("string").alias("event"),
+            )
+
+        mine, none = F.filter("events", lambda e: e["event"].isin(*takes)), F.lit(None)
+        pairs = F.zip_with(
+            mine, F.slice(mine, 2, F.greatest(F.size(mine) - 1, F.lit(0))),
+            lambda e, after: F.when((e["event"] == opens) & (after["event"] != opens), row(False, e["at_us"], after["at_us"], none, none)),
+        )
+        ends = F.array_distinct(F.array(F.get(mine, F.lit(0)), F.get(mine, F.size(mine) - 1)))
+        return F.array_compact(pairs), F.transform(F.array_compact(ends), lambda e: row(True, e["at_us"], none, e["id"], e["event"]))
+
+    found = F.concat(*[rows for measure in LEASE_MEASURES for rows in rows_of(measure)])
+    return spans.select("job_id", "span", F.inline(found))
+
 
 def lease_intervals_of(paired: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(closed, open) intervals (job_id, measure, start_us, end_us) from what `lease_pairing` has left so far.
@@ -268,7 +244,7 @@ def lease_intervals_of(paired: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Stateful processors need the RocksDB store."""
+    """Stateful processors need the RocksDB store, and what a stream gathers should not have to fit in the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 

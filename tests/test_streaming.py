@@ -92,3 +92,10 @@ def test_a_lease_span_ends_with_the_watermark(spark):
     closed, pending = jobs.lease_intervals_of(paired)
     # The span of the 9th is over; the one of the 30th still waits for late events.
     assert closed.count() == 1 and [r.start_us for r in pending.collect()] == [int(datetime(2024, 1, 9, tzinfo=timezone.utc).timestamp() * 1e6)]
+
+
+def test_lease_events_are_gathered_and_paired_without_python(spark):
+    schema = "id bigint, job_id string, event string, happened_at timestamp"
+    plan = jobs.lease_pairing(arrivals(spark, spark.createDataFrame([(1, "a", "acquired", datetime(2024, 1, 1))], schema)), "2 days")
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert "collect_list" in text and "Python" not in text and "PySpark" not in text

@@ -195,10 +195,10 @@ def evidence(corpus: DataFrame, platform: DataFrame) -> DataFrame:
 
 def neighbours(edge_rows: DataFrame) -> DataFrame:
     """(package, dependencies, needed_by): distinct and sorted, from one grouped pass."""
-    outgoing = edge_rows.select(F.col("dependent").alias("package"), F.lit("dependencies").alias("side"), F.col("provider").alias("other"))
-    incoming = edge_rows.select(F.col("provider").alias("package"), F.lit("needed_by").alias("side"), F.col("dependent").alias("other"))
+    outgoing = F.struct(F.col("dependent").alias("package"), F.lit("dependencies").alias("side"), F.col("provider").alias("other"))
+    incoming = F.struct(F.col("provider").alias("package"), F.lit("needed_by").alias("side"), F.col("dependent").alias("other"))
     return (
-        outgoing.unionByName(incoming)
+        edge_rows.select(F.inline(F.array(outgoing, incoming)))
         .distinct()
         .groupBy("package")
         .agg(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_spark.operators import configs, graph
 from corpus_spark.operators.bundle import build_bundles, require_floors
 from corpus_spark.operators.ladder import compute_floors
-from corpus_spark.operators.merge import merge_observations
+from corpus_spark.operators.merge import merge_columns, merge_observations
 from corpus_spark.operators.queueing import filter_verdicts
 from corpus_spark.session import materialize
 from corpus_spark.sources.corpus import load_corpus
@@ -45,10 +47,12 @@ def analyse(
 
 
 def deterministic_core(
-    observations: DataFrame, config: DataFrame, reference: DataFrame
+    observations: DataFrame, config: DataFrame, reference: DataFrame, columns: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, edges, analysis), each written once: they are the stage tables later jobs read."""
-    facts = materialize(merge_observations(observations), "facts")
+    """(facts, edges, analysis), each written once: they are the stage tables later jobs read. Facts are whole unless later jobs need
+    some `columns` only; `corpus.BUNDLE_FACTS` is what the analysis and bundles read."""
+    merged = merge_observations(observations) if columns is None else merge_columns(observations, columns)
+    facts = materialize(merged, "facts")
     corpus = load_corpus(facts)
     edge_rows = materialize(graph.edges(corpus), "edges")
     analysis = materialize(analyse(corpus, config, reference, edge_rows), "analysis")

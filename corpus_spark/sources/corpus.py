@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,11 @@ CORPUS_SCALARS = (
     "content_uri_authorities",
     "is_input_method",
 )
+DERIVED_FROM = ("libraries", "static_libraries", "intent_filters")
 # What a bundle shows and the graph, the filter and the ladder never read.
 IDENTITY = ("label", "label_unresolved", "cert_issuer", "version_code", "has_conflict")
+# The fact columns that the graph, the filter, the ladder and bundles read between them.
+BUNDLE_FACTS = (*CORPUS_SCALARS[1:], *DERIVED_FROM, *IDENTITY)
 
 
 def library_names(column: str) -> Column:
@@ -47,12 +52,15 @@ def handles(action: str, category: str | None = None) -> Column:
 def load_corpus(facts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Corpus rows, with further fact columns if asked for. The icon payload is never selected, so
     a parquet scan does not read it."""
-    return facts.select(
-        *CORPUS_SCALARS,
-        library_names("libraries").alias("libraries"),
-        library_names("static_libraries").alias("static_libraries"),
-        handles(HOME_ACTION, HOME_CATEGORY).alias("handles_home"),
-        handles(DIALER_ACTION).alias("handles_dialer"),
-        handles(SMS_ACTION).alias("handles_sms_deliver"),
-        *extra,
-    )
+    return facts.select(*CORPUS_SCALARS, *_derived(), *extra)
+
+
+def corpus_part(facts: DataFrame) -> DataFrame:
+    """What can be said of the corpus from facts that were merged in part (`merge.merge_columns`)."""
+    return facts.select(*[c for c in CORPUS_SCALARS if c in facts.columns], *_derived(facts.columns))
+
+
+def _derived(present: Sequence[str] = DERIVED_FROM) -> list[Column]:
+    surfaces = {"handles_home": handles(HOME_ACTION, HOME_CATEGORY), "handles_dialer": handles(DIALER_ACTION), "handles_sms_deliver": handles(SMS_ACTION)}
+    names = [library_names(c).alias(c) for c in DERIVED_FROM[:2] if c in present]
+    return names + [c.alias(name) for name, c in surfaces.items() if DERIVED_FROM[2] in present]

@@ -211,12 +211,25 @@ def neighbours(edge_rows: DataFrame) -> DataFrame:
 
 
 def incidence(edge_rows: DataFrame) -> DataFrame:
-    """(package, edges): every edge a package takes part in, on either side, in edge order."""
-    edge = F.struct(*[F.col(c) for c in EDGE_COLUMNS])
+    """(package, edges): every edge a package takes part in, on either side, in edge order. What is moved is the side the package is on
+    and the other package; the package itself, and a detail that only repeats the provider, are put back afterwards."""
+    detail = F.nullif("detail", F.col("provider")).alias("detail")
+
+    def seen_from(package: str, other: str) -> Column:
+        end = F.struct("kind", F.lit(package == "provider").alias("provides"), F.col(other).alias("other"), detail)
+        return F.struct(F.col(package).alias("package"), end.alias("end"))
+
+    def edge(end: Column) -> Column:
+        dependent = F.when(end["provides"], end["other"]).otherwise(F.col("package"))
+        provider = F.when(end["provides"], F.col("package")).otherwise(end["other"])
+        values = (end["kind"], dependent, provider, F.coalesce(end["detail"], provider))
+        return F.struct(*[value.alias(c) for c, value in zip(EDGE_COLUMNS, values, strict=True)])
+
     return (
-        edge_rows.select(F.explode(F.array("dependent", "provider")).alias("package"), edge.alias("edge"))
+        edge_rows.select(F.inline(F.array(seen_from("dependent", "provider"), seen_from("provider", "dependent"))))
         .groupBy("package")
-        .agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+        .agg(F.collect_list("end").alias("ends"))
+        .select("package", F.sort_array(F.transform("ends", edge)).alias("edges"))
     )
 
 

@@ -148,3 +148,14 @@ def test_nearest_entries_match_brute_force(spark):
         got.setdefault(r.package, []).append(r.anchor)
     want = {p: found for p in packages if (found := nearest_by_force(p, entries, 4))}
     assert got == want
+
+
+def test_incidence_moves_the_other_package_only(spark):
+    rows = [("library", "a", "b", "lib"), ("library", "a", "b", "b"), ("overlay", "c", "a", "a"), ("overlay", "b", "c", "c")]
+    edge_rows = spark.createDataFrame(rows, "kind string, dependent string, provider string, detail string")
+    incident = graph.incidence(edge_rows)
+    got = {r.package: [tuple(e) for e in r.edges] for r in incident.collect()}
+    assert got == {p: sorted(e for e in rows if p in e[1:3]) for p in "abc"}
+    plan = incident._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("Aggregate [package") :].splitlines()[0]
+    assert "collect_list(end" in grouped

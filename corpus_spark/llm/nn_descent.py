@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql.types import DoubleType
 
 from corpus_spark.llm.blocks import map_groups
 from corpus_spark.llm.cross_polytope import rotated
-from corpus_spark.session import materialize
+from corpus_spark.session import finished_shuffles_dropped, materialize
 
 KEPT, REVERSE = 32, 24
 ORDERS = 4  # the last one is random, which ties far regions together
@@ -37,7 +36,6 @@ BLOCK = 64
 FOUND_A_BLOCK = 12  # of a row's candidates in one block or around one node, the closest
 ROUNDS, SETTLED = 12, 0.03
 BEAM, FOLLOWED, PIVOTS = 160, 40, 512
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @dataclass
@@ -48,20 +46,6 @@ class Graph:
     edges: DataFrame
 
 
-@contextmanager
-def finished_shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Every round ends in a written table, so its shuffles go with it instead of piling up."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-
-
 def closest(df: DataFrame, key: str, order: list[Column], count: int) -> DataFrame:
     """The first `count` rows of each key. Spark cuts each task's rows of a key to `count` before it shuffles them, so
     a key of very many rows is no large group."""

@@ -29,6 +29,7 @@ SETTINGS = {
 }
 _SHIPPED: set[str] = set()  # applications that have the package
 _LOCAL_FOLDERS: dict[str, str] = {}  # by application, in local mode only
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -94,10 +95,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back, so several readers share one computation."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def finished_shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """For steps that end in written tables: their shuffles go with them instead of piling up."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """`materialize` for tables that nothing needs behind the block: they are removed there."""
@@ -105,7 +120,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
 
     def write(df: DataFrame, name: str) -> DataFrame:
         paths.append(fresh_path(spark, name))
-        df.write.parquet(paths[-1])
+        df.write.option("compression", "zstd").parquet(paths[-1])
         return spark.read.schema(df.schema).parquet(paths[-1])
 
     try:

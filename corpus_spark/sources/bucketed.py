@@ -37,6 +37,7 @@ class _Bucketed:
         self.spark, self.path, self.bucket_by, self.buckets = spark, path, tuple(bucket_by), buckets
         self.schema = StructType(list(schema.fields))
         self.stored = StructType([*self.schema.fields, StructField(WRITTEN, LongType())])
+        self._made: list[str] = []  # folders that the version at hand has written
 
     # Versions
 
@@ -88,7 +89,9 @@ class _Bucketed:
         known = self.versions()
         keep = [v for v in known if v >= version or v == max((k for k in known if k < version), default=version)]
         named = {run.folder for v in keep for found in self.runs(v).values() for run in found}
-        before = {run.folder for v in known for found in self.runs(v).values() for run in found}
+        # What was folded as soon as it was written stands in no version.
+        before = {run.folder for v in known for found in self.runs(v).values() for run in found} | set(self._made)
+        self._made.clear()
         for v in known:
             if v not in keep:
                 fs, path = self._fs(self._version_path(v))
@@ -107,16 +110,18 @@ class _Bucketed:
         return sorted(r[0] for r in rows.select(self.bucket_of().alias("b")).distinct().collect())
 
     def _write(self, df: DataFrame, name: str, version: int, level: int) -> dict[int, Run]:
-        """One run a bucket; a bucket with very many rows is several files."""
+        """One run a bucket; a bucket with very many rows is several files. Rows lie in the order of their bucket columns, so that neighbours
+        compress and a reader that groups by these columns combines them before it shuffles."""
         rows = df.withColumn(BUCKET, self.bucket_of())
         if WRITTEN not in df.columns:
             rows = rows.withColumn(WRITTEN, F.lit(version).cast("bigint"))
-        rows.select(*self.stored.names, BUCKET).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(
-            f"{self.path}/{name}"
-        )
+        placed = rows.select(*self.stored.names, BUCKET).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *self.bucket_by)
+        placed.write.mode("overwrite").option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.path}/{name}")
         schema = StructType([StructField(BUCKET, LongType())])
         counts = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").groupBy(BUCKET).count().collect()
-        return {r[0]: Run(f"{name}/{BUCKET}={r[0]}", level, r[1]) for r in counts}
+        written = {r[0]: Run(f"{name}/{BUCKET}={r[0]}", level, r[1]) for r in counts}
+        self._made += [run.folder for run in written.values()]
+        return written
 
     def _read(self, runs: Iterable[Run]) -> DataFrame:
         paths = [f"{self.path}/{run.folder}" for run in runs]
@@ -159,6 +164,10 @@ class KeyedLog(_Bucketed):
         rows = self._newest(self._read(self.read_runs(version, within))).drop(WRITTEN)
         return rows.filter(~F.coalesce(F.col(self.tombstone), F.lit(False))) if self.tombstone else rows
 
+    def read(self, version: int | None = None, within: DataFrame | None = None) -> DataFrame:
+        """All rows that `current` reads, older ones and tombstones too, with the version that each was written in."""
+        return self._read(self.read_runs(version, within))
+
     def read_runs(self, version: int | None = None, within: DataFrame | None = None) -> list[Run]:
         """What `current` opens: their `rows` are how many it reads."""
         runs = self.runs(version)

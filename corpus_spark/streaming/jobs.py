@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from corpus_spark.operators.merge import ORDER_COLUMNS, merge_observations
+from corpus_spark.operators.merge import KEY_ID, is_few, key_id, merge_observations
 from corpus_spark.operators.ordered import with_neighbour_rows
 from corpus_spark.operators.triage import latest
-from corpus_spark.session import STATE_STORE, fresh_path, scratch
-from corpus_spark.sources.bucketed import KeyedLog
+from corpus_spark.session import STATE_STORE, finished_shuffles_dropped, fresh_path, scratch
+from corpus_spark.sources.bucketed import WRITTEN, KeyedLog
 
 
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> int:
@@ -36,15 +36,69 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     return max(seen, default=-1)
 
 
-def observation_logs(spark: SparkSession, path: str, observations: DataFrame, buckets: int = 16) -> tuple[KeyedLog, KeyedLog, KeyedLog]:
+class ObservationRows(KeyedLog):
+    """The rows of each package as they arrived, and beside them marks that hold a key's `key_id` instead of its columns.
+
+    A mark says that, from its version on, its package has the key no longer (`withdrawn` true), or has it with the mark's
+    `observed_at` (`withdrawn` false). A key that is new and arrives once needs no mark. So rows are moved once, when they are written and come to
+    lie together by package. Which of them count is found from keys and marks, and only packages with rows that do not need whole rows compared.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, observations: StructType, buckets: int) -> None:
+        self.columns = observations.names
+        schema = StructType([*observations.fields, StructField(KEY_ID, BinaryType()), StructField("withdrawn", BooleanType())])
+        super().__init__(spark, path, schema, ["package", KEY_ID], bucket_by=["package"], tombstone="withdrawn", buckets=buckets)
+
+    def _by_key(self, rows: DataFrame, columns: Sequence[str], *states: Column) -> DataFrame:
+        """Per package and key: whether it is `gone`, the `row` (with these columns) that counts, when the key was first `seen`, and other
+        states. Of a key that came several times with one version the smallest row counts."""
+        at, withdrawn = F.col(WRITTEN), F.col("withdrawn")
+        return (
+            rows.withColumn(KEY_ID, F.coalesce(KEY_ID, key_id()))
+            .select("package", KEY_ID, WRITTEN, "withdrawn", "observed_at", *columns)
+            .groupBy("package", KEY_ID)
+            .agg(
+                F.max(F.struct(at.alias("at"), F.coalesce(withdrawn, F.lit(False)).alias("gone"))).alias("last"),
+                F.max(F.when(~withdrawn, F.struct(at.alias("at"), "observed_at"))).alias("mark"),
+                F.min(F.when(withdrawn.isNull(), F.struct((-at).alias("age"), "observed_at", *columns))).alias("row"),
+                *states,
+            )
+            .withColumn("gone", F.col("last.gone"))
+            .withColumn("seen", F.when(F.col("mark.at") == F.col("last.at"), F.col("mark.observed_at")).otherwise(F.col("row.observed_at")))
+        )
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        gone, rest = F.col("gone"), [c for c in self.columns if c not in ("package", "observed_at")]
+        values = {c: F.when(~gone, F.col(f"row.{c}")) for c in rest} | {
+            "package": F.col("package"), "observed_at": F.when(~gone, F.col("seen")), KEY_ID: F.when(gone, F.col(KEY_ID)),
+            "withdrawn": F.when(gone, True), WRITTEN: F.col("last.at"),
+        }
+        return self._by_key(rows, rest).select(*[values[c].alias(c) for c in self.stored.names])
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Of rows that were read, those that count."""
+        return self._newest(rows).filter("withdrawn IS NULL").select(*self.columns)
+
+    def standing(self, rows: DataFrame) -> DataFrame:
+        """(package, live, kept, first_seen_at, last_seen_at): how many keys a package has, how many rows lie there for it, whether they
+        count or not, and when its keys were first seen. Where both numbers are equal, all rows count."""
+        seen = F.when(~F.col("gone"), F.col("seen"))
+        return (
+            self._by_key(rows, [], F.count(F.when(F.col("withdrawn").isNull(), 1)).alias("kept"))
+            .groupBy("package")
+            .agg(
+                F.count(F.when(~F.col("gone"), 1)).alias("live"), F.sum("kept").alias("kept"),
+                F.min(seen).alias("first_seen_at"), F.max(seen).alias("last_seen_at"),
+            )
+        )
+
+
+def observation_logs(spark: SparkSession, path: str, observations: DataFrame, buckets: int = 16) -> tuple[KeyedLog, ObservationRows, KeyedLog]:
     """The tables of `merge_stream` under `path`: which package each key was last seen in and when first, the rows of each package
-    (a row that its key has left is `withdrawn`), and the merged facts (a package without a row is `deleted`)."""
-    schema, key = observations.schema, list(ORDER_COLUMNS)
-    index = KeyedLog(spark, f"{path}/index", observations.select(*key, "package", "observed_at").schema, key, buckets=buckets)
-    rows = KeyedLog(
-        spark, f"{path}/rows", StructType([*schema.fields, StructField("withdrawn", BooleanType())]), ["package", *key],
-        bucket_by=["package"], tombstone="withdrawn", buckets=buckets,
-    )
+    (see `ObservationRows`), and the merged facts (a package without a row is `deleted`)."""
+    known = observations.select(key_id().alias(KEY_ID), "package", "observed_at").schema
+    index = KeyedLog(spark, f"{path}/index", known, [KEY_ID], buckets=buckets)
+    rows = ObservationRows(spark, f"{path}/rows", observations.schema, buckets)
     merged = merge_observations(observations.limit(0)).schema
     facts = KeyedLog(
         spark, f"{path}/facts", StructType([*merged.fields, StructField("deleted", BooleanType())]), ["package"],
@@ -53,44 +107,90 @@ def observation_logs(spark: SparkSession, path: str, observations: DataFrame, bu
     return index, rows, facts
 
 
-def merge_stream(stream: DataFrame, index: KeyedLog, rows: KeyedLog, facts: KeyedLog, checkpoint: str) -> int:
+def merge_stream(stream: DataFrame, index: KeyedLog, rows: ObservationRows, facts: KeyedLog, checkpoint: str) -> int:
     """Facts kept up with a stream of observations, replay-safe. See `observation_logs` for the tables.
 
     A key keeps the time it was first seen; when it turns up under another package, its row is withdrawn from the old one
     and both are merged again. A batch reads the buckets of its keys in `index` and the buckets of its packages in
-    `rows`, where folding keeps the runs few, and nothing else, however many batches came before it.
+    `rows`, where folding keeps the runs few, and nothing else, however many batches came before it. Of an arrival the whole row is shuffled
+    once, into its bucket; keys are looked up by their `key_id`.
     """
-    key = list(ORDER_COLUMNS)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         with scratch(batch.sparkSession) as write:
             step(batch, batch_id, write)
 
     def step(batch: DataFrame, batch_id: int, write: Callable[[DataFrame, str], DataFrame]) -> None:
-        columns = batch.columns
-        # One key may arrive twice in a batch; the smallest row decides, whatever the order.
-        rest = F.struct("observed_at", *[c for c in columns if c not in (*key, "observed_at")])
-        once = write(batch.groupBy(*key).agg(F.min(rest).alias("r")).select(*key, "r.*").select(*columns), "arrived")
-        known = index.current(batch_id - 1, once).select(
-            *key, F.col("package").alias("old_package"), F.col("observed_at").alias("first_at")
-        )
-        joined = once.join(known, key, "left").withColumns(
-            {"observed_at": F.coalesce("first_at", "observed_at"), "withdrawn": F.lit(False)}
+        came = batch.select(key_id().alias(KEY_ID), "package", "observed_at")
+        decided = write(decide(came, index.read(batch_id - 1, came)), "decided")
+        index.append(decided.select(*index.schema.names), batch_id)
+        marks = write(marks_of(came, decided), "marks")
+        rows.append(batch.unionByName(marks, allowMissingColumns=True), batch_id)
+        touched = write(decided.select("package").union(marks.select("package")).distinct(), "packages")
+        facts.append(remerge(rows, rows.read(batch_id, touched), touched, write), batch_id)
+
+    with finished_shuffles_dropped(index.spark):
+        return run_available(stream, checkpoint, each)
+
+
+def decide(came: DataFrame, known: DataFrame) -> DataFrame:
+    """Per key that came: the package that has it now and had it before, when it was first seen, whether it was known or came several times
+    (`again`), and whether it came under several packages. One key may arrive twice in a batch; the smallest row decides, whatever the order."""
+    arrived = F.col(WRITTEN).isNull()
+    name = F.when(arrived, F.col("package"))
+    return (
+        came.withColumn(WRITTEN, F.lit(None).cast("bigint"))
+        .unionByName(known)
+        .groupBy(KEY_ID)
+        .agg(
+            F.min(F.when(arrived, F.struct("observed_at", "package"))).alias("new"),
+            F.max(F.when(~arrived, F.struct(WRITTEN, "package", "observed_at"))).alias("old"),
+            F.count(F.when(arrived, 1)).alias("n"),
+            (F.min(name) != F.max(name)).alias("scattered"),
         )
-        moved = joined.filter(F.col("old_package") != F.col("package")).withColumns(
-            {"package": F.col("old_package"), "withdrawn": F.lit(True)}
+        .filter("new IS NOT NULL")
+        .select(
+            KEY_ID, "new.package", F.coalesce("old.observed_at", "new.observed_at").alias("observed_at"), F.col("old.package").alias("old_package"),
+            (F.col("old").isNotNull() | (F.col("n") > 1)).alias("again"), "scattered",
         )
-        changed = write(joined.unionByName(moved), "changed")
-        index.append(changed.filter("NOT withdrawn"), batch_id)
-        rows.append(changed, batch_id)
-        touched = changed.select("package").distinct()
-        # Written once: each pass of the merge would bring the newest rows together anew.
-        current = write(rows.current(batch_id, touched).join(touched, "package", "left_semi").select(*columns), "touched")
-        merged = merge_observations(current).withColumn("deleted", F.lit(False))
-        emptied = touched.join(current.select("package"), "package", "left_anti").withColumn("deleted", F.lit(True))
-        facts.append(merged.unionByName(emptied, allowMissingColumns=True), batch_id)
+    )
 
-    return run_available(stream, checkpoint, each)
+
+def marks_of(came: DataFrame, decided: DataFrame) -> DataFrame:
+    """The marks of `ObservationRows` that a batch makes."""
+    stays = decided.filter("again").select("package", KEY_ID, "observed_at", F.lit(False).alias("withdrawn"))
+    left = decided.filter("old_package <> package").select(F.col("old_package").alias("package"), KEY_ID)
+    several = decided.filter("scattered")
+    if not several.isEmpty():
+        others = came.join(several.select(KEY_ID, F.col("package").alias("winner")), KEY_ID).filter("package <> winner")
+        left = left.union(others.select("package", KEY_ID)).distinct()
+    return stays.unionByName(left.withColumn("withdrawn", F.lit(True)), allowMissingColumns=True)
+
+
+def remerge(rows: ObservationRows, read: DataFrame, touched: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The facts of the touched packages from rows that were read, with `deleted` for those without one.
+
+    Few packages are picked before their rows are merged. Many are after it: rows lie together by package and come together
+    in the merge, which moves less than a join of rows would.
+    """
+    few = is_few(touched)
+    if few:
+        read = read.join(F.broadcast(touched), "package", "left_semi")
+    merged = merge_observations(read.filter("withdrawn IS NULL").select(*rows.columns))
+    if not few:
+        merged = merged.join(touched, "package", "left_semi")
+    names = merged.columns
+    if read.filter("withdrawn IS NOT NULL").isEmpty():
+        return merged.withColumn("deleted", F.lit(False))
+    standing = rows.standing(read)
+    standing = write(standing if few else standing.join(touched, "package", "left_semi"), "standing")
+    merged = merged.drop("first_seen_at", "last_seen_at").join(standing.filter("live > 0 AND live = kept").drop("live", "kept"), "package").select(*names)
+    mixed = standing.filter("live > 0 AND live < kept").select("package")
+    if not mixed.isEmpty():
+        mixed = F.broadcast(mixed) if is_few(mixed) else mixed
+        merged = merged.unionByName(merge_observations(write(rows.live(read.join(mixed, "package", "left_semi")), "mixed")))
+    emptied = standing.filter("live = 0").select("package", F.lit(True).alias("deleted"))
+    return merged.withColumn("deleted", F.lit(False)).unionByName(emptied, allowMissingColumns=True)
 
 
 def latest_log(spark: SparkSession, path: str, schema: StructType, key: str, order: tuple[str, ...], buckets: int = 16) -> KeyedLog:

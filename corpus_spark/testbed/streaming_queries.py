@@ -20,7 +20,7 @@ def replay(b: Bed, df: DataFrame, name: str, arrival: Column, batches: int) -> I
     over all of them comes back, to be run from its checkpoint over what is new."""
     path = fresh_path(b.spark, name)
     for n in range(batches):
-        df.filter(arrival % batches == n).write.mode("append").parquet(path)
+        df.filter(arrival % batches == n).write.mode("append").option("compression", "zstd").parquet(path)
         yield b.spark.readStream.schema(df.schema).parquet(path)
 
 

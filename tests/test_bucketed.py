@@ -37,6 +37,15 @@ def test_log_keeps_the_newest_row_and_few_runs(spark):
     assert len(files(path)) <= 2 * 2 * 6  # two versions at most
 
 
+def test_runs_that_are_folded_at_once_leave_no_files(spark):
+    path = fresh_path(spark, "log")
+    log = KeyedLog(spark, path, spark.createDataFrame([], ROW).schema, ["key"], buckets=1, fan=2)
+    for version in range(6):
+        log.append(spark.createDataFrame([("k", "p", version, None)], ROW), version)
+    named = {run.folder for v in log.versions() for found in log.runs(v).values() for run in found}
+    assert {os.path.relpath(os.path.dirname(f), path) for f in files(path)} == named
+
+
 def test_log_order_of_its_own(spark):
     log = KeyedLog(spark, fresh_path(spark, "log"), spark.createDataFrame([], ROW).schema, ["key"], order=("value",), buckets=2, fan=2)
     for version, value in enumerate([5, 9, 7, 1]):

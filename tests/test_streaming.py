@@ -1,7 +1,9 @@
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
 
+from corpus_spark.operators import merge
 from corpus_spark.operators.merge import merge_observations
 from corpus_spark.session import fresh_path
 from corpus_spark.streaming import jobs
@@ -39,6 +41,39 @@ def test_packages_that_keys_leave_are_merged_again(spark):
     assert got == {"b": 1, "c": 1}
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_keys_that_come_again_or_under_several_packages(spark, monkeypatch, few):
+    monkeypatch.setattr(merge, "FEW", few)
+
+    def row(package, key, day, issuer):
+        return {"package": package, "device_path": f"/{key}.apk", "observed_at": datetime(2024, 1, day), "cert_issuer": issuer}
+
+    batches = [
+        [row("a", 1, 1, "i1"), row("a", 2, 2, "i2"), row("b", 3, 3, "i3"), row("a", 4, 9, "late"), row("c", 4, 4, "i4"), row("d", 5, 5, "i5")],
+        # 1 is refreshed, 2 comes twice and once under another package, 3 leaves b, which ends.
+        [row("a", 1, 20, "j1"), row("a", 2, 22, "z"), row("a", 2, 22, "j2"), row("e", 2, 23, "x"), row("a", 3, 1, "j3")],
+        [row("a", 4, 30, "k4"), row("d", 6, 6, "k6")],
+    ]
+    want = [row("a", 1, 1, "j1"), row("a", 2, 2, "j2"), row("a", 3, 3, "j3"), row("a", 4, 4, "k4"), row("d", 5, 5, "i5"), row("d", 6, 6, "k6")]
+    frames = [observations(spark, *b) for b in batches]
+    logs = jobs.observation_logs(spark, fresh_path(spark, "again"), frames[0], buckets=1)
+    last = jobs.merge_stream(arrivals(spark, *frames), *logs, fresh_path(spark, "ac"))
+    got = sorted(map(str, logs[2].current(last).drop("deleted").collect()))
+    assert got == sorted(map(str, merge_observations(observations(spark, *want)).collect()))
+
+
+def test_whole_rows_of_a_batch_are_shuffled_once(spark):
+    size, rows = 10_000, 240
+    came = [{"package": f"p{n % 3}", "device_path": f"/{n}.apk", "icon_bytes": bytearray(os.urandom(size))} for n in range(rows)]
+    first, second = observations(spark, *came[: rows // 2]), observations(spark, *came[rows // 2 :])
+    stream = arrivals(spark, first, second)
+    logs = jobs.observation_logs(spark, fresh_path(spark, "once"), first, buckets=2)
+    told = spark.sparkContext._jsc.sc().statusStore()
+    before = told.executorSummary("driver").totalShuffleWrite()
+    jobs.merge_stream(stream, *logs, fresh_path(spark, "oc"))
+    assert told.executorSummary("driver").totalShuffleWrite() - before < 1.5 * size * rows
+
+
 def test_older_decisions_do_not_win(spark):
     schema = "package string, id int, decided_at timestamp_ntz"
     newer = spark.createDataFrame([("p", 2, datetime(2024, 2, 1))], schema)
